@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import op2_minhash as op2
+from . import op5_quality as op5
+from . import op6_seeds as op6
+from . import op7_mix as op7
+from . import op10_lines as op10
 
 
 def queries() -> dict:
-    return {"op2_minhash": op2.op2_minhash}
+    return {
+        "op2_minhash": op2.op2_minhash, "op5_quality": op5.op5_quality, "op6_seeds": op6.op6_seeds, "op7_mix": op7.op7_mix,
+        "op10_lines": op10.op10_lines, "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict:
