@@ -18,6 +18,8 @@ from .shingles import Shingler, splitmix, stream
 MISS = 3e-7
 #: Node ids that may be broadcast: 16 MB of longs.
 BROADCAST_ROWS = 1_000_000
+#: Counters of the sketch of shingle frequencies.
+SLOTS = 1 << 19
 _BLOCK = 1024
 
 
@@ -107,8 +109,47 @@ def alike_sets(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a < b) that hold by size, by signature and then by whole sets; cut to the shared folder."""
+def count_rows(batches):
+    """(node, shingles) to one row of (slot, c) for each slot of the frequency sketch that a partition fills."""
+    seen = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        all_sets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+        seen += np.bincount((all_sets % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "c"])
+
+
+def outside_rows(percent: int, shared):
+    """(c, x, root, shingles of c and x) to a row of (c, x, root, n, token) for each token that x may share outside c."""
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            spoke, tokens, sizes = [], [], []
+            for i, (c, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
+                out = np.setdiff1d(x, c, assume_unique=True)
+                least = max(1, -(-percent * (len(x) + len(c)) // (100 + percent)) - (len(x) - len(out)))
+                if len(out) < least:
+                    continue
+                rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: len(out) - least + 1]
+                spoke.append(np.full(len(rare), i)), tokens.append(out[rare].view(np.int64)), sizes.append(np.full(len(rare), len(x)))
+            at = pa.array(np.concatenate(spoke) if spoke else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in range(3)), pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64)), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))],
+                names=["c", "x", "root", "n", "token"],
+            )
+
+    return run
+
+
+def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of these nodes (rid), from their texts; cut to the shared folder."""
+    return cut(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may hold by their sizes and signatures."""
     near = reps.select("node", "n", "sig")
     sized = (
         pairs.join(near.toDF("a", "na", "sa"), "a")
@@ -116,22 +157,49 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "sa", "sb")
     )
-    likely = cut(sized.mapInArrow(alike_signatures(percent), "a long, b long"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    sets = texts.join(small_side(ends, BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary")
-    sets = cut(sets)
+    return cut(sized.mapInArrow(alike_signatures(percent), "a long, b long"))
+
+
+def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that hold by their whole sets."""
     both = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
     return cut(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
 
 
+def _across(spokes: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links between members of one bucket that its centre has not brought into one component.
+
+    The centre c is the smallest set of its bucket. If x isn't linked with c, |x & c| is below what a link of x
+    with any set of at least c's size needs; so x and y can only be linked if they share shingles outside c, at
+    least as many as |x & c| falls short. By the prefix filter they then share one of the rarest of those (rare
+    by a sketch of all counts; any fixed order is right). So no pair is made that shares no such shingle: what
+    whole groups have in common, with their centre, makes no pairs.
+    """
+    spark = spokes.sparkSession
+    label = spokes.join(groups.toDF("x", "root"), "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"))
+    mixed = label.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
+    label = cut(label.join(mixed, "c"))
+    sets = _sets(label.select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
+    table = sets.mapInArrow(count_rows, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[table.column("slot").to_numpy()] = table.column("c").to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+    both = label.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "root", "sc", "sx")
+    tokens = cut(both.mapInArrow(outside_rows(percent, shared), "c long, x long, root long, n long, token long"))
+    one, two = tokens.toDF("c", "a", "ra", "na", "token"), tokens.toDF("c", "b", "rb", "nb", "token")
+    fits = "a < b and ra <> rb and 100 * least(na, nb) >= %d * greatest(na, nb)" % percent
+    pairs = one.join(two, ["c", "token"]).where(fits).select("a", "b").distinct()
+    return _links(_likely(pairs, reps, percent), sets, percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs.
 
     Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked. Equal sets
     are one class with one representative (the smallest id), so copies never meet in pairs. Representatives
-    that share a band are compared with the smallest of their bucket; then, where a bucket still holds more
-    than one component, the representatives of different components with each other. Every link is confirmed
-    on the full sets of 64-bit shingle fingerprints.
+    that share a band are compared with the smallest set of their bucket; members of one bucket that are then
+    in different components are compared wherever they can be alike (see _across). Every link is confirmed on
+    the full sets of 64-bit shingle fingerprints.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows that share an id are one document.
     A null id never names a component: such a row gets the smallest non-null id of its component, or null
@@ -146,21 +214,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         texts.select("rid", "text").mapInArrow(feature_rows(percent, k), "rid long, n long, fp binary, bands array<long>, sig binary")
     )
     reps = cut(
-        feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
-    member = reps.select("node", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
-    member = cut(member.join(shared, "band").select("band", "a", F.col("node").alias("b")))
+    member = reps.select("node", "n", "copies", F.explode("bands").alias("band"))
+    # A bucket's centre is its smallest set, of those the one with most copies.
+    rank = F.col("n") * (1 << 20) - F.least("copies", F.lit((1 << 20) - 1))
+    shared = member.groupBy("band").agg(F.count("*").alias("members"), F.min_by("node", rank).alias("c")).where("members > 1").select("band", "c")
+    spokes = cut(member.join(shared, "band").where("node <> c").select("c", F.col("node").alias("x")).distinct())
     plain = texts.select("rid", "text")
-    links = _confirmed(member.where("a <> b").select("a", "b").distinct(), reps, plain, percent, k)
-    groups = components(links)
-    # Buckets that hold several components: only their members of different components can still be linked.
-    label = member.join(groups.withColumnRenamed("node", "b"), "b", "left").select("band", "a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = label.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = cut(label.join(mixed, "band"))
-    one, two = left.select("band", "a", F.col("b").alias("x"), F.col("root").alias("rx")), left.select("band", F.col("b").alias("y"), F.col("root").alias("ry"))
-    rest = one.join(two, "band").where("x < y and rx <> ry and x <> a").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = _confirmed(rest, reps, plain, percent, k)
+    likely = _likely(spokes.toDF("a", "b"), reps, percent)
+    links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
+    more = _across(spokes, components(links), reps, plain, percent, k)
     groups = components(links.unionByName(more))
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
