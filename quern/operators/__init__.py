@@ -1,6 +1,7 @@
 """Named queries of the reference's operators."""
 
-from . import relational  # noqa: F401
+from . import corpus, linking, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
+from ..streaming import windows  # noqa: F401  # isort: skip
 
 __all__ = ["ORACLES", "QUERIES"]
