@@ -113,6 +113,8 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
         rows.groupBy("url").agg(F.count("*").alias("n")).select(
             F.monotonically_increasing_id().alias("id"), "url", "n", F.when(fit["verdict"] == "allow", 1).when(fit["verdict"] == "block", 0).alias("label"), (F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0).alias("held"))
     )
+    # URLs are short rows that become many; they are dealt out before that.
+    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     places = urls.select("id", "n", F.when(~F.col("held"), F.col("label")).alias("train"), F.explode(grams(F.col("url"), order)).alias("gram"))
     weight = lambda v: F.sum(F.when(F.col("train") == v, F.col("n")).otherwise(0))
     counts = cut(places.groupBy("gram").agg(weight(1).alias("a"), weight(0).alias("b"), F.count("*").alias("uses")))

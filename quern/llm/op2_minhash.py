@@ -119,25 +119,34 @@ def count_rows(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "c"])
 
 
-def outside_rows(percent: int, shared):
-    """(c, x, root, shingles of c and x) to a row of (c, x, root, n, token) for each token that x may share outside c."""
+_OUTSIDE = "c long, x long, root long, fam long, n long, i long, token long"
+
+
+def outside_rows(percent: int, shared, smallest: bool):
+    """(c, x, root, fam, sets of c and x) to rows of (c, x, root, fam, n, i, token); i: shingles that x shares with c.
+
+    A row without token for each x, and one for each of its shingles outside c that may matter: all of them, or,
+    where c is the smallest set of its group, the rarest so many that a link must share one.
+    """
 
     def run(batches):
         often = shared.value
         for batch in batches:
-            spoke, tokens, sizes = [], [], []
-            for i, (c, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            spoke, tokens, sizes, inner = [], [], [], []
+            for i, (c, x) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
                 c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
                 out = np.setdiff1d(x, c, assume_unique=True)
-                least = max(1, -(-percent * (len(x) + len(c)) // (100 + percent)) - (len(x) - len(out)))
-                if len(out) < least:
-                    continue
-                rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: len(out) - least + 1]
-                spoke.append(np.full(len(rare), i)), tokens.append(out[rare].view(np.int64)), sizes.append(np.full(len(rare), len(x)))
-            at = pa.array(np.concatenate(spoke) if spoke else np.empty(0, np.int64))
+                both = len(x) - len(out)
+                least = max(1, -(-percent * (len(x) + len(c)) // (100 + percent)) - both) if smallest else 1
+                rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: max(0, len(out) - least + 1)]
+                spoke.append(np.full(len(rare) + 1, i)), sizes.append(np.full(len(rare) + 1, len(x))), inner.append(np.full(len(rare) + 1, both))
+                tokens.append(np.ma.concatenate([np.ma.masked_all(1, np.int64), out[rare].view(np.int64)]))
+            if not spoke:
+                continue
+            at, token = pa.array(np.concatenate(spoke)), np.ma.concatenate(tokens)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(3)), pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64)), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64))],
-                names=["c", "x", "root", "n", "token"],
+                [*(batch.column(k).take(at) for k in range(4)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(inner)), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token))],
+                names=["c", "x", "root", "fam", "n", "i", "token"],
             )
 
     return run
@@ -166,29 +175,57 @@ def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
 
 
-def _across(spokes: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links between members of one bucket that its centre has not brought into one component.
+def _across(spokes: DataFrame, likely: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links between members of one bucket that their centres have not brought into one component.
 
-    The centre c is the smallest set of its bucket. If x isn't linked with c, |x & c| is below what a link of x
-    with any set of at least c's size needs; so x and y can only be linked if they share shingles outside c, at
-    least as many as |x & c| falls short. By the prefix filter they then share one of the rarest of those (rare
-    by a sketch of all counts; any fixed order is right). So no pair is made that shares no such shingle: what
-    whole groups have in common, with their centre, makes no pairs.
+    No pair is made of sets that merely share what their whole group shares. For any set c, x and y can only
+    share more shingles than min(|x & c|, |y & c|) if they share some outside c.
+    - Families are the components of likely pairs; a family's reference is the set with most copies. Of one
+      family, pairs of different components are made that share a shingle outside the reference, or whose
+      overlaps with it would do by themselves.
+    - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
+      linked with c has |x & c| below what a link of x with any set of at least c's size needs: x and y must
+      share as many shingles outside c as that falls short, hence (by the prefix filter) one of the rarest of
+      those; rare by a sketch of counts, though any fixed order is right.
     """
     spark = spokes.sparkSession
-    label = spokes.join(groups.toDF("x", "root"), "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"))
-    mixed = label.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
-    label = cut(label.join(mixed, "c"))
-    sets = _sets(label.select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
+    families = components(likely).toDF("x", "fam")
+    sizes = reps.select(F.col("node").alias("x"), "n", "copies")
+    rooted = families.join(groups.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
+    split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
+    own = cut(rooted.join(split, "fam"))
+    heads = own.join(sizes, "x").groupBy("fam").agg(F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))).alias("h")).select("fam", (-F.col("h.x")).alias("c"))
+    inside = own.join(heads, "fam").where("x <> c").select("c", "x", "root", "fam")
+    label = spokes.join(groups.toDF("x", "root"), "x", "left").join(families, "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"), F.coalesce("fam", "x").alias("fam"))
+    mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
+    between = cut(label.join(mixed, "c"))
+    inside = cut(inside)
+    sets = _sets(between.unionByName(inside).select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
     table = sets.mapInArrow(count_rows, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
     often[table.column("slot").to_numpy()] = table.column("c").to_numpy()
     shared = spark.sparkContext.broadcast(often)
-    both = label.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "root", "sc", "sx")
-    tokens = cut(both.mapInArrow(outside_rows(percent, shared), "c long, x long, root long, n long, token long"))
-    one, two = tokens.toDF("c", "a", "ra", "na", "token"), tokens.toDF("c", "b", "rb", "nb", "token")
-    fits = "a < b and ra <> rb and 100 * least(na, nb) >= %d * greatest(na, nb)" % percent
-    pairs = one.join(two, ["c", "token"]).where(fits).select("a", "b").distinct()
+
+    def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
+        both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "root", "fam", "sc", "sx")
+        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
+
+    def met(rows: DataFrame, on: list[str], more: str) -> DataFrame:
+        one, two = (rows.toDF("c", s, f"r{s}", f"f{s}", f"n{s}", f"i{s}", "token") for s in "ab")
+        one, two = (d if "token" in on else d.drop("token") for d in (one, two))
+        return one.join(two, on).where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {more}").select("a", "b")
+
+    of_family, of_bucket = outside(inside, False), outside(between, True)
+    enough = f"{percent} * (na + nb) <= {100 + percent} * least(ia, ib)"
+    # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
+    bare = of_family.where("token is null").where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
+    pairs = (
+        inside.where("root <> c").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
+        .unionByName(met(of_family.where("token is not null"), ["c", "token"], "true"))
+        .unionByName(met(bare, ["c"], enough))
+        .unionByName(met(of_bucket.where("token is not null"), ["c", "token"], "fa <> fb"))
+        .distinct()
+    )
     return _links(_likely(pairs, reps, percent), sets, percent)
 
 
@@ -224,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     plain = texts.select("rid", "text")
     likely = _likely(spokes.toDF("a", "b"), reps, percent)
     links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
-    more = _across(spokes, components(links), reps, plain, percent, k)
+    more = _across(spokes, likely, components(links), reps, plain, percent, k)
     groups = components(links.unionByName(more))
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
