@@ -18,6 +18,8 @@ from .shingles import Shingler, splitmix, stream
 MISS = 3e-7
 #: Node ids that may be broadcast: 16 MB of longs.
 BROADCAST_ROWS = 1_000_000
+#: Agreement of signatures that makes two sets one family; any value gives the same links, with more or fewer pairs looked at.
+FAMILY = 0.4
 #: Counters of the sketch of shingle frequencies.
 SLOTS = 1 << 19
 _BLOCK = 1024
@@ -79,17 +81,16 @@ def set_rows(k: int):
 
 
 def alike_signatures(percent: int):
-    """Keep pairs whose signatures agree about as often as the threshold asks, less five standard deviations."""
+    """Pairs whose signatures agree in FAMILY of their places, with likely: about as often as the threshold asks, less five standard deviations."""
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             s = percent / 100
-            keep = []
-            for x, y in zip(a, b):
-                share = np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
-                keep.append(share >= s - 5 * math.sqrt(s * (1 - s) / len(x)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            share = np.array([np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) for x, y in zip(a, b)])
+            likely = share >= s - 5 * math.sqrt(s * (1 - s) / (len(a[0]) if a else 1))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likely, pa.bool_())], names=["a", "b", "likely"])
+            yield out.filter(pa.array(likely | (share >= FAMILY), pa.bool_()))
 
     return run
 
@@ -157,8 +158,8 @@ def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return cut(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may hold by their sizes and signatures."""
+def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, likely) of sizes that may hold: likely by their signatures, or of one family."""
     near = reps.select("node", "n", "sig")
     sized = (
         pairs.join(near.toDF("a", "na", "sa"), "a")
@@ -166,7 +167,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "sa", "sb")
     )
-    return cut(sized.mapInArrow(alike_signatures(percent), "a long, b long"))
+    return cut(sized.mapInArrow(alike_signatures(percent), "a long, b long, likely boolean"))
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,12 +176,12 @@ def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
 
 
-def _across(spokes: DataFrame, likely: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def _across(spokes: DataFrame, signed: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """Links between members of one bucket that their centres have not brought into one component.
 
     No pair is made of sets that merely share what their whole group shares. For any set c, x and y can only
     share more shingles than min(|x & c|, |y & c|) if they share some outside c.
-    - Families are the components of likely pairs; a family's reference is the set with most copies. Of one
+    - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies. Of one
       family, pairs of different components are made that share a shingle outside the reference, or whose
       overlaps with it would do by themselves.
     - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
@@ -189,7 +190,7 @@ def _across(spokes: DataFrame, likely: DataFrame, groups: DataFrame, reps: DataF
       those; rare by a sketch of counts, though any fixed order is right.
     """
     spark = spokes.sparkSession
-    families = components(likely).toDF("x", "fam")
+    families = components(signed).toDF("x", "fam")
     sizes = reps.select(F.col("node").alias("x"), "n", "copies")
     rooted = families.join(groups.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
@@ -226,7 +227,7 @@ def _across(spokes: DataFrame, likely: DataFrame, groups: DataFrame, reps: DataF
         .unionByName(met(of_bucket.where("token is not null"), ["c", "token"], "fa <> fb"))
         .distinct()
     )
-    return _links(_likely(pairs, reps, percent), sets, percent)
+    return _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +260,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     shared = member.groupBy("band").agg(F.count("*").alias("members"), F.min_by("node", rank).alias("c")).where("members > 1").select("band", "c")
     spokes = cut(member.join(shared, "band").where("node <> c").select("c", F.col("node").alias("x")).distinct())
     plain = texts.select("rid", "text")
-    likely = _likely(spokes.toDF("a", "b"), reps, percent)
+    signed = _signed(spokes.toDF("a", "b"), reps, percent)
+    likely = signed.where("likely").select("a", "b")
     links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
-    more = _across(spokes, likely, components(links), reps, plain, percent, k)
+    more = _across(spokes, signed, components(links), reps, plain, percent, k)
     groups = components(links.unionByName(more))
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
