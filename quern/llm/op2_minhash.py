@@ -263,8 +263,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     signed = _signed(spokes.toDF("a", "b"), reps, percent)
     likely = signed.where("likely").select("a", "b")
     links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
-    more = _across(spokes, signed, components(links), reps, plain, percent, k)
-    groups = components(links.unionByName(more))
+    first = components(links)
+    more = _across(spokes, signed, first, reps, plain, percent, k)
+    # What is joined already goes on as stars.
+    groups = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
     classes = classes.join(groups, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))

@@ -45,7 +45,7 @@ def bounds(pages: DataFrame, target: int) -> list[int]:
             width = max(1, -(-(b - a) // CELLS))
             split.append((a, b, width))
         starts = F.array(*(F.struct(*(F.lit(x).cast("decimal(20,0)").alias(n) for x, n in zip(s, "abw"))) for s in split))
-        cell = F.filter(starts, lambda s: (F.col("page_id") >= s["a"]) & (F.col("page_id") < s["b"]))[0]
+        cell = F.get(F.filter(starts, lambda s: (F.col("page_id") >= s["a"]) & (F.col("page_id") < s["b"])), F.lit(0))
         start = (cell["a"] + F.floor((F.col("page_id") - cell["a"]) / cell["w"]) * cell["w"]).cast("decimal(20,0)")
         counted = sized.select("n", start.alias("at"), cell["w"].alias("w"), cell["b"].alias("b")).where("at is not null").groupBy("at", "w", "b").agg(F.sum("n")).collect()
         todo = []
