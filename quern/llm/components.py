@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a task contracts at once: bounds its memory.
+CHUNK = 1 << 16
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def contract(batches):
+    """(u, v) to as few (u, v) with the same components: each CHUNK of edges becomes stars around its smallest nodes."""
+
+    def stars(parent: dict) -> pa.RecordBatch:
+        us = [u for u in parent if find(parent, u) != u]
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array([find(parent, u) for u in us], pa.int64())], names=["u", "v"])
+
+    def find(parent: dict, x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    parent, seen = {}, 0
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = find(parent, u), find(parent, v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+        seen += batch.num_rows
+        if seen >= CHUNK:
+            yield stars(parent)
+            parent, seen = {}, 0
+    yield stars(parent)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link; root is the smallest node that it reaches.
 
-    Neither star gathers a node's neighbours: each takes their minimum with a partial aggregate and joins it
-    back, so a hub is a skewed join that adaptive execution splits. Self links and null ends are ignored; no
-    links give no rows. Every round is cut to the shared folder; rounds grow with the logarithm of the nodes.
+    Tasks contract what edges they hold before these are shuffled, as a partial aggregate does. Neither star
+    gathers a node's neighbours: each takes their minimum with a partial aggregate and joins it back, so a hub is
+    a skewed join that adaptive execution splits. Self links and null ends are ignored; no links give no rows.
+    Every round is cut to the shared folder; rounds grow with the logarithm of the nodes.
     """
-    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    tasks = 1 + ends.count() // CHUNK
+    edges = cut(ends.coalesce(tasks).mapInArrow(contract, "u long, v long"))
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -120,11 +120,11 @@ def count_rows(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "c"])
 
 
-_OUTSIDE = "c long, x long, root long, fam long, n long, i long, token long"
+_OUTSIDE = "c long, x long, fam long, n long, i long, held boolean, token long"
 
 
 def outside_rows(percent: int, shared, smallest: bool):
-    """(c, x, root, fam, sets of c and x) to rows of (c, x, root, fam, n, i, token); i: shingles that x shares with c.
+    """(c, x, fam, sets of c and x) to rows of (c, x, fam, n, i, held, token); i: shingles that x shares with c; held: the two are linked.
 
     A row without token for each x, and one for each of its shingles outside c that may matter: all of them, or,
     where c is the smallest set of its group, the rarest so many that a link must share one.
@@ -133,21 +133,21 @@ def outside_rows(percent: int, shared, smallest: bool):
     def run(batches):
         often = shared.value
         for batch in batches:
-            spoke, tokens, sizes, inner = [], [], [], []
-            for i, (c, x) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            spoke, tokens, counts = [], [], []
+            for i, (c, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
                 out = np.setdiff1d(x, c, assume_unique=True)
                 both = len(x) - len(out)
                 least = max(1, -(-percent * (len(x) + len(c)) // (100 + percent)) - both) if smallest else 1
                 rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: max(0, len(out) - least + 1)]
-                spoke.append(np.full(len(rare) + 1, i)), sizes.append(np.full(len(rare) + 1, len(x))), inner.append(np.full(len(rare) + 1, both))
+                spoke.append(np.full(len(rare) + 1, i)), counts.append((len(x), both, 100 * both >= percent * len(c) + percent * len(out)))
                 tokens.append(np.ma.concatenate([np.ma.masked_all(1, np.int64), out[rare].view(np.int64)]))
             if not spoke:
                 continue
-            at, token = pa.array(np.concatenate(spoke)), np.ma.concatenate(tokens)
+            at, token, (n, i, held) = pa.array(np.concatenate(spoke)), np.ma.concatenate(tokens), zip(*counts)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(4)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(inner)), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token))],
-                names=["c", "x", "root", "fam", "n", "i", "token"],
+                [*(batch.column(k).take(at) for k in range(3)), pa.array(n, pa.int64()).take(at), pa.array(i, pa.int64()).take(at), pa.array(held, pa.bool_()).take(at), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token))],
+                names=["c", "x", "fam", "n", "i", "held", "token"],
             )
 
     return run
@@ -176,14 +176,15 @@ def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
 
 
-def _across(spokes: DataFrame, signed: DataFrame, groups: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links between members of one bucket that their centres have not brought into one component.
+def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(node, root): the components of first, joined by all links within families and buckets that it lacks.
 
     No pair is made of sets that merely share what their whole group shares. For any set c, x and y can only
     share more shingles than min(|x & c|, |y & c|) if they share some outside c.
-    - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies. Of one
-      family, pairs of different components are made that share a shingle outside the reference, or whose
-      overlaps with it would do by themselves.
+    - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies.
+      What is linked with its reference or its bucket's centre joins first. Of one family, pairs of components that
+      are different even then are made that share a shingle outside the reference, or whose overlaps with it would
+      do by themselves.
     - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
       linked with c has |x & c| below what a link of x with any set of at least c's size needs: x and y must
       share as many shingles outside c as that falls short, hence (by the prefix filter) one of the rarest of
@@ -192,15 +193,14 @@ def _across(spokes: DataFrame, signed: DataFrame, groups: DataFrame, reps: DataF
     spark = spokes.sparkSession
     families = components(signed).toDF("x", "fam")
     sizes = reps.select(F.col("node").alias("x"), "n", "copies")
-    rooted = families.join(groups.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
+    rooted = families.join(first.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
-    own = cut(rooted.join(split, "fam"))
+    own = cut(rooted.join(split, "fam").select("x", "fam"))
     heads = own.join(sizes, "x").groupBy("fam").agg(F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))).alias("h")).select("fam", (-F.col("h.x")).alias("c"))
-    inside = own.join(heads, "fam").where("x <> c").select("c", "x", "root", "fam")
-    label = spokes.join(groups.toDF("x", "root"), "x", "left").join(families, "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"), F.coalesce("fam", "x").alias("fam"))
+    inside = cut(own.join(heads, "fam").where("x <> c").select("c", "x", "fam"))
+    label = spokes.join(families, "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam"))
     mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
-    between = cut(label.join(mixed, "c"))
-    inside = cut(inside)
+    between = cut(label.join(mixed, "c").select("c", "x", "fam"))
     sets = _sets(between.unionByName(inside).select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
     table = sets.mapInArrow(count_rows, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
@@ -208,26 +208,42 @@ def _across(spokes: DataFrame, signed: DataFrame, groups: DataFrame, reps: DataF
     shared = spark.sparkContext.broadcast(often)
 
     def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
-        both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "root", "fam", "sc", "sx")
+        both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
         return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
 
-    def met(rows: DataFrame, on: list[str], more: str) -> DataFrame:
-        one, two = (rows.toDF("c", s, f"r{s}", f"f{s}", f"n{s}", f"i{s}", "token") for s in "ab")
-        one, two = (d if "token" in on else d.drop("token") for d in (one, two))
-        return one.join(two, on).where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {more}").select("a", "b")
-
     of_family, of_bucket = outside(inside, False), outside(between, True)
-    enough = f"{percent} * (na + nb) <= {100 + percent} * least(ia, ib)"
+    linked = of_family.unionByName(of_bucket).where("token is null and held").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    # What is joined already goes on as stars.
+    second = components(_stars(first).unionByName(linked))
+
+    def rooted_by(rows: DataFrame) -> DataFrame:
+        return rows.join(second.toDF("x", "root"), "x", "left").select("c", "x", "fam", F.coalesce("root", "x").alias("root"), "n", "i", "token")
+
+    def met(one: DataFrame, two: DataFrame, on: list[str], more: str) -> DataFrame:
+        one, two = (d.toDF(*(c if c in on else f"{c}{s}" for c in d.columns)) for d, s in ((one, "a"), (two, "b")))
+        unlike = f"roota <> rootb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {more}"
+        return one.join(two, on).where(unlike).select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"))
+
+    of_family, of_bucket = rooted_by(of_family), rooted_by(of_bucket).where("token is not null")
+    tokens = of_family.where("token is not null")
     # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
     bare = of_family.where("token is null").where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
+    # Rows of two families meet by the pair of families, so none meets those of its own.
+    kinds = of_bucket.select("c", "token", "fam").distinct()
+    two_kinds = kinds.withColumnRenamed("fam", "f").join(kinds.withColumnRenamed("fam", "g"), ["c", "token"]).where("f < g")
+    lower = of_bucket.withColumnRenamed("fam", "f").join(two_kinds, ["c", "token", "f"])
     pairs = (
-        inside.where("root <> c").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
-        .unionByName(met(of_family.where("token is not null"), ["c", "token"], "true"))
-        .unionByName(met(bare, ["c"], enough))
-        .unionByName(met(of_bucket.where("token is not null"), ["c", "token"], "fa <> fb"))
+        met(tokens, tokens, ["c", "token"], "xa < xb")
+        .unionByName(met(bare, bare, ["c"], f"xa < xb and {percent} * (na + nb) <= {100 + percent} * least(ia, ib)"))
+        .unionByName(met(lower.drop("f").withColumnRenamed("g", "fam"), of_bucket, ["c", "token", "fam"], "true"))
         .distinct()
     )
-    return _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
+    more = _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
+    return components(_stars(second).unionByName(more))
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,9 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     likely = signed.where("likely").select("a", "b")
     links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
     first = components(links)
-    more = _across(spokes, signed, first, reps, plain, percent, k)
-    # What is joined already goes on as stars.
-    groups = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    groups = _across(spokes, signed, first, reps, plain, percent, k)
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
     classes = classes.join(groups, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
