@@ -126,8 +126,8 @@ _OUTSIDE = "c long, x long, fam long, n long, i long, held boolean, token long"
 def outside_rows(percent: int, shared, smallest: bool):
     """(c, x, fam, sets of c and x) to rows of (c, x, fam, n, i, held, token); i: shingles that x shares with c; held: the two are linked.
 
-    A row without token for each x, and one for each of its shingles outside c that may matter: all of them, or,
-    where c is the smallest set of its group, the rarest so many that a link must share one.
+    A row without token for each x, and one for each of its shingles outside c that may matter: the rarest so many
+    that a link must share one. Any link of x has percent of its shingles; more where c is the smallest set of its group.
     """
 
     def run(batches):
@@ -138,7 +138,8 @@ def outside_rows(percent: int, shared, smallest: bool):
                 c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
                 out = np.setdiff1d(x, c, assume_unique=True)
                 both = len(x) - len(out)
-                least = max(1, -(-percent * (len(x) + len(c)) // (100 + percent)) - both) if smallest else 1
+                need = -(-percent * (len(x) + len(c)) // (100 + percent)) if smallest else -(-percent * len(x) // 100)
+                least = max(1, need - both)
                 rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: max(0, len(out) - least + 1)]
                 spoke.append(np.full(len(rare) + 1, i)), counts.append((len(x), both, 100 * both >= percent * len(c) + percent * len(out)))
                 tokens.append(np.ma.concatenate([np.ma.masked_all(1, np.int64), out[rare].view(np.int64)]))
