@@ -22,6 +22,8 @@ BROADCAST_ROWS = 1_000_000
 FAMILY = 0.4
 #: Counters of the sketch of shingle frequencies.
 SLOTS = 1 << 19
+#: Longs of a parity sketch.
+PARITIES = 8
 _BLOCK = 1024
 
 
@@ -120,20 +122,32 @@ def count_rows(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "c"])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: bit b tells whether an odd number of its members fall on b.
+
+    The sketches of two sets differ in no more bits than the sets have members that the other lacks.
+    """
+    bits = np.bincount((s % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+_PARITIES = [f"p{j}" for j in range(PARITIES)]
 _OUTSIDE = "c long, x long, fam long, n long, i long, held boolean, token long"
+_SKETCHED = ", ".join([_OUTSIDE, *(f"{p} long" for p in _PARITIES)])
 
 
 def outside_rows(percent: int, shared, smallest: bool):
     """(c, x, fam, sets of c and x) to rows of (c, x, fam, n, i, held, token); i: shingles that x shares with c; held: the two are linked.
 
     A row without token for each x, and one for each of its shingles outside c that may matter: the rarest so many
-    that a link must share one. Any link of x has percent of its shingles; more where c is the smallest set of its group.
+    that a link must share one. Any link of x has percent of its shingles; more where c is the smallest set of its
+    group (smallest); else the rows carry the parity sketch of x.
     """
 
     def run(batches):
         often = shared.value
         for batch in batches:
-            spoke, tokens, counts = [], [], []
+            spoke, tokens, counts, sketches = [], [], [], []
             for i, (c, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
                 out = np.setdiff1d(x, c, assume_unique=True)
@@ -143,12 +157,14 @@ def outside_rows(percent: int, shared, smallest: bool):
                 rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: max(0, len(out) - least + 1)]
                 spoke.append(np.full(len(rare) + 1, i)), counts.append((len(x), both, 100 * both >= percent * len(c) + percent * len(out)))
                 tokens.append(np.ma.concatenate([np.ma.masked_all(1, np.int64), out[rare].view(np.int64)]))
+                sketches.append(parities(x) if not smallest else [])
             if not spoke:
                 continue
             at, token, (n, i, held) = pa.array(np.concatenate(spoke)), np.ma.concatenate(tokens), zip(*counts)
+            sketched = [pa.array(p).take(at) for p in np.array(sketches).T] if not smallest else []
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(3)), pa.array(n, pa.int64()).take(at), pa.array(i, pa.int64()).take(at), pa.array(held, pa.bool_()).take(at), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token))],
-                names=["c", "x", "fam", "n", "i", "held", "token"],
+                [*(batch.column(k).take(at) for k in range(3)), pa.array(n, pa.int64()).take(at), pa.array(i, pa.int64()).take(at), pa.array(held, pa.bool_()).take(at), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token)), *sketched],
+                names=["c", "x", "fam", "n", "i", "held", "token", *(_PARITIES if sketched else [])],
             )
 
     return run
@@ -185,7 +201,7 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies.
       What is linked with its reference or its bucket's centre joins first. Of one family, pairs of components that
       are different even then are made that share a shingle outside the reference, or whose overlaps with it would
-      do by themselves.
+      do by themselves; and whose parity sketches differ in no more places than the sets of a link can.
     - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
       linked with c has |x & c| below what a link of x with any set of at least c's size needs: x and y must
       share as many shingles outside c as that falls short, hence (by the prefix filter) one of the rarest of
@@ -210,15 +226,15 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
 
     def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
         both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
-        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
+        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE if smallest else _SKETCHED))
 
     of_family, of_bucket = outside(inside, False), outside(between, True)
-    linked = of_family.unionByName(of_bucket).where("token is null and held").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    linked = of_family.drop(*_PARITIES).unionByName(of_bucket).where("token is null and held").select(F.col("c").alias("a"), F.col("x").alias("b"))
     # What is joined already goes on as stars.
     second = components(_stars(first).unionByName(linked))
 
     def rooted_by(rows: DataFrame) -> DataFrame:
-        return rows.join(second.toDF("x", "root"), "x", "left").select("c", "x", "fam", F.coalesce("root", "x").alias("root"), "n", "i", "token")
+        return rows.join(second.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x")).drop("held")
 
     def met(one: DataFrame, two: DataFrame, on: list[str], more: str) -> DataFrame:
         one, two = (d.toDF(*(c if c in on else f"{c}{s}" for c in d.columns)) for d, s in ((one, "a"), (two, "b")))
@@ -227,6 +243,8 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
 
     of_family, of_bucket = rooted_by(of_family), rooted_by(of_bucket).where("token is not null")
     tokens = of_family.where("token is not null")
+    # A link's sets differ in (100 - percent) of 100 + percent of their sizes, and their sketches in no more.
+    near = f"{100 + percent} * ({' + '.join(f'bit_count({p}a ^ {p}b)' for p in _PARITIES)}) <= {100 - percent} * (na + nb)"
     # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
     bare = of_family.where("token is null").where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
     # Rows of two families meet by the pair of families, so none meets those of its own.
@@ -234,8 +252,8 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     two_kinds = kinds.withColumnRenamed("fam", "f").join(kinds.withColumnRenamed("fam", "g"), ["c", "token"]).where("f < g")
     lower = of_bucket.withColumnRenamed("fam", "f").join(two_kinds, ["c", "token", "f"])
     pairs = (
-        met(tokens, tokens, ["c", "token"], "xa < xb")
-        .unionByName(met(bare, bare, ["c"], f"xa < xb and {percent} * (na + nb) <= {100 + percent} * least(ia, ib)"))
+        met(tokens, tokens, ["c", "token"], f"xa < xb and {near}")
+        .unionByName(met(bare, bare, ["c"], f"xa < xb and {percent} * (na + nb) <= {100 + percent} * least(ia, ib) and {near}"))
         .unionByName(met(lower.drop("f").withColumnRenamed("g", "fam"), of_bucket, ["c", "token", "fam"], "true"))
         .distinct()
     )

@@ -60,6 +60,45 @@ def test_near_duplicates(spark, percent):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_a_family(spark, percent):
+    """Copies of one text by edits from a small pool: most pairs share edits, links beside the original are near the threshold."""
+    from quern.llm.op2_minhash import near_duplicates
+
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    pool = [(4 * k + 2, f"e{k}") for k in range(36)]
+    rows = [(0, " ".join(base), "s")]
+    for k in range(1, 160):
+        ws = list(base)
+        for at, word in rng.sample(pool, rng.randrange(2, 7)):
+            ws[at] = word
+        rows.append((k, " ".join(ws), "s"))
+    sets, root = {k: shingles(t) for k, t, _ in rows}, {k: k for k, _, _ in rows}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), percent).collect()}
+    assert got == {x: find(x) for x in sets}
+    assert 1 < len(set(got.values())) < len(got)
+
+
+def test_parity_sketches():
+    """Sketches never differ in more places than the sets."""
+    from quern.llm.op2_minhash import parities
+    from quern.llm.shingles import stream
+
+    rng = random.Random(19)
+    for size in (1, 30, 400, 5000):
+        a = stream(rng.randrange(1 << 30), size)
+        b = np.unique(np.concatenate([a[rng.randrange(size) :], stream(rng.randrange(1 << 30), rng.randrange(60))]))
+        unlike = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
+        assert unlike <= len(np.setxor1d(a, b)) and not (parities(a) ^ parities(a)).any()
+
+
 def test_near_duplicates_of_nothing(spark):
     from quern.llm.op2_minhash import near_duplicates
 
