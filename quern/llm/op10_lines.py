@@ -1,7 +1,8 @@
-"""Removal of passages that repeat between documents, by content-defined chunks of lines."""
+"""Removal of passages that repeat between documents, by content-defined chunks and by runs of lines."""
 
 from __future__ import annotations
 
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -55,91 +56,135 @@ def _parts(text: bytes) -> list[tuple[int, bytes, bool]]:
     return found
 
 
-def _chunk_rows(batches):
-    """(id, text) to one row of (id, pos, h, h2) for each chunk that may be removed; h, h2: 128 bits of hash."""
-    for batch in batches:
-        ids, pos, h = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            for i, (_, part, may) in enumerate(_parts(text or b"")):
-                if may:
-                    ids.append(key), pos.append(i), h.append(xxhash.xxh3_128_digest(part))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(h, pa.binary())], names=["id", "pos", "h"])
+def _shortest(words: list[int]):
+    """From each line that has words, the span [start, end) of the shortest run of lines with LONG_LINE words or more."""
+    a = total = 0
+    for b, n in enumerate(words):
+        total += n
+        while total >= LONG_LINE:
+            if words[a]:
+                yield a, b + 1
+            total, a = total - words[a], a + 1
+
+
+def _runs(lines: list[bytes]) -> set[tuple[int, int]]:
+    """Spans of the shortest runs of LONG_LINE words or more that start at each line or end at each line.
+
+    They cover any longer stretch of lines from its first line with a word to its last: those by start leave at most a rest
+    of fewer words, which is in the run that ends at the last line.
+    """
+    words = [len(x.split()) for x in lines]
+    return {*_shortest(words), *((len(words) - b, len(words) - a) for a, b in _shortest(words[::-1]))}
 
 
-def _chunk_texts(batches):
-    """(id, text, places) to (id, pos, h, part) of the chunks at these places."""
+def _spans(text: bytes, runs: bool) -> list[tuple[int, int, bytes]]:
+    """(start, end, bytes) of the spans of lines that go where they repeat: chunks that may be removed and, if asked for, runs."""
+    lines = text.split(b"\n")
+    at, i = [0], 0
+    for x in lines:
+        i += len(x) + 1
+        at.append(i)
+    spans, i = _runs(lines) if runs else set(), 0
+    for n, _, may in _parts(text):
+        if may:
+            spans.add((i, i + n))
+        i += n
+    return [(a, b, text[at[a] : at[b] - 1]) for a, b in sorted(spans)]
+
+
+def _span_rows(runs):
+    """(id, text) to one row of (id, a, b, h) for each span that goes where it repeats; h: 128 bits of hash."""
+
+    def run(batches):
+        for batch in batches:
+            ids, a, b, h = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                for x, y, part in _spans(text or b"", runs):
+                    ids.append(key), a.append(x), b.append(y), h.append(xxhash.xxh3_128_digest(part))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "a", "b", "h"])
+
+    return run
+
+
+def _span_texts(batches):
+    """(id, text, places) to (h, part) of the spans at these places; part is packed, for runs of a text overlap."""
     for batch in batches:
-        ids, pos, h, parts = [], [], [], []
-        for key, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            found = _parts(text or b"")
-            for i in at:
-                if i < len(found) and found[i][2]:
-                    ids.append(key), pos.append(i), h.append(xxhash.xxh3_128_digest(found[i][1])), parts.append(found[i][1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(h, pa.binary()), pa.array(parts, pa.binary())], names=["id", "pos", "h", "part"])
+        h, parts = [], []
+        for text, at in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            lines = (text or b"").split(b"\n")
+            for x in at:
+                part = b"\n".join(lines[x["a"] : x["b"]])
+                h.append(xxhash.xxh3_128_digest(part)), parts.append(zlib.compress(part, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(parts, pa.binary())], names=["h", "part"])
 
 
 def _kept_texts(batches):
-    """The last two columns are the text and the places to remove; they become the new text and what was done."""
+    """The last two columns are the text and the spans to remove; they become the new text and what was done."""
     for batch in batches:
         k = batch.num_columns - 2
         out, n, total, gone_c, gone_l = [], [], [], [], []
         for text, at in zip(batch.column(k).cast(pa.binary()).to_pylist(), batch.column(k + 1).to_pylist()):
-            found, gone = _parts(text or b""), set(at or ())
-            out.append(None if text is None else b"\n".join(p for i, (_, p, _) in enumerate(found) if i not in gone) if gone else text)
-            n.append(len(found) if text is not None else 0), total.append(sum(x for x, _, _ in found) if text is not None else 0)
-            gone_c.append(len(gone)), gone_l.append(sum(found[i][0] for i in gone if i < len(found)))
+            lines, found = (text or b"").split(b"\n"), chunks(text or b"")
+            gone = {i for x in at or () for i in range(x["a"], min(x["b"], len(lines)))}
+            out.append(None if text is None else b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+            n.append(len(found) if text is not None else 0), total.append(len(lines) if text is not None else 0)
+            gone_c.append(sum(gone.issuperset(range(a, b)) for a, b in found) if gone else 0), gone_l.append(len(gone))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:k], pa.array(out, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (n, total, gone_c, gone_l))],
             names=[*batch.schema.names[:k], "text", "n_chunks", "n_lines", "removed_chunks", "removed_lines"],
         )
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos) of every chunk to remove: a repeat of a chunk that stands first at a smaller (id, pos).
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """(id, a, b) of every span of lines to remove: a repeat of a span that stands first at a smaller (id, a).
 
-    Chunk hashes are counted over all documents with partial aggregates. Of a hash that occurs again, the bytes
-    of all its occurrences are compared (by their least and greatest); were two texts to share a hash, none
-    of them would be removed.
+    Spans are chunks and, with runs, the shortest runs of LONG_LINE words from and to each line. In the text where a
+    span stands first, a repeat that overlaps it stays. Hashes are counted over all documents with partial aggregates. Of a
+    hash that occurs again, the bytes of all its occurrences are compared (by their least and greatest); were two
+    texts to share a hash, none of them would be removed.
     """
     text_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_chunk_rows, "id long, pos int, h binary"))
-    first = F.min(F.struct("id", "pos"))
-    again = found.groupBy("h").agg(F.count("*").alias("c"), first.alias("keep")).where("c > 1")
-    spots = cut(found.join(again, "h").select("id", "pos", "h", "keep"))
-    at = spots.groupBy("id").agg(F.collect_set("pos").alias("at"))
-    texts = rows.join(at.hint("shuffle_hash"), "id").select("id", "text", "at").mapInArrow(_chunk_texts, "id long, pos int, h binary, part binary")
+    # Not staged: the spans are found again for the join, for with runs they are many.
+    found = rows.mapInArrow(_span_rows(runs), "id long, a int, b int, h binary")
+    first = F.min(F.struct("id", "a"))
+    again = found.groupBy("h").agg(F.count("*").alias("c"), first.alias("keep")).where("c > 1").select("h", "keep")
+    goes = F.expr("id <> keep.id or a >= keep.a + b - a")
+    spots = cut(found.join(again, "h").select("id", "a", "b", "h", goes.alias("goes")))
+    at = spots.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    texts = rows.join(at.hint("shuffle_hash"), "id").select("id", "text", "at").mapInArrow(_span_texts, "h binary, part binary")
     same = texts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo = hi").select("h")
-    return spots.join(same, "h").where("id <> keep.id or pos <> keep.pos").select("id", "pos").distinct()
+    return spots.where("goes").join(same, "h").select("id", "a", "b").distinct()
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """(id, text, n_chunks, n_lines, removed_chunks, removed_lines), a row for each row of docs, in its rest of the text.
 
     Chunks of several lines, or of one line of 50 words or more, that occur at more than one place of the whole
-    table stay at the first place (by id, then position) and go elsewhere. Null texts stay null with zero
-    counts; rows without an id are returned whole and counted nowhere; rows that share an id and a text are one
-    place. A document that loses everything keeps an empty text. Extra columns of docs are ignored.
+    table stay at the first place (by id, then position) and go elsewhere. With runs, so does every stretch of lines of 50
+    words or more, wherever chunks end; blank lines around it stay. removed_chunks counts chunks that went whole. Null texts
+    stay null with zero counts; rows without an id are returned whole and counted nowhere; rows that share an id and a text
+    are one place. A document that loses everything keeps an empty text. Extra columns of docs are ignored.
     """
-    gone = cut(repeated_chunks(docs, id_col, text_col).groupBy("id").agg(F.collect_list("pos").alias("at")))
+    gone = cut(repeated_spans(docs, id_col, text_col, runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("at")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # A list holds at most the chunks of one document.
+    # A list holds at most the spans of one document.
     joined = rows.join(gone.hint("shuffle_hash"), "id", "left").select("id", "text", "at")
     out = joined.mapInArrow(_kept_texts, "id long, text string, n_chunks long, n_lines long, removed_chunks long, removed_lines long")
     return out.withColumnRenamed("id", id_col)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    kept = without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), runs=True)
     return kept.select(
         "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines",
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, runs: bool = False) -> DataFrame:
     """docs with repeated passages removed from text, and n_chars that fit; no row goes. The columns stay as they are."""
-    gone = cut(repeated_chunks(docs).groupBy("id").agg(F.collect_list("pos").alias("at")))
+    gone = cut(repeated_spans(docs, runs=runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("at")))
     at = gone.withColumnsRenamed({"id": "doc_id", "at": "_at"})
     joined = docs.join(at.hint("shuffle_hash"), "doc_id", "left")
     others = [c for c in docs.columns if c != "text"]

@@ -193,6 +193,43 @@ def test_line_dedup(spark):
     assert without_repeats(docs(spark, [])).count() == 0
 
 
+def test_line_runs(spark):
+    from quern.llm.op10_lines import line_dedup, without_repeats
+
+    rng, n = random.Random(12), iter(range(10**6))
+    line = lambda k: " ".join(f"y{next(n)}" for _ in range(k))
+    shared = [[line(k) for k in ks] for ks in ([30, 25], [49, 1], [20, 20, 20], [30, 30, 5], [5, 0, 45, 4], [9] * 12, [1] * 70, [10, 60], [60, 10, 10])]
+    rows = []
+    for k in range(60):
+        blocks = [[line(rng.choice([0, 2, 8, 15]))] for _ in range(rng.randrange(6))]
+        for _ in range(k % 3):  # whole: a part of under 50 words could be a chunk that goes too
+            blocks.insert(rng.randrange(len(blocks) + 1), rng.choice(shared))
+        rows.append((k, "\n".join(x for b in blocks for x in b), "s"))
+    rows += [(70, "\n".join([line(49)] * 3), "s"), (71, "\n".join([*shared[0], "between", *shared[0]]), "s"), (72, "\n".join([*shared[1], *shared[2]]), "s"), (None, rows[2][1], "s"), (73, None, "s"), (74, "", "s"), rows[5]]
+
+    def stretches(text):
+        ls = (text or "").split("\n")
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if ls[a].split() and ls[b - 1].split() and sum(len(x.split()) for x in ls[a:b]) >= 50:
+                    yield a, b, "\n".join(ls[a:b])
+
+    first, want = {}, []
+    for key, text, _ in rows:
+        for a, _, part in stretches(text) if key is not None else ():
+            first[part] = min(first.get(part, (10**9, 0)), (key, a))
+    for key, text, _ in rows:
+        gone = set()
+        for a, b, part in stretches(text) if key is not None else ():
+            k, at = first[part]
+            if k != key or a >= at + b - a:
+                gone.update(range(a, b))
+        want.append((key, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)))
+    got = without_repeats(docs(spark, rows), runs=True).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=str) == sorted(want, key=str)
+    assert sorted([(r[0], r[1]) for r in line_dedup(docs(spark, rows), runs=True).collect()], key=str) == sorted(want, key=str)
+
+
 def test_mix(spark):
     from quern.llm.op7_mix import mixed
 
