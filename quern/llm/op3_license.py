@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +101,23 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _most(spans: list[tuple]) -> list[tuple]:
+    """Spans (.., start, end, matched) that don't overlap and match the most words in all, in the fewest; of equals the first ones."""
+    spans = sorted(set(spans), key=lambda x: (x[4], x[3]))
+    ends, best, back = [x[4] for x in spans], [(0, 0)], []
+    for i, x in enumerate(spans):
+        k = bisect_right(ends, x[3], 0, i)
+        total = (best[k][0] + x[5], best[k][1] - (x[4] - x[3]))
+        back.append(k if total > best[i] else -1)
+        best.append(max(total, best[i]))
+    out, i = [], len(spans)
+    while i:
+        if back[i - 1] >= 0:
+            out.append(spans[i - 1])
+        i = back[i - 1] if back[i - 1] >= 0 else i - 1
+    return out
+
+
 class Scanner:
     """All places of a text where a template is covered well enough; templates overlap only if they are equally good there."""
 
@@ -128,15 +145,22 @@ class Scanner:
             # A window starts at a word of the template and is longer than it, for insertions; a match of enough
             # words needs so many of the template's words there, and so many different ones.
             reach = 2 * m if m > 16 else m + m // 2 + 1
-            ends, differ, last = np.searchsorted(own, own + reach), len(set(template)) - (m - need), -m
+            # Where notices stand back to back a wide window holds two of each word, or pairs the start of one with the end of
+            # the next: so a start at the template's first word is never passed over, and a narrow window is tried too.
+            narrow, opens = m + m // 4, ids[own] == self.ids[template[0]]
+            ends, differ, last, spans = np.searchsorted(own, own + reach), len(set(template)) - (m - need), -m, []
             for k in np.flatnonzero(ends - np.arange(len(own)) >= need).tolist():
                 start = int(own[k])
-                if m > 16 and start < last + m // 4 or len(set(ids[own[k : ends[k]]].tolist())) < differ:
+                if m > 16 and start < last + m // 4 and not opens[k] or len(set(ids[own[k : ends[k]]].tolist())) < differ:
                     continue
                 last = start
-                part = align(ws[start : start + reach], template)
-                if len(part) >= need:
-                    found.append((len(part) / m, m, name, start + part[0][0], start + part[-1][0] + 1, len(part)))
+                for width in (reach, narrow):
+                    part = align(ws[start : start + width], template)
+                    if len(part) >= need:
+                        spans.append((len(part) / m, m, name, start + part[0][0], start + part[-1][0] + 1, len(part)))
+                        if part[-1][0] - part[0][0] < narrow:
+                            break
+            found += _most(spans)
         best, taken = [], []
         for share, m, name, a, b, n in sorted(found, key=lambda x: (-x[5], -x[0], x[3], x[2])):
             if all(b <= c or a >= d for c, d in taken):
@@ -161,7 +185,8 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
     """(id, license, start_word, end_word, matched_words, template_words, coverage), a row for each license found.
 
     Words are runs of letters and digits, lower-cased. Spans count words of the whole text from 0, end
-    excluded. Of overlapping spans the one with most matched words stays, then the best covered, then the
+    excluded. Of one template's overlapping spans those stay that match most words in all, then the shortest. Of
+    overlapping spans of several templates the one with most matched words stays, then the best covered, then the
     first, then by name. Null and empty texts give no rows; repeated rows and null ids are scanned as any
     other; extra columns are ignored. Scans are a task's own: nothing is shuffled.
     """

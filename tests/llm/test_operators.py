@@ -343,6 +343,25 @@ def test_licenses(spark):
         assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
 
 
+def test_adjacent_licenses():
+    from quern.llm.op3_license import COVERAGE, TEMPLATES, Scanner, tokens
+
+    rng, scan = random.Random(3), Scanner(TEMPLATES, COVERAGE)
+    for name in ("Apache-2.0", "BSD-2-Clause", "GPL-3.0", "ISC", "MIT"):
+        words = tokens(TEMPLATES[name])
+        for copies in (2, 3, 4, 6):
+            for parted in (0, 3):
+                text = " ".join([" ".join(words + ["qux"] * parted)] * copies)
+                assert [x[:4] for x in scan(text)] == [(name, i * (len(words) + parted), i * (len(words) + parted) + len(words), len(words)) for i in range(copies)]
+        for _ in range(20):  # one word of each copy but its ends changed
+            notices = [[*words] for _ in range(rng.randrange(3, 7))]
+            for ws in notices:
+                ws[rng.randrange(1, len(ws) - 1)] = "qux"
+            got = scan(" ".join(w for ws in notices for w in ws))
+            # A notice may lend a word to its neighbour where that lacks it; each is found for itself.
+            assert [(x[0], (x[1] + x[2]) // 2 // len(words)) for x in got] == [(name, i) for i in range(len(notices))]
+
+
 def test_warc(spark, tmp_path):
     from quern.llm.op8_warc import read_archives, write_archives
 
