@@ -46,7 +46,7 @@ LAYOUTS = (
     Layout("instruction", ("OBJECT<instruction, output>",), _pair(("user", _GET.format("instruction")), ("assistant", _GET.format("output")))),
     Layout(
         "instruction_input", ("OBJECT<input, instruction, output>",),
-        _pair(("user", f"concat({_GET.format('instruction')}, CASE WHEN coalesce({_GET.format('input')}, '') = '' THEN '' ELSE concat('\\n\\n', {_GET.format('input')}) END)"), ("assistant", _GET.format("output"))),
+        _pair(("user", f"concat(coalesce({_GET.format('instruction')}, ''), CASE WHEN coalesce({_GET.format('input')}, '') = '' THEN '' ELSE concat('\\n\\n', {_GET.format('input')}) END)"), ("assistant", _GET.format("output"))),
     ),
     Layout("prompt", ("OBJECT<completion, prompt>",), _pair(("user", _GET.format("prompt")), ("assistant", _GET.format("completion")))),
     Layout("prompt_response", ("OBJECT<prompt, response>",), _pair(("user", _GET.format("prompt")), ("assistant", _GET.format("response")))),

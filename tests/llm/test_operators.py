@@ -343,6 +343,14 @@ def test_licenses(spark):
         assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
 
 
+def test_null_instruction(spark):
+    from quern.llm.op9_chat import canonical_turns
+
+    rows = [(1, '{"instruction": null, "input": "in", "output": "out"}'), (2, '{"instruction": "do", "input": "in", "output": "out"}'), (3, '{"instruction": null, "input": null, "output": "out"}')]
+    got = {r["k"]: (r["layout"], r["turns"][0]["text"]) for r in canonical_turns(spark.createDataFrame(rows, "k long, record string")).collect()}
+    assert got == {1: ("instruction_input", "\n\nin"), 2: ("instruction_input", "do\n\nin"), 3: ("instruction_input", "")}
+
+
 def test_adjacent_licenses():
     from quern.llm.op3_license import COVERAGE, TEMPLATES, Scanner, tokens
 
