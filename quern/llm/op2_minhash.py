@@ -22,6 +22,8 @@ BROADCAST_ROWS = 1_000_000
 FAMILY = 0.4
 #: Counters of the sketch of shingle frequencies.
 SLOTS = 1 << 19
+#: Rounds of new centres within a family before pairs are made; any number gives the same components.
+CENTRES = 2
 #: Longs of a parity sketch.
 PARITIES = 8
 _BLOCK = 1024
@@ -35,7 +37,7 @@ def bands_for(percent: int) -> tuple[int, int]:
 
 
 def feature_rows(percent: int, k: int):
-    """Arrow batches of (id, text) to (id, n, fp, bands, sig): set size, set fingerprint, band keys, low bytes of the minima."""
+    """Arrow batches of (rid, text, id) to (rid, id, n, fp, bands, sig): set size, set fingerprint, band keys, low bytes of the minima."""
     bands, rows = bands_for(percent)
 
     def run(batches):
@@ -65,8 +67,8 @@ def feature_rows(percent: int, k: int):
                 sigs.append(splitmix(low).astype(np.uint8).tobytes())
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["rid", "n", "fp", "bands", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["rid", "id", "n", "fp", "bands", "sig"],
             )
 
     return run
@@ -132,39 +134,36 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 _PARITIES = [f"p{j}" for j in range(PARITIES)]
-_OUTSIDE = "c long, x long, fam long, n long, i long, held boolean, token long"
-_SKETCHED = ", ".join([_OUTSIDE, *(f"{p} long" for p in _PARITIES)])
+_OUTSIDE = ", ".join(["c long, x long, fam long, n long, i long, held boolean, tokens array<long>", *(f"{p} long" for p in _PARITIES)])
 
 
 def outside_rows(percent: int, shared, smallest: bool):
-    """(c, x, fam, sets of c and x) to rows of (c, x, fam, n, i, held, token); i: shingles that x shares with c; held: the two are linked.
+    """(c, x, fam, sets of c and x) to (c, x, fam, n, i, held, tokens, sketch); i: shingles that x shares with c; held: the two are linked.
 
-    A row without token for each x, and one for each of its shingles outside c that may matter: the rarest so many
-    that a link must share one. Any link of x has percent of its shingles; more where c is the smallest set of its
-    group (smallest); else the rows carry the parity sketch of x.
+    tokens has those shingles of x outside c that may matter: the rarest so many that a link must share one. Any
+    link of x has percent of its shingles; more where c is the smallest set of its group (smallest).
     """
 
     def run(batches):
         often = shared.value
         for batch in batches:
-            spoke, tokens, counts, sketches = [], [], [], []
-            for i, (c, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            tokens, counts, sketches = [], [], []
+            for c, x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 c, x = np.frombuffer(c, np.uint64), np.frombuffer(x, np.uint64)
                 out = np.setdiff1d(x, c, assume_unique=True)
                 both = len(x) - len(out)
                 need = -(-percent * (len(x) + len(c)) // (100 + percent)) if smallest else -(-percent * len(x) // 100)
                 least = max(1, need - both)
                 rare = np.lexsort((out, often[(out % np.uint64(SLOTS)).astype(np.int64)]))[: max(0, len(out) - least + 1)]
-                spoke.append(np.full(len(rare) + 1, i)), counts.append((len(x), both, 100 * both >= percent * len(c) + percent * len(out)))
-                tokens.append(np.ma.concatenate([np.ma.masked_all(1, np.int64), out[rare].view(np.int64)]))
-                sketches.append(parities(x) if not smallest else [])
-            if not spoke:
+                tokens.append(out[rare].view(np.int64))
+                counts.append((len(x), both, 100 * both >= percent * len(c) + percent * len(out)))
+                sketches.append(parities(x))
+            if not tokens:
                 continue
-            at, token, (n, i, held) = pa.array(np.concatenate(spoke)), np.ma.concatenate(tokens), zip(*counts)
-            sketched = [pa.array(p).take(at) for p in np.array(sketches).T] if not smallest else []
+            n, i, held = zip(*counts)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(3)), pa.array(n, pa.int64()).take(at), pa.array(i, pa.int64()).take(at), pa.array(held, pa.bool_()).take(at), pa.array(token.filled(0), pa.int64(), mask=np.ma.getmaskarray(token)), *sketched],
-                names=["c", "x", "fam", "n", "i", "held", "token", *(_PARITIES if sketched else [])],
+                [*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(i, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.list_(pa.int64())), *(pa.array(p) for p in np.array(sketches).T)],
+                names=["c", "x", "fam", "n", "i", "held", "tokens", *_PARITIES],
             )
 
     return run
@@ -199,9 +198,8 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     No pair is made of sets that merely share what their whole group shares. For any set c, x and y can only
     share more shingles than min(|x & c|, |y & c|) if they share some outside c.
     - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies.
-      What is linked with its reference or its bucket's centre joins first. Of one family, pairs of components that
-      are different even then are made that share a shingle outside the reference, or whose overlaps with it would
-      do by themselves; and whose parity sketches differ in no more places than the sets of a link can.
+      What is linked with its reference or its bucket's centre joins first. The rest meets by what it shares outside the
+      reference, see _regrouped, or where its overlaps with it would do by themselves.
     - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
       linked with c has |x & c| below what a link of x with any set of at least c's size needs: x and y must
       share as many shingles outside c as that falls short, hence (by the prefix filter) one of the rarest of
@@ -226,66 +224,97 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
 
     def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
         both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
-        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE if smallest else _SKETCHED))
+        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
 
     of_family, of_bucket = outside(inside, False), outside(between, True)
-    linked = of_family.drop(*_PARITIES).unionByName(of_bucket).where("token is null and held").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    linked = of_family.unionByName(of_bucket).where("held").select(F.col("c").alias("a"), F.col("x").alias("b"))
     # What is joined already goes on as stars.
-    second = components(_stars(first).unionByName(linked))
-
-    def rooted_by(rows: DataFrame) -> DataFrame:
-        return rows.join(second.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x")).drop("held")
-
-    def met(one: DataFrame, two: DataFrame, on: list[str], more: str) -> DataFrame:
-        one, two = (d.toDF(*(c if c in on else f"{c}{s}" for c in d.columns)) for d, s in ((one, "a"), (two, "b")))
-        unlike = f"roota <> rootb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {more}"
-        return one.join(two, on).where(unlike).select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"))
-
-    of_family, of_bucket = rooted_by(of_family), rooted_by(of_bucket).where("token is not null")
-    tokens = of_family.where("token is not null")
-    # A link's sets differ in (100 - percent) of 100 + percent of their sizes, and their sketches in no more.
-    near = f"{100 + percent} * ({' + '.join(f'bit_count({p}a ^ {p}b)' for p in _PARITIES)}) <= {100 - percent} * (na + nb)"
-    # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
-    bare = of_family.where("token is null").where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
+    second, far = _regrouped(of_family, components(_stars(first).unionByName(linked)), reps, sets, percent)
+    of_bucket = _rooted(of_bucket, second).withColumn("token", F.explode("tokens")).drop("tokens", "held", *_PARITIES)
     # Rows of two families meet by the pair of families, so none meets those of its own.
     kinds = of_bucket.select("c", "token", "fam").distinct()
     two_kinds = kinds.withColumnRenamed("fam", "f").join(kinds.withColumnRenamed("fam", "g"), ["c", "token"]).where("f < g")
-    lower = of_bucket.withColumnRenamed("fam", "f").join(two_kinds, ["c", "token", "f"])
-    pairs = (
-        met(tokens, tokens, ["c", "token"], f"xa < xb and {near}")
-        .unionByName(met(bare, bare, ["c"], f"xa < xb and {percent} * (na + nb) <= {100 + percent} * least(ia, ib) and {near}"))
-        .unionByName(met(lower.drop("f").withColumnRenamed("g", "fam"), of_bucket, ["c", "token", "fam"], "true"))
-        .distinct()
-    )
+    lower = of_bucket.withColumnRenamed("fam", "f").join(two_kinds, ["c", "token", "f"]).drop("f").withColumnRenamed("g", "fam")
+    pairs = far.unionByName(_met(lower, of_bucket, ["c", "token", "fam"], percent, "true")).distinct()
     more = _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
     return components(_stars(second).unionByName(more))
 
 
+def _rooted(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+
+def _unlike(a: str, b: str, percent: int) -> str:
+    """That two rows are of different components and of sizes that a link can have."""
+    return f"{a.format('root')} <> {b.format('root')} and 100 * least({a.format('n')}, {b.format('n')}) >= {percent} * greatest({a.format('n')}, {b.format('n')})"
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    """That parity sketches allow a link: its sets differ in (100 - percent) of 100 + percent of their sizes, and their sketches in no more."""
+    bits = " + ".join(f"bit_count({a.format(p)} ^ {b.format(p)})" for p in _PARITIES)
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * ({a.format('n')} + {b.format('n')})"
+
+
+def _met(one: DataFrame, two: DataFrame, on: list[str], percent: int, more: str) -> DataFrame:
+    one, two = (d.toDF(*(c if c in on else f"{c}{s}" for c in d.columns)) for d, s in ((one, "a"), (two, "b")))
+    pairs = one.join(two, on).where(f"{_unlike('{}a', '{}b', percent)} and {more}")
+    return pairs.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"))
+
+
+def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(groups after CENTRES rounds of new centres, pairs (a, b) of a family that are still to be compared).
+
+    Members of a family with reference c meet by shingles outside c. Shingles that just the same members hold
+    (an edit gives up to five) are one: their class is a hash over who holds them, and were two classes to share a
+    hash, more would be compared. Each round gives every class a centre, compares its members of other
+    components with that alone, and contracts: rows in proportion to the members. Only what is in different components
+    even then is compared in pairs, where parity sketches allow a link.
+    """
+    held = of_family.select("c", "x", F.explode("tokens").alias("token"))
+    lists = held.groupBy("c", "token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("x")).alias("h")).where("m > 1").select("c", "token", F.xxhash64("m", "h").alias("g"))
+    kinds = cut(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
+    members = of_family.select("c", "x", "n", "i", *_PARITIES)
+
+    def mixed() -> DataFrame:
+        """(c, g, x, ..) of the classes that hold several components."""
+        rows = kinds.join(_rooted(members, groups), ["c", "x"])
+        several = rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g")
+        return cut(rows.join(several, ["c", "g"], "left_semi"))
+
+    rows = mixed()
+    for turn in range(CENTRES):
+        # First what is nearest to the reference, then any.
+        rank = F.col("i") / F.col("n") if turn == 0 else F.xxhash64("x", F.lit(turn))
+        centres = rows.groupBy("c", "g").agg(F.max_by(F.struct("x", "root", "n", *_PARITIES), F.struct(rank.alias("r"), F.col("x").alias("x"))).alias("h"))
+        spokes = rows.join(centres, ["c", "g"]).where(f"{_unlike('{}', 'h.{}', percent)} and {_near('{}', 'h.{}', percent)}")
+        pairs = spokes.select(F.least("x", "h.x").alias("a"), F.greatest("x", "h.x").alias("b")).distinct()
+        found = _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
+        if found.isEmpty():
+            break
+        groups = components(_stars(groups).unionByName(found))
+        rows = mixed()
+    slim = rows.drop("i")
+    # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
+    bare = _rooted(members, groups).where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
+    near = f"xa < xb and {_near('{}a', '{}b', percent)}"
+    alone = f"{percent} * (na + nb) <= {100 + percent} * least(ia, ib)"
+    return groups, _met(slim, slim, ["c", "g"], percent, near).unionByName(_met(bare, bare, ["c"], percent, f"{alone} and {near}"))
+
+
 def _stars(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for each row of docs.
+def _rid(key, text):
+    """The node of a row: its id; rows without one need a node of their own: negative, by their text."""
+    return F.coalesce(key.cast("long"), -(F.abs(F.xxhash64(text.cast("string")) % F.lit(1 << 62)) + (1 << 61)))
 
-    Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked. Equal sets
-    are one class with one representative (the smallest id), so copies never meet in pairs. Representatives
-    that share a band are compared with the smallest set of their bucket; members of one bucket that are then
-    in different components are compared wherever they can be alike (see _across). Every link is confirmed on
-    the full sets of 64-bit shingle fingerprints.
 
-    Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows that share an id are one document.
-    A null id never names a component: such a row gets the smallest non-null id of its component, or null
-    alone, and is kept only then. Other columns of docs are ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    text_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Rows without an id need a node of their own: negative, by their text.
-    texts = rows.select(F.coalesce("id", -(F.abs(F.xxhash64("text") % F.lit(1 << 62)) + (1 << 61))).alias("rid"), "text", "id")
-    feats = cut(
-        texts.select("rid", "text").mapInArrow(feature_rows(percent, k), "rid long, n long, fp binary, bands array<long>, sig binary")
-    )
+def _decided(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, n, component, kept) of each row."""
+    text_batches(docs.sparkSession)
+    texts = docs.select(_rid(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    feats = cut(texts.mapInArrow(feature_rows(percent, k), "rid long, id long, n long, fp binary, bands array<long>, sig binary"))
     reps = cut(
         feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
@@ -298,23 +327,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     signed = _signed(spokes.toDF("a", "b"), reps, percent)
     likely = signed.where("likely").select("a", "b")
     links = _links(likely, _sets(likely.select(F.explode(F.array("a", "b")).alias("rid")), plain, k), percent)
-    first = components(links)
-    groups = _across(spokes, signed, first, reps, plain, percent, k)
+    groups = _across(spokes, signed, components(links), reps, plain, percent, k)
     # Classes (equal sets) to components, then components to their smallest real id.
-    classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min(F.when(F.col("rid") > -(1 << 61), F.col("rid"))).alias("low"))
+    classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
     classes = classes.join(groups, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     names = classes.groupBy("root").agg(F.min("low").alias("component"))
-    by_set = classes.join(names, "root").select("fp", "component")
-    found = feats.select("rid", "n", "fp").join(by_set, "fp", "left")
-    own = F.when(F.col("rid") > -(1 << 61), F.col("rid"))
-    name = F.when(F.col("fp").isNull(), own).otherwise(F.col("component"))
-    return found.select(own.alias(id_col), F.col("n").alias("n_shingles"), name.alias("component_id"), own.eqNullSafe(name).alias("kept"))
+    by_set = classes.join(names, "root").select("fp", "component", "root")
+    found = feats.select("rid", "id", "n", "fp").join(by_set, "fp", "left")
+    name = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component"))
+    alone = F.col("fp").isNull() | F.col("component").isNull() & (F.col("rid") == F.col("root"))
+    kept = F.when(F.col("id").isNull(), alone).otherwise(F.col("id").eqNullSafe(name))
+    return found.select("rid", "id", "n", name.alias("component"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept), a row for each row of docs.
+
+    Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked. Equal sets
+    are one class with one representative (the smallest id), so copies never meet in pairs. Representatives
+    that share a band are compared with the smallest set of their bucket; members of one bucket that are then
+    in different components are compared wherever they can be alike (see _across). Every link is confirmed on
+    the full sets of 64-bit shingle fingerprints.
+
+    Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows that share an id are one document.
+    A null id never names a component: such a row gets the smallest non-null id of its component, or null
+    where all its component is without ids, of which one text is kept. Other columns of docs are ignored; an
+    empty table gives no rows.
+    """
+    return _decided(docs, percent, k, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """docs without the documents that a component has besides its smallest id; rows without an id stay."""
-    gone = near_duplicates(docs, percent, k).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(small_side(cut(gone), BROADCAST_ROWS), "doc_id", "left_anti")
+    """docs without what near_duplicates doesn't keep; all columns stay as they are.
+
+    Wordless and null texts stay. Rows without an id go where a row with one is like them; of a group without ids one
+    text stays. Rows that share an id, or no id and a text, stay or go together. An empty table stays empty.
+    """
+    gone = cut(_decided(docs, percent, k, "doc_id", "text").where("not kept").select("rid").distinct())
+    gone = small_side(gone, BROADCAST_ROWS)
+    return docs.join(gone, _rid(docs["doc_id"], docs["text"]) == gone["rid"], "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
