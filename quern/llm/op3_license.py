@@ -41,6 +41,8 @@ TEMPLATES = {
 }
 #: Share of a template's words that an alignment must cover.
 COVERAGE = 0.8
+#: What a word that an alignment passes over costs, where a matched word counts one.
+GAP = 0.25
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -101,6 +103,23 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def core(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretch of aligned pairs with the best score: one a pair, less GAP for each word passed over between two.
+
+    Alignment pairs equal ends however far they lie off; a lone word beyond the notice isn't part of it.
+    """
+    best, at, score, first = 0.0, (0, 0), 0.0, 0
+    for k, (i, j) in enumerate(pairs):
+        if k:
+            score -= GAP * (i - pairs[k - 1][0] - 1 + j - pairs[k - 1][1] - 1)
+        if score <= 0:
+            score, first = 0.0, k
+        score += 1
+        if score > best:
+            best, at = score, (first, k + 1)
+    return pairs[at[0] : at[1]]
+
+
 def _most(spans: list[tuple]) -> list[tuple]:
     """Spans (.., start, end, matched) that don't overlap and match the most words in all, in the fewest; of equals the first ones."""
     spans = sorted(set(spans), key=lambda x: (x[4], x[3]))
@@ -146,16 +165,19 @@ class Scanner:
             # words needs so many of the template's words there, and so many different ones.
             reach = 2 * m if m > 16 else m + m // 2 + 1
             # Where notices stand back to back a wide window holds two of each word, or pairs the start of one with the end of
-            # the next: so a start at the template's first word is never passed over, and a narrow window is tried too.
-            narrow, opens = m + m // 4, ids[own] == self.ids[template[0]]
-            ends, differ, last, spans = np.searchsorted(own, own + reach), len(set(template)) - (m - need), -m, []
+            # the next: so every start is tried, with windows that end where the next notice may begin, and narrow ones.
+            narrow = m + m // 4
+            ends, differ, spans = np.searchsorted(own, own + reach), len(set(template)) - (m - need), []
+            opens = own[ids[own] == self.ids[template[0]]]
+            opens = opens[np.append(ids, -1)[opens + 1] == self.ids[template[min(1, m - 1)]]]
             for k in np.flatnonzero(ends - np.arange(len(own)) >= need).tolist():
                 start = int(own[k])
-                if m > 16 and start < last + m // 4 and not opens[k] or len(set(ids[own[k : ends[k]]].tolist())) < differ:
+                if len(set(ids[own[k : ends[k]]].tolist())) < differ:
                     continue
-                last = start
-                for width in (reach, narrow):
-                    part = align(ws[start : start + width], template)
+                after = np.searchsorted(opens, start + m // 2)
+                cut = [int(opens[after]) - start] if after < len(opens) and opens[after] < start + reach else []
+                for width in (*cut, reach, narrow, m):
+                    part = core(align(ws[start : start + width], template))
                     if len(part) >= need:
                         spans.append((len(part) / m, m, name, start + part[0][0], start + part[-1][0] + 1, len(part)))
                         if part[-1][0] - part[0][0] < narrow:
@@ -188,7 +210,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
     excluded. Of one template's overlapping spans those stay that match most words in all, then the shortest. Of
     overlapping spans of several templates the one with most matched words stays, then the best covered, then the
     first, then by name. Null and empty texts give no rows; repeated rows and null ids are scanned as any
-    other; extra columns are ignored. Scans are a task's own: nothing is shuffled.
+    other; an empty table gives no rows; extra columns are ignored. Scans are a task's own: nothing is shuffled.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

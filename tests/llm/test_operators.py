@@ -452,3 +452,41 @@ def test_pipeline(spark, tmp_path):
         assert current.columns == list(corpus_pipeline.COLUMNS), name
     out = corpus_pipeline.run(spark, top)
     assert out.count() == out.select("doc_id").distinct().count() and 12 not in {r["doc_id"] for r in out.collect()}
+
+
+def test_licenses_from_every_start():
+    """Planted notices, edited, glued, nested in noise or back to back: each is found about where it stands, and nothing else."""
+    from quern.llm.op3_license import COVERAGE, TEMPLATES, Scanner, align, core, tokens
+
+    rng, scan = random.Random(23), Scanner(TEMPLATES, COVERAGE)
+    common = sorted({w for t in TEMPLATES.values() for w in tokens(t)} & set("the of and or to in any this is for a software license".split()))
+    long = [n for n in TEMPLATES if not n.endswith("short")]
+    for trial in range(60):
+        words, want = [rng.choice([*common, "qux", "zap"]) for _ in range(rng.randrange(12))], []
+        for _ in range(rng.randrange(1, 6)):
+            name = rng.choice(long) if trial % 2 else long[trial % len(long)]
+            own = tokens(TEMPLATES[name])
+            for _ in range(rng.randrange(len(own) // 12)):  # substitutions, a gap, an insertion
+                at = rng.randrange(1, len(own) - 1)
+                own[at : at + 1] = rng.choice([["qux"], [], [own[at], "zap"]])
+            want.append((name, len(words), len(words) + len(own)))
+            words += own + ["qux"] * rng.choice([0, 0, 3])
+        got = scan(" ".join(words))
+        assert [x[0] for x in got] == [x[0] for x in want], (trial, got, want)
+        assert all(abs(g[1] - w[1]) <= 12 and abs(g[2] - w[2]) <= 12 for g, w in zip(got, want)), (trial, got, want)
+    mit = TEMPLATES["MIT"]
+    for text, copies in (("the " + mit + mit, 2), (mit * 5, 5), (f"the {mit} {mit}", 2), (f"{mit} {TEMPLATES['ISC']} {mit}", 3)):
+        assert len(scan(text)) == copies
+    # The core of an alignment is the stretch with the best score of all stretches.
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefghijklm") for _ in range(rng.randrange(30))] for _ in "ab")
+        pairs = align(a, b)
+        value = lambda p: len(p) - 0.25 * sum(x[0] - y[0] + x[1] - y[1] - 2 for x, y in zip(p[1:], p)) if p else 0
+        assert value(core(pairs)) == max([value(pairs[i:j]) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1)], default=0)
+
+
+def test_licenses_of_nothing(spark):
+    from quern.llm.op3_license import license_spans
+
+    assert license_spans(docs(spark, [])).count() == 0
+    assert license_spans(docs(spark, [(None, "Released under the MIT License.", "s"), (None, None, "s")], extra=True)).count() == 1
