@@ -93,24 +93,26 @@ def _spans(text: bytes, runs: bool) -> list[tuple[int, int, bytes]]:
 
 
 def _span_rows(runs):
-    """(id, text) to one row of (id, a, b, h) for each span that goes where it repeats; h: 128 bits of hash."""
+    """(id, th, text) to one row of (id, th, a, b, h) for each span that goes where it repeats; h: 128 bits of hash."""
 
     def run(batches):
         for batch in batches:
-            ids, a, b, h = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            ids, hashes, a, b, h = [], [], [], [], []
+            for key, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 for x, y, part in _spans(text or b"", runs):
-                    ids.append(key), a.append(x), b.append(y), h.append(xxhash.xxh3_128_digest(part))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "a", "b", "h"])
+                    ids.append(key), hashes.append(th), a.append(x), b.append(y), h.append(xxhash.xxh3_128_digest(part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "th", "a", "b", "h"]
+            )
 
     return run
 
 
 def _span_texts(batches):
-    """(id, text, places) to (h, part) of the spans at these places; part is packed, for runs of a text overlap."""
+    """(text, places) to (h, part) of the spans at these places; part is packed, for runs of a text overlap."""
     for batch in batches:
         h, parts = [], []
-        for text, at in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        for text, at in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
             lines = (text or b"").split(b"\n")
             for x in at:
                 part = b"\n".join(lines[x["a"] : x["b"]])
@@ -135,41 +137,51 @@ def _kept_texts(batches):
         )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text): rows are told apart by their id and the hash of their text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """(id, a, b) of every span of lines to remove: a repeat of a span that stands first at a smaller (id, a).
+    """(id, th, a, b) of every span of lines to remove: a repeat of a span that stands first at a smaller (id, th, a); th: the text's hash.
 
     Spans are chunks and, with runs, the shortest runs of LONG_LINE words from and to each line. In the text where a
     span stands first, a repeat that overlaps it stays. Hashes are counted over all documents with partial aggregates. Of a
     hash that occurs again, the bytes of all its occurrences are compared (by their least and greatest); were two
-    texts to share a hash, none of them would be removed.
+    texts to share a hash, none of them would be removed. Texts without an id come after all others.
     """
     text_batches(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = _keyed(docs, id_col, text_col)
     # Not staged: the spans are found again for the join, for with runs they are many.
-    found = rows.mapInArrow(_span_rows(runs), "id long, a int, b int, h binary")
-    first = F.min(F.struct("id", "a"))
+    found = rows.mapInArrow(_span_rows(runs), "id long, th long, a int, b int, h binary").withColumn("last", F.col("id").isNull())
+    first = F.min(F.struct("last", "id", "th", "a"))
     again = found.groupBy("h").agg(F.count("*").alias("c"), first.alias("keep")).where("c > 1").select("h", "keep")
-    goes = F.expr("id <> keep.id or a >= keep.a + b - a")
-    spots = cut(found.join(again, "h").select("id", "a", "b", "h", goes.alias("goes")))
-    at = spots.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("at"))
-    texts = rows.join(at.hint("shuffle_hash"), "id").select("id", "text", "at").mapInArrow(_span_texts, "h binary, part binary")
+    goes = F.expr("NOT (id <=> keep.id) OR th <> keep.th OR a >= keep.a + b - a")
+    spots = cut(found.join(again, "h").select("id", "th", "a", "b", "h", goes.alias("goes")))
+    at = spots.groupBy("th").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    texts = rows.join(at.hint("shuffle_hash"), "th").select("text", "at").mapInArrow(_span_texts, "h binary, part binary")
     same = texts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo = hi").select("h")
-    return spots.where("goes").join(same, "h").select("id", "a", "b").distinct()
+    return spots.where("goes").join(same, "h").select("id", "th", "a", "b").distinct()
+
+
+def _gone(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
+    """(id, th, at): the spans to remove from each text; a list holds at most the spans of one."""
+    return cut(repeated_spans(docs, id_col, text_col, runs).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("at")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """(id, text, n_chunks, n_lines, removed_chunks, removed_lines), a row for each row of docs, in its rest of the text.
 
     Chunks of several lines, or of one line of 50 words or more, that occur at more than one place of the whole
-    table stay at the first place (by id, then position) and go elsewhere. With runs, so does every stretch of lines of 50
-    words or more, wherever chunks end; blank lines around it stay. removed_chunks counts chunks that went whole. Null texts
-    stay null with zero counts; rows without an id are returned whole and counted nowhere; rows that share an id and a text
-    are one place. A document that loses everything keeps an empty text. Extra columns of docs are ignored.
+    table stay at the first place (by id, then the hash of the text, then position) and go elsewhere. With runs, so does
+    every stretch of lines of 50 words or more, wherever chunks end; blank lines around it stay. removed_chunks counts chunks
+    that went whole. Null texts stay null with zero counts. Rows that share an id but not the text are places of their own;
+    rows that share both, or a text and no id, are one place and are treated alike; rows without an id come last. A
+    document that loses everything keeps an empty text. An empty table gives no rows. Extra columns of docs are ignored.
     """
-    gone = cut(repeated_spans(docs, id_col, text_col, runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("at")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # A list holds at most the spans of one document.
-    joined = rows.join(gone.hint("shuffle_hash"), "id", "left").select("id", "text", "at")
+    gone = _gone(docs, id_col, text_col, runs).toDF("gone_id", "gone_th", "at")
+    joined = _keyed(docs, id_col, text_col).join(gone.hint("shuffle_hash"), F.expr("th = gone_th AND id <=> gone_id"), "left").select("id", "text", "at")
     out = joined.mapInArrow(_kept_texts, "id long, text string, n_chunks long, n_lines long, removed_chunks long, removed_lines long")
     return out.withColumnRenamed("id", id_col)
 
@@ -183,16 +195,22 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, runs: bool = False) -> DataFrame:
-    """docs with repeated passages removed from text, and n_chars that fit; no row goes. The columns stay as they are."""
-    gone = cut(repeated_spans(docs, runs=runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("at")))
-    at = gone.withColumnsRenamed({"id": "doc_id", "at": "_at"})
-    joined = docs.join(at.hint("shuffle_hash"), "doc_id", "left")
-    others = [c for c in docs.columns if c != "text"]
-    schema = [f for f in docs.schema.fields if f.name != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = joined.select(*(F.col(f"`{c}`") for c in others), "text", "_at").mapInArrow(
+    """docs with repeated passages removed from text, and n_chars (if there is one) that fits where something went; no row goes.
+
+    The columns stay as they are, whatever the others are called; null texts stay null, and rows are told apart as in
+    without_repeats. An empty table stays empty.
+    """
+    gone = _gone(docs, "doc_id", "text", runs).toDF("gone_id", "gone_th", "gone_at")
+    # Columns go by their places meanwhile, so that no name clashes.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    joined = rows.join(gone.hint("shuffle_hash"), (F.xxhash64(F.col(names["text"]).cast("string")) == F.col("gone_th")) & F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("gone_id")), "left")
+    others = [c for c in rows.columns if c != names["text"]]
+    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in others)
+    out = joined.select(*others, F.col(names["text"]).cast("string").alias("text"), "gone_at").mapInArrow(
         _kept_texts, f"{kinds}, text string, n_chunks long, n_lines long, removed_chunks long, removed_lines long"
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    if "n_chars" in names:
+        size = names["n_chars"]
+        out = out.withColumn(size, F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col(size)).cast(dict(rows.dtypes)[size]))
+    return out.select(*(F.col("text" if c == "text" else n).alias(c) for c, n in names.items()))

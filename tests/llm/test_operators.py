@@ -206,8 +206,49 @@ def test_decontamination_of_long_items(spark):
     assert contaminated(docs(spark, []), table).count() == 0 and decontaminate(docs(spark, [(1, "a", "s")]), none).count() == 1
 
 
+def line_chunks(text):
+    """Chunks by the definition, stated anew: a boundary where the hash of the two lines up to it, as one number, has the right remainder."""
+    import xxhash
+
+    lines = text.split("\n")
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    many = [len(x.split()) >= 50 for x in lines]
+    out, held = [], []
+    for i in range(len(lines)):
+        if many[i]:
+            out += [held] if held else []
+            out, held = [*out, [i]], []
+            continue
+        held.append(i)
+        window = (h[i] + (h[i - 1] * 0x9E3779B97F4A7C15 if i else 0)) % 2**64
+        if len(held) >= 2 and ((window >> 32) % 3 == 0 or len(held) >= 16):
+            out, held = [*out, held], []
+    return [["\n".join(lines[i] for i in c), len(c)] for c in [*out, *([held] if held else [])]]
+
+
+def deduplicated(rows):
+    """(id, rest of the text) of each row, by brute force over the chunks of all texts."""
+    may = lambda part, n: bool(part.split()) and (n > 1 or len(part.split()) >= 50)
+    rank, seen, out = lambda key, text: (key is None, key or 0, signed_hash(text)), {}, []
+    for key, text, _ in rows:
+        for i, (part, n) in enumerate(line_chunks(text or "")):
+            if may(part, n):
+                seen.setdefault(part, set()).add((rank(key, text), i))
+    for key, text, _ in rows:
+        kept = [p for i, (p, n) in enumerate(line_chunks(text or "")) if not may(p, n) or min(seen[p]) == (rank(key, text), i)]
+        out.append((key, None if text is None else "\n".join(kept)))
+    return out
+
+
+def signed_hash(text):
+    """Spark's xxhash64 of a text, which orders rows that share an id."""
+    import xxhash
+
+    return 0 if text is None else np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64).item()
+
+
 def test_line_dedup(spark):
-    from quern.llm.op10_lines import _parts, line_dedup, without_repeats
+    from quern.llm.op10_lines import line_dedup, without_repeats
 
     rng = random.Random(2)
     line = lambda: " ".join(f"x{rng.randrange(10_000)}" for _ in range(rng.choice([2, 8, 15])))
@@ -218,22 +259,35 @@ def test_line_dedup(spark):
         at = rng.randrange(len(ls) + 1)
         ls[at:at] = shared if k % 3 == 0 else [long_line] if k % 3 == 1 else []
         rows.append((k, "\n".join(ls), "s"))
-    rows += [(50, None, "s"), (51, "", "s"), (None, "\n".join(shared), "s"), (52, "\n\n\n\n", "s"), (53, "\n\n\n\n", "s"), rows[0]]
-    seen, want = {}, []
-    for key, text, _ in rows:
-        if key is not None:
-            for i, (_, part, may) in enumerate(_parts((text or "").encode())):
-                if may:
-                    seen.setdefault(part, set()).add((key, i))
-    for key, text, _ in rows:
-        kept = [p for i, (_, p, may) in enumerate(_parts((text or "").encode())) if key is None or not may or min(seen[p]) == (key, i)]
-        want.append((key, None if text is None else b"\n".join(kept).decode()))
+    rows += [(50, None, "s"), (51, "", "s"), (None, "\n".join(shared), "s"), (None, "\n".join([*shared, "end"]), "s"), (52, "\n\n\n\n", "s"), (53, "\n\n\n\n", "s"), rows[0]]
+    # Rows that share an id but not the text: what is unique stays.
+    rows += [(60, "alpha beta\ngamma delta", "s"), (61, "alpha beta\ngamma delta", "s"), (61, "unique one\nunique two", "s"), (3, "other text\nof its own", "s")]
+    want = deduplicated(rows)
     got = [(r["doc_id"], r["text"]) for r in without_repeats(docs(spark, rows, extra=True)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert sum(long_line in (t or "") for _, t in got) == 1
+    assert sum(long_line in (t or "") for _, t in got) == 1 and (61, "unique one\nunique two") in got and (61, "") in got
     again = line_dedup(docs(spark, rows))
     assert again.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted([(r[0], r[1]) for r in again.collect()], key=str) == sorted(want, key=str)
-    assert without_repeats(docs(spark, [])).count() == 0
+    clash = docs(spark, rows).selectExpr("1 AS n_lines", "doc_id", "2 AS n_chunks", "text", "3 AS removed_lines", "4 AS _at", "5 AS gone_at", "'z' AS c1", "6 AS `a.b`", "lang", "7 AS th")
+    out = line_dedup(clash)
+    assert out.columns == clash.columns and out.dtypes == clash.dtypes
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == sorted(want, key=str) and {(r["n_lines"], r["a.b"], r["c1"], r["th"]) for r in out.collect()} == {(1, 6, "z", 7)}
+    assert without_repeats(docs(spark, [])).count() == 0 and line_dedup(docs(spark, [])).count() == 0
+
+
+def test_chunks_resist_shifts():
+    """Lines put in before a passage move no boundary but those next to it; boundaries are as stated."""
+    from quern.llm.op10_lines import chunks
+
+    rng = random.Random(31)
+    for _ in range(50):
+        lines = [f"line {rng.randrange(10**6)}" for _ in range(60)]
+        text, shifted = "\n".join(lines), "\n".join([f"new {i}" for i in range(rng.randrange(1, 9))] + lines)
+        for t in (text, shifted):
+            ls = t.split("\n")
+            assert [["\n".join(ls[a:b]), b - a] for a, b in chunks(t.encode())] == line_chunks(t)
+        ends = lambda t: {t.split("\n")[b - 1] for _, b in chunks(t.encode())}
+        assert len(ends(text) - ends(shifted)) <= 3
 
 
 def test_line_runs(spark):
@@ -258,14 +312,15 @@ def test_line_runs(spark):
                     yield a, b, "\n".join(ls[a:b])
 
     first, want = {}, []
+    place = lambda key, text: (key is None, key or 0, signed_hash(text))
     for key, text, _ in rows:
-        for a, _, part in stretches(text) if key is not None else ():
-            first[part] = min(first.get(part, (10**9, 0)), (key, a))
+        for a, _, part in stretches(text):
+            first[part] = min(first.get(part, ((True, 10**9, 0), 0)), (place(key, text), a))
     for key, text, _ in rows:
         gone = set()
-        for a, b, part in stretches(text) if key is not None else ():
+        for a, b, part in stretches(text):
             k, at = first[part]
-            if k != key or a >= at + b - a:
+            if k != place(key, text) or a >= at + b - a:
                 gone.update(range(a, b))
         want.append((key, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)))
     got = without_repeats(docs(spark, rows), runs=True).collect()
