@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .registry import query
 
 
@@ -68,10 +69,10 @@ def filter_eq_int(t) -> DataFrame:
     return t.part.where(F.col("p_size") == 15).select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1000 AND p_size >= 3 AND p_size <= 40 AND p_retailprice < 1500")
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 910 AND p_size >= 3 AND p_size <= 40 AND p_retailprice < 1500")
 def filter_range(t) -> DataFrame:
     p = F.col("p_retailprice")
-    return t.part.where((p > 1000) & (F.col("p_size") >= 3) & (F.col("p_size") <= 40) & (p < 1500)).select("p_partkey", "p_retailprice")
+    return t.part.where((p > 910) & (F.col("p_size") >= 3) & (F.col("p_size") <= 40) & (p < 1500)).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < -700.00")
@@ -126,9 +127,9 @@ def semi_join(t) -> DataFrame:
     return t.customer.join(t.orders.where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def anti_join(t) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT count(*) AS \"TOTAL CUSTOMER\" FROM customer")
@@ -322,26 +323,31 @@ def dedupe_keep_first(t) -> DataFrame:
     return t.documents.groupBy("text", "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
 
 
-def ntiles(df: DataFrame, n: int, key, order: list, parts: int = 64) -> DataFrame:
-    """df with `tile`: NTILE(n) over the whole table by a total order, without gathering it in one task.
+def ntiles(df: DataFrame, n: int, key: str, order: list[tuple[str, bool]]) -> DataFrame:
+    """df with `tile`: NTILE(n) over the whole table by (column, descending) of order, nulls last, then by the unique key; no task gathers the table.
 
-    Rows are range-partitioned by the order, counted by partition, and numbered from their partition's offset."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn("_at", F.row_number().over(own))
-    sizes = numbered.groupBy("_part").agg(F.max("_at").alias("_n"))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    Only key and order are sorted: range-partitioned, written once (ranges are sampled, so they differ each time they are
+    planned), counted by partition, and numbered from their partition's offset. The other columns are joined by the key."""
+    columns = list(dict.fromkeys([*(c for c, _ in order), key]))
+    by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order] + [F.col(key).asc_nulls_last()]
+    ranged = cut(df.select(*columns).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    placed = numbered.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_at") + F.col("_before") - 1)  # `parts` rows
+    placed = numbered.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_at") + F.col("_before") - 1)
     base, extra = F.floor(F.col("_total") / n), F.col("_total") % n
     tile = F.when(F.col("_at") < extra * (base + 1), F.floor(F.col("_at") / (base + 1))).otherwise(extra + F.floor((F.col("_at") - extra * (base + 1)) / F.greatest(base, F.lit(1)))) + 1
-    return placed.withColumn("tile", tile.cast("long")).drop("_part", "_at", "_before", "_total")
+    tiled = placed.withColumn("tile", tile.cast("long"))
+    if set(df.columns) == set(columns):
+        return tiled.select(*df.columns, "tile")
+    return df.join(tiled.select(F.col(key).alias("_key"), "tile"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
-@query("SELECT c_custkey, ntile(4) OVER (ORDER BY c_acctbal DESC, c_custkey) AS customer_segment FROM customer")
+@query("SELECT c_custkey, ntile(4) OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS customer_segment FROM customer")
 def ntile4(t) -> DataFrame:
     d = t.customer.select("c_custkey", "c_acctbal")
-    return ntiles(d, 4, "c_custkey", [F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey").asc()]).select("c_custkey", F.col("tile").alias("customer_segment"))
+    return ntiles(d, 4, "c_custkey", [("c_acctbal", True)]).select("c_custkey", F.col("tile").alias("customer_segment"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")

@@ -31,34 +31,78 @@ def _parsed(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
+def _seq(scala) -> list:
+    return [scala.apply(i) for i in range(scala.size())]
+
+
+def _defined(node) -> list:
+    """(name, plan) of what a WITH defines, in order."""
+    return [(c._1().lower(), c._2()) for c in _seq(node.cteRelations())] if node.nodeName() == "UnresolvedWith" else []
+
+
+def _below(node) -> list:
+    """Plans under a node: its children, the subqueries in its expressions, and what a WITH defines."""
+    return _seq(node.children()) + _seq(node.subqueries()) + [plan for _, plan in _defined(node)]
+
+
 def _nodes(plan):
     todo = [plan]
     while todo:
         node = todo.pop()
         yield node
-        for seq in (node.children(), node.innerChildren()):
-            for i in range(seq.size()):
-                if hasattr(child := seq.apply(i), "children"):
-                    todo.append(child)
-
-
-_WRITES = ("Insert", "Drop", "Create", "Delete", "Update", "Merge", "Set", "Show", "Explain", "Alter", "Truncate", "Describe", "Use", "Cache", "Refresh", "Load", "Add", "Command", "Replace")
+        todo += _below(node)
+
+
+def _functions(plan):
+    """Names of the functions that a plan's expressions call, lower-cased, without their schema."""
+    for node in _nodes(plan):
+        names = [node.name()] if node.nodeName() == "UnresolvedTableValuedFunction" else []
+        todo = _seq(node.expressions())
+        while todo:
+            e = todo.pop()
+            if e.getClass().getSimpleName() == "UnresolvedFunction":
+                names.append(e.nameParts())
+            todo += _seq(e.children())
+        yield from (_seq(n)[-1].lower() for n in names)
+
+
+def _relations(plan, known: frozenset = frozenset()):
+    """Name parts of the tables that a plan reads. A name that a WITH defines hides a table within that WITH, from its definition on."""
+    if plan.nodeName() == "UnresolvedRelation":
+        parts = [p.lower() for p in _seq(plan.multipartIdentifier())]
+        if len(parts) > 1 or parts[0] not in known:
+            yield parts
+    defined = _defined(plan)
+    for name, body in defined:
+        yield from _relations(body, known | {name} if plan.allowRecursion() else known)
+        known = known | {name}
+    for below in _seq(plan.children()) + _seq(plan.subqueries()):
+        yield from _relations(below, known)
+
+
+_WRITES = ("Insert", "Drop", "Create", "Delete", "Update", "Merge", "Set", "Show", "Explain", "Alter", "Truncate", "Describe", "Use", "Cache", "Refresh", "Load", "Add", "Command", "Replace", "ScriptTransformation")
+#: Set operations, whose names begin like a write's.
+_PLAIN = ("SetOperation",)
+#: Functions that run code of the caller's choice.
+DENIED = ("java_method", "reflect", "try_reflect")
+#: A relation of this schema is a file, not a table.
+FILES = ("parquet", "orc", "csv", "json", "text", "binaryfile", "avro", "xml", "jdbc")
 
 
 def guard_plan(spark: SparkSession, sql: str) -> bool:
-    """Read-only by its parsed plan: no command or write in it. Words in literals don't matter."""
+    """Read-only by its parsed plan: no command, write, script, call of other code or direct read of files in it. Words in literals don't matter."""
     try:
         plan = _parsed(spark, sql.strip().rstrip(";"))
     except Exception:
         return False
-    return not any(n.nodeName().startswith(_WRITES) or "Command" in n.nodeName() for n in _nodes(plan))
+    if any(n.nodeName().startswith(_WRITES) and n.nodeName() not in _PLAIN or "Command" in n.nodeName() for n in _nodes(plan)):
+        return False
+    return not any(f in DENIED for f in _functions(plan)) and not any(len(r) > 1 and (r[0] in FILES or "/" in r[-1]) for r in _relations(plan))
 
 
 def tables_of(spark: SparkSession, sql: str) -> set[str]:
-    """Tables that a statement names (lower-cased), without its own CTEs."""
-    text = _parsed(spark, sql.strip().rstrip(";")).toString()
-    found = {m.replace(" ", "").replace(",", ".").lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    return found - {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s+([a-z_]\w*)\s+as\s*\(", sql)}
+    """Tables that a statement reads (lower-cased), without the names that its own WITH clauses define where these apply."""
+    return {".".join(r) for r in _relations(_parsed(spark, sql.strip().rstrip(";")))}
 
 
 def named_tables(sql: str) -> set[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,22 @@ def build(app: str = "quern", master: str | None = None, **conf: str) -> SparkSe
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: what spark.checkpoint.dir names; a temporary one only where it is unset and all runs on this machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="quern-shared-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once, keep it in the shared checkpoint folder and forget its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -78,6 +78,12 @@ def test_gateway(spark):
     assert "orders" in attach(spark, DIR) and "orders" in list_tables(spark) and describe(spark, "orders")["o_orderkey"] == "bigint" and catalog(spark, ["nation"]).count() == len(spark.table("nation").columns)
     assert g.guard_text("-- drop\nSELECT 1") and not g.guard_text("SELECT 'drop'") and g.guard_plan(spark, "SELECT 'drop' AS w") and not any(g.guard_plan(spark, s) for s in ("DROP TABLE a", "INSERT INTO a VALUES (1)", "SET x=1", "SHOW TABLES", "CREATE TABLE a (b int)", "not sql"))
     assert g.tables_of(spark, "WITH x AS (SELECT * FROM orders) SELECT * FROM x, nation") == {"orders", "nation"} and g.whitelisted(spark, "SELECT * FROM orders", {"ORDERS"})
+    # A literal or an alias that looks like a WITH hides no table; a WITH hides one only where it applies.
+    assert g.tables_of(spark, "SELECT ', orders as (' AS x, o_orderkey FROM orders") == {"orders"} and not g.whitelisted(spark, "SELECT ', orders as (' AS x, o_orderkey FROM orders", {"nation"})
+    assert g.tables_of(spark, "SELECT * FROM (WITH orders AS (SELECT 1 AS a) SELECT * FROM orders) x, orders") == {"orders"}
+    assert g.tables_of(spark, "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a WHERE 1 IN (SELECT c_custkey FROM customer)") == {"b", "customer"}
+    assert not any(g.guard_plan(spark, s) for s in ("SELECT java_method('java.lang.System', 'exit', 0)", "SELECT 1 FROM nation WHERE n_name = (SELECT reflect('java.util.UUID', 'randomUUID'))", "SELECT * FROM parquet.`/etc/x`", "WITH a AS (SELECT try_reflect('a', 'b') AS x) SELECT * FROM a", "SELECT TRANSFORM (n_name) USING 'cat' FROM nation"))
+    assert g.guard_plan(spark, "SELECT 1 UNION SELECT 2") and g.guard_plan(spark, "SELECT * FROM range(3)") and g.guard_plan(spark, "SELECT 'java_method' AS w")
     kinds = {"SELECT FROM": "binder", "SELECT * FROM nothere": "catalog", "SELECT nocol FROM orders": "binder", "SELECT * FRM orders x y": "parser", "SELECT o_custkey, count(*) FROM orders": "binder"}
     for sql, kind in kinds.items():
         assert g.error_class(g.analysed(spark, sql)) == kind, sql
@@ -100,6 +106,9 @@ def test_matches(spark):
     assert match_set_or_subset(*none) and match_bag_or_ordered(*none)
     f = lambda *xs: d([(x,) for x in xs], "x double")
     assert match_rounded_set(f(1.001), f(1.002)) and not match_bag_or_ordered(f(1.001), f(1.002)) and match_bag_or_ordered(f(1.0, 2.0), f(2.0, 1.0)) and not match_bag_or_ordered(f(1.0, 2.0), f(2.0, 1.0), "select x from t order by x")
+    assert not match_bag_or_ordered(d([(1,)], "a int"), d([("1",)], "a string")) and match_bag_or_ordered(d([(1,)], "a int"), d([(1.0,)], "a double"))
+    many = spark.range(1000).selectExpr("id % 7 AS k", "id")
+    assert match_bag_or_ordered(many.orderBy("k", "id"), many.repartition(5).orderBy("k", "id"), "select 1 order by 1") and not match_bag_or_ordered(many.orderBy("k", "id"), many.orderBy("id"), "select 1 order by 1")
     assert empty_class(d([(None, None)])) == "empty" and empty_class(d([])) == "empty" and empty_class(one) == "rows"
 
 
@@ -129,3 +138,26 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").count() == tumbling_counts(batch).count()
+
+
+def test_ntiles_of_wide_tables(spark):
+    """More rows than range bounds are sampled from, with a payload: tiles are exact."""
+    from quern.operators.relational import ntiles
+
+    wide = spark.range(2_000_000).selectExpr("id", "id % 1000 AS v", "repeat('x', 40) AS payload", "id * 3 AS other")
+    got = ntiles(wide, 4, "id", [("v", True)]).groupBy("tile").agg({"*": "count", "v": "max"}).orderBy("tile").collect()
+    assert [(r["tile"], r["count(1)"]) for r in got] == [(k, 500_000) for k in (1, 2, 3, 4)] and [r["max(v)"] for r in got] == [999, 749, 499, 249]
+    few = ntiles(spark.range(5).selectExpr("id", "CAST(NULL AS INT) AS v"), 3, "id", [("v", False)]).orderBy("id").collect()
+    assert [r["tile"] for r in few] == [1, 1, 2, 2, 3]
+
+
+def test_validation(spark):
+    from quern.plans.evaluate import revalidated, validation_report
+    from quern.sources.files import attach
+
+    attach(spark, DIR)
+    each, report = validation_report(spark, [("a", "SELECT 1 AS x"), ("b", "SELECT * FROM nation WHERE 1 = 0"), ("c", "SELECT NULL AS x"), ("d", "SELECT nocol FROM nation"), ("e", "SELEC 1")])
+    assert {r["id"]: r["outcome"] for r in each.collect()} == {"a": "rows", "b": "empty", "c": "empty", "d": "binder", "e": "parser"}
+    assert {(r["outcome"], r["n"], r["percent"], *r["examples"]) for r in report.collect()} == {("rows", 1, 20.0, "a"), ("empty", 2, 40.0, "b", "c"), ("binder", 1, 20.0, "d"), ("parser", 1, 20.0, "e")}
+    got = revalidated(spark, [("1", "SELECT * FROM nation"), ("2", "SELECT * FROM region"), ("3", "SELECT nocol FROM nation")], {"nation": ["n_name"], "region": ["no_such"]})
+    assert [tuple(r) for r in got.collect()] == [("1", "SELECT n_name FROM nation", True, "OK"), ("2", "SELECT * FROM region", False, "OK"), ("3", "SELECT nocol FROM nation", False, "ERROR")]
