@@ -1,6 +1,6 @@
 """Named queries of the reference's operators."""
 
-from . import corpus, linking, relational  # noqa: F401
+from . import analytics, context, corpus, linking, matching, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 from ..streaming import windows  # noqa: F401  # isort: skip
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Column names that models get wrong, and what they mean in the warehouse.
 RENAMES = {"d_quarter": "d_qoy", "d_weekday": "d_day_name", "d_wday": "d_day_name", "ca_email_address": "c_email_address", "ca_birth_country": "c_birth_country", "cd_preferred_cust_flag": "c_preferred_cust_flag", "cd_salutation": "c_salutation"}
 #: A rename that changes what a query means, for the column exists: only on request.
@@ -95,3 +98,20 @@ def repaired(sql: str) -> tuple[str, list[str]]:
             done.append(name)
         sql = new
     return terminated(sql), done
+
+
+def training_filter(statements: DataFrame, valid: list[str], most: int) -> DataFrame:
+    """(sql, valid, short): whether a statement names known tables alone (after FROM and JOIN, as text has them), and has at most so many tokens."""
+    names = F.regexp_extract_all(F.lower("sql"), F.lit(r"\b(?:from|join)\s+([a-z_]+)"), F.lit(1))
+    known = F.array(*(F.lit(v.lower()) for v in valid))
+    return statements.select("sql", F.forall(names, lambda n: F.array_contains(known, n)).alias("valid"), (F.size(F.split("sql", " ")) <= most).alias("short"))
+
+
+def without_unneeded_join(left: DataFrame, right: DataFrame, on: Column, wanted: list[str], unique: list[str], where: Column | None = None) -> DataFrame:
+    """The wanted columns of left LEFT JOIN right: without the join, if right's key is unique and nothing wanted is right's.
+
+    unique: right's columns that the condition compares and that are known to be its key."""
+    rows = left if where is None else left.where(where)
+    if unique and all(c in left.columns for c in wanted):
+        return rows.select(*wanted)
+    return rows.join(right, on, "left").select(*wanted)

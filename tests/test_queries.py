@@ -161,3 +161,62 @@ def test_validation(spark):
     assert {(r["outcome"], r["n"], r["percent"], *r["examples"]) for r in report.collect()} == {("rows", 1, 20.0, "a"), ("empty", 2, 40.0, "b", "c"), ("binder", 1, 20.0, "d"), ("parser", 1, 20.0, "e")}
     got = revalidated(spark, [("1", "SELECT * FROM nation"), ("2", "SELECT * FROM region"), ("3", "SELECT nocol FROM nation")], {"nation": ["n_name"], "region": ["no_such"]})
     assert [tuple(r) for r in got.collect()] == [("1", "SELECT n_name FROM nation", True, "OK"), ("2", "SELECT * FROM region", False, "OK"), ("3", "SELECT nocol FROM nation", False, "ERROR")]
+
+
+def test_augmentation():
+    from quern.operators.corpus import CATEGORIES, PHRASES, STATES, Draws, mistyped, paraphrased, variants
+
+    asked, sql = "Tìm khách hàng tại CA quý 2 năm 1999 Books", "SELECT 1 WHERE s = 'CA' AND d_year = 1999 AND d.d_qoy = 2 AND i = 'Books'"
+    kinds = {}
+    for seed in range(300):
+        found = variants(asked, sql, seed)
+        assert found == variants(asked, sql, seed) and found[0] == ("original", asked, sql) and len(found) <= 5
+        for kind, q, s in found[1:]:
+            kinds[kind] = kinds.get(kind, 0) + 1
+            if kind == "values":
+                state = next(x for x in STATES if f"'{x}'" in s)
+                assert state != "CA" and f"tại {state} " in q and "1999" not in q + s and "= 2 " not in s and "quý 2" not in q
+            if kind == "category":
+                assert next(x for x in CATEGORIES if f"'{x}'" in s) in q and "Books" not in q + s
+            if kind in ("paraphrase", "typo"):
+                assert s == sql and q != asked
+    assert kinds["values"] == kinds["category"] == 300 and 50 < kinds["typo"] < 130 and 100 < kinds["paraphrase"] <= 300
+    assert all(paraphrased("xyz", Draws(k)) == "xyz" and mistyped("", Draws(k)) == "" for k in range(50)) and len(PHRASES) == 13
+
+
+def test_more_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.functions.text import asr_report, transcripts
+    from quern.sources import files as f
+
+    (tmp_path / "b.json").write_text('[{"text": "one", "sql": "s"}, {"id": "x", "question": "two"}, {"id": "none"}]')
+    assert [tuple(r) for r in f.benchmark_json(spark, str(tmp_path / "no.json"), str(tmp_path / "b.json")).collect()] == [("q0", "one", "s"), ("x", "two", None)]
+    f.write_index(spark.range(3), str(tmp_path / "i"))
+    assert f.read_index(spark, str(tmp_path / "older"), str(tmp_path / "i")).count() == 3
+    with pytest.raises(FileNotFoundError):
+        f.read_index(spark, str(tmp_path / "older"))
+    days = f.date_dim(spark, "1998-01-01", "1998-12-31").collect()
+    assert len(days) == 365 and days[0]["d_day_name"] == "Thursday" and sum(r["d_weekend"] == "Y" for r in days) == 104 and days[-1]["d_qoy"] == 4
+    fact = f.sales(spark, 5000)
+    assert fact.collect() == f.sales(spark, 5000).repartition(3).orderBy("ss_ticket_number").collect() and 50 < fact.where("ss_item_sk IS NULL").count() < 200
+    assert fact.join(f.date_dim(spark, "1998-01-01", "2002-12-31"), F.col("ss_sold_date_sk") == F.col("d_date_sk")).count() == 5000
+    assert "|g  |2    |" in f.grouped_text(spark.range(2).groupBy(F.lit("g").alias("g")).count(), "g")
+    f.write_csv(spark.createDataFrame([("a,b", 'say "x"')], "p string, q string"), str(tmp_path / "c"))
+    assert [tuple(r) for r in f.csv(spark, str(tmp_path / "c"), "p string, q string").collect()] == [("a,b", 'say "x"')]
+    f.write_jsonl(spark.createDataFrame([("é", None)], "p string, q string"), str(tmp_path / "l"))
+    assert any("é" in x.read_text() for x in (tmp_path / "l").glob("*.json")) and [tuple(r) for r in f.jsonl(spark, str(tmp_path / "l"), "p string, q string").collect()] == [("é", None)]
+    heard = transcripts(spark.createDataFrame([(1, bytearray(b"sellect x form t")), (2, None)], "k int, content binary"), lambda b: b.decode()).orderBy("k").collect()
+    assert heard[0]["text"] == "sellect x form t" and heard[0]["sql_text"] == "SELECT x FROM t" and heard[1]["text"] is None
+    got = asr_report(spark.createDataFrame([("m", "số 5", "Số năm!")], "model string, reference string, hypothesis string"), normal=True).collect()
+    assert got[0]["mean_wer"] == 0.0
+
+
+def test_nearest_in_blocks(spark):
+    from quern.operators.linking import nearest
+
+    e = spark.read.parquet(f"{DIR}/embeddings.parquet").selectExpr("vec_id AS did", "embedding AS vec")
+    q = e.where("did % 10 = 0").selectExpr("did AS qid", "vec")
+    key = lambda d: sorted((r["qid"], r["rank"], r["did"]) for r in d.collect())
+    assert key(nearest(e, q, 4, block=3)) == key(nearest(e.repartition(5), q, 4)) and len(key(nearest(e, q, 4))) == 4 * q.count()
+    assert nearest(e, q.limit(0), 4).count() == 0
