@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import ntiles
 from .common import WORD, cut, read
 
 #: Sources weigh these, repeating, in order of their names.
@@ -23,22 +24,21 @@ SEED = 20
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) of (source, source_size): shares of the total by weight, none above most times its size.
 
-    A target is min(most * size, level * weight) at the level where targets add up to the total. Over sources
-    in order of most * size / weight, the level is what the total lacks after the sources below it, a weight.
+    A target is min(most * size, level * weight) at the level where targets add up to the total. The level is raised
+    by what the sources below it can't take until no more of them are full: each round is an aggregate, and the place of a
+    source in the order of names comes from ranges, so sources may be many.
     """
-    name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.select("source", "source_size", w.alias("w")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    line = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, whole = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.select("*", F.sum("source_size").over(whole).alias("total"), F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("full"),
-                 (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("open"))
-    s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    # The first source whose cap is not below its level, and all after it, share that level; all before are full.
-    s = s.withColumn("place", F.row_number().over(line))
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("place", "level"))).over(whole)
-    s = s.withColumn("final", first["level"])
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
+    placed = ntiles(sources.select("source", "source_size"), max(1, sources.count()), "source", [("source", False)])
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("tile") - 1, F.lit(len(weights))) + 1).cast("int"))
+    s = cut(placed.select("source", "source_size", w.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("cap")))
+    total, level, full, held = s.agg(F.sum("source_size")).first()[0] or 0, 0.0, F.lit(False), -1
+    while True:
+        taken, open_, n = s.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full)).first()
+        if n == held or not open_:
+            break
+        level, held = (total - (taken or 0.0)) / open_, n
+        full = F.col("cap") < F.lit(level) * F.col("w")
+    return s.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def _uniform(ids: np.ndarray, level: int) -> np.ndarray:
@@ -108,21 +108,21 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, leaf: int = LEAF)
     any size is rounded by a tree of small tasks and ends within one document of its target. taken = copies *
     size, at most `most` times it.
 
-    Draws depend on ids alone, so reruns agree. A null source is one source, the last; null ids are drawn alike
-    by size. Documents without words take none. Repeated rows are drawn each for itself; an empty table gives
+    Draws depend on ids alone, so reruns agree. A null source is one source, the last; rows without an id are drawn by
+    their text. Documents without words take none. Repeated rows are drawn each for itself; an empty table gives
     no rows; extra columns are ignored.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                           F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    text = F.col("text").cast("string")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"),
+                           F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goals = cut(targets(sums, weights, most).join(sums.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
     n_sources, largest = goals.agg(F.count("*"), F.max("docs")).first()
     side = F.broadcast(goals) if n_sources <= 100_000 else goals
     g = side.select(F.col("source").alias("s2"), "source_size", "target", F.ceil(F.col("docs") / leaf).alias("leaves"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.coalesce("doc_id", F.col("size"))
     level = rows.join(g, F.col("source").eqNullSafe(F.col("s2"))).select(
-        F.pmod(F.xxhash64(F.lit(SEED), key), F.col("leaves")).cast("long").alias("grp"), "doc_id", key.alias("key"), "size", "source", "source_size", "target",
+        F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col("leaves")).cast("long").alias("grp"), "doc_id", "key", "size", "source", "source_size", "target",
         F.least(F.floor(ratio + 1e-12), F.lit(most)).cast("long").alias("whole"), F.when(F.col("size") > 0, F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0))).otherwise(F.lit(0.0)).alias("p"))
     done, groups, depth = None, max(1, math.ceil((largest or 0) / leaf)), 0
     while True:
