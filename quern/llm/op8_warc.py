@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read, shared_dir, small_side, text_batches
@@ -20,8 +20,8 @@ from .files import Store
 
 #: Payload bytes that a shard is meant to hold, and compressed bytes at which a file is rolled.
 SHARD_BYTES, FILE_BYTES = 16 << 20, 8 << 20
-#: At most about so many shards; cells that a range is divided into while shard bounds are sought.
-SHARDS, CELLS = 4096, 256
+#: Tasks that write shards; of more shards, a task writes several.
+TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BROADCAST_ROWS = 500_000
@@ -29,42 +29,18 @@ _NAMES = uuid.UUID("6f3a8c1e-5d0b-4a53-9c0e-2f6a7c1d9b42")
 
 
 def bounds(pages: DataFrame, target: int) -> list[int]:
-    """Ids at which shards begin, from exact byte counts of the ids' ranges: the same for the same table, however it is split.
-
-    Ranges that hold more than target bytes are counted again in smaller cells. The driver sees CELLS rows for
-    each such range, of which there are at most total / target."""
-    sized = pages.where("page_id is not null").select("page_id", F.octet_length("payload").alias("n"))
-    lo, hi, total = sized.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if lo is None:
-        return []
-    target = max(target, total // SHARDS)
-    todo, cells = [(lo, hi + 1)], []
-    while todo:
-        split = []
-        for a, b in todo:
-            width = max(1, -(-(b - a) // CELLS))
-            split.append((a, b, width))
-        starts = F.array(*(F.struct(*(F.lit(x).cast("decimal(20,0)").alias(n) for x, n in zip(s, "abw"))) for s in split))
-        cell = F.get(F.filter(starts, lambda s: (F.col("page_id") >= s["a"]) & (F.col("page_id") < s["b"])), F.lit(0))
-        start = (cell["a"] + F.floor((F.col("page_id") - cell["a"]) / cell["w"]) * cell["w"]).cast("decimal(20,0)")
-        counted = sized.select("n", start.alias("at"), cell["w"].alias("w"), cell["b"].alias("b")).where("at is not null").groupBy("at", "w", "b").agg(F.sum("n")).collect()
-        todo = []
-        for at, w, b, n in ((int(r[0]), int(r[1]), int(r[2]), r[3]) for r in counted):
-            if n > target and w > 1:
-                todo.append((at, min(at + w, b)))
-            else:
-                cells.append((at, n))
-        if len(todo) > SHARDS:
-            cells += [(a, target) for a, _ in todo]
-            todo = []
-    out, held = [], 0
-    for at, n in sorted(cells):
-        if out and held + n <= target:
-            held += n
-        else:
-            out.append(at)
-            held = n
-    return out
+    """Ids at which shards begin: the same for the same table, however it is split.
+
+    Ids are sorted in ranges and the bytes before each are summed up, within a range and over the ranges before it; a shard
+    begins where that passes a multiple of target. An id's rows stay together. The driver gets a number for each shard."""
+    sizes = pages.where("page_id is not null").groupBy("page_id").agg(F.sum(F.octet_length("payload")).alias("n"))
+    ranged = cut(sizes.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = ranged.groupBy("part").agg(F.sum("n").alias("held")).select("part", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("offset"))
+    own = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.select("page_id", "part", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("before")).join(F.broadcast(offsets), "part")
+    shard = F.floor((F.col("before") + F.col("offset")) / F.lit(target))
+    return sorted(r[0] for r in before.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("first")).select("first").collect())
 
 
 def _clean(url: str | None, page_id) -> str:
@@ -170,7 +146,8 @@ def write_archives(pages: DataFrame, top: str, shard_bytes: int = SHARD_BYTES, f
 
     refers = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     marked = keyed.join(small_side(cut(again), BROADCAST_ROWS), ["digest", "check"], "left").select(shard_of("page_id").alias("shard"), "page_id", "url", "payload", refers.alias("refers_to"))
-    dealt = marked.repartitionById(len(starts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "url", "payload")
+    tasks = min(len(starts) + 1, TASKS)
+    dealt = marked.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "page_id", "url", "payload")
     dealt.mapInArrow(_write_rows(top, file_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{top}/manifest")
     return spark.read.parquet(f"{top}/manifest")
 
