@@ -63,21 +63,25 @@ def skeleton(v: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """records with layout, fingerprint and turns (array of role and text) in place of the record, a variant or JSON text.
+    """records with fingerprint, layout and turns (array of role and text) in place of the record, a variant or JSON text.
 
     The fingerprint hashes the record's nested field paths and selects the mapping that is declared for it. A
     null, unreadable or unknown record keeps its row with null layout and turns, its fingerprint telling what
-    to declare. Null texts and roles become empty.
+    to declare. Null texts and roles become empty. Other columns stay, whatever their names, but for those called like
+    the three that are added. An empty table gives no rows.
     """
     is_text = dict(records.dtypes)[record_col] == "string"
-    v = F.try_parse_json(F.col(record_col)) if is_text else F.col(record_col)
-    known = records.withColumn("v", v).withColumn("fingerprint", F.xxhash64(skeleton(F.col("v"))))
+    v = F.try_parse_json(F.col(f"`{record_col}`")) if is_text else F.col(f"`{record_col}`")
+    others = [c for c in records.columns if c not in (record_col, "fingerprint", "layout", "turns")]
+    # Other columns go along in one, so that no name clashes.
+    known = records.select(F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"), v.alias("v"))
+    known = known.withColumn("fingerprint", F.xxhash64(skeleton(F.col("v"))))
     keys = {layout.name: [F.xxhash64(F.lit(s)) for s in layout.skeletons] for layout in layouts}
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     for layout in reversed(layouts):
         fits = F.col("v").isNotNull() & F.col("fingerprint").isin(*keys[layout.name])
         name, turns = F.when(fits, F.lit(layout.name)).otherwise(name), F.when(fits, F.coalesce(F.expr(layout.turns), F.expr("CAST(array() AS array<struct<role: string, text: string>>)"))).otherwise(turns)
-    return known.withColumn("layout", name).withColumn("turns", turns).drop("v", record_col)
+    return known.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(others)), "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -92,24 +96,38 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, f"{ESCAPE}({ESCAPE}?)", "$1")
 
 
+#: Turns whose places are summed up one by one; longer conversations go in steps of so many.
+STEP = 256
+
+
 def formatted(chats: DataFrame) -> DataFrame:
     """chats with formatted (text) and loss (spans of code points, from 1, that hold an assistant's text) from turns.
 
-    A conversation is one training text: what it holds is gathered in one row. Null turns give null.
+    A conversation is one training text: what it holds is gathered in one row, which Spark limits to 2 GB and which needs
+    several times its size in memory. Null turns give null; columns called formatted or loss are replaced.
     """
+    own = next(n for k in range(len(chats.columns) + 1) if (n := f"parts{k}") not in chats.columns)
     parts = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
-    spans = F.aggregate(
-        "parts",
-        F.expr("named_struct('at', 1, 'spans', CAST(array() AS array<struct<start: int, len: int>>))"),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-            F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len"))))).otherwise(acc["spans"]).alias("spans"),
+    part, n = lambda i: F.get(F.col(own), i), F.size(own)
+    size = lambda i: F.length(part(i)["head"]) + F.length(part(i)["body"]) + len(END)
+    steps = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STEP))
+    places = lambda c: F.sequence(c, F.least(c + (STEP - 1), n - 1))
+    # Where each step begins; then the spans of each step from there: the work is in proportion to the turns, for lists that grow are short.
+    starts = F.aggregate(steps, F.expr("array(1)"), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + F.aggregate(places(c), F.lit(0), lambda a, i: a + size(i)))))
+    spans_of = lambda c, start: F.aggregate(
+        places(c),
+        F.struct(start.alias("at"), F.expr("CAST(array() AS array<struct<start: int, len: int>>)").alias("spans")),
+        lambda acc, i: F.struct(
+            (acc["at"] + size(i)).alias("at"),
+            F.when(part(i)["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(part(i)["head"])).alias("start"), F.length(part(i)["body"]).alias("len"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return chats.withColumn("parts", parts).withColumn("formatted", whole).withColumn("loss", spans).drop("parts")
+    spans = F.flatten(F.get(F.transform(F.array(starts), lambda s: F.transform(steps, lambda c, k: spans_of(c, F.get(s, k)))), F.lit(0)))
+    loss = F.when(n > 0, spans).when(n == 0, F.expr("CAST(array() AS array<struct<start: int, len: int>>)"))
+    whole = F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    return chats.withColumn(own, parts).withColumn("formatted", whole).withColumn("loss", loss).drop(own)
 
 
 def turns_of(text: Column) -> Column:
@@ -126,14 +144,24 @@ def loss_text(text: Column, loss: Column) -> Column:
 
 
 def gathered(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, record): one record of messages for each conversation; rows by turn, then role and text.
+    """(id, record): one record for each conversation, in the plainest layout that holds it; rows by turn, then role and text.
 
-    Null roles and texts are empty, null turns come first, a null id is one conversation, repeated rows are
-    turns of their own. Extra columns are ignored."""
+    A question and its answer are a prompt and a response, with a system text before them that too; talks of users and
+    assistants are a dialogue, all else is messages. Null roles and texts are empty, null turns come first, a null id is one
+    conversation, repeated rows are turns of their own. Extra columns are ignored; an empty table gives no rows."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     listed = rows.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    text = lambda k: F.get(F.col("m"), F.lit(k))["content"]
+    roles = F.transform("m", lambda x: x["role"])
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    pair = F.struct(text(0).alias("prompt"), text(1).alias("response"))
+    triple = F.struct(text(1).alias("prompt"), text(2).alias("response"), text(0).alias("system"))
+    sides = F.transform("m", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
     messages = F.transform("m", lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
-    return listed.select(id_col, F.expr("1").alias("_"), messages.alias("messages")).select(id_col, F.to_variant_object(F.struct("messages")).alias("record"))
+    variant = lambda c: F.to_variant_object(c)
+    record = F.when(is_("user", "assistant"), variant(pair)).when(is_("system", "user", "assistant"), variant(triple))
+    record = record.when(F.forall(roles, lambda r: r.isin("user", "assistant")), variant(F.struct(sides.alias("conversations")))).otherwise(variant(F.struct(messages.alias("messages"))))
+    return listed.select(id_col, record.alias("record"))
 
 
 #: A conversation that tries to end its own turn.
