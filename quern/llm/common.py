@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space (0x20, 0x09-0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -14,25 +14,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT_BATCH = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what spark.checkpoint.dir names; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quern-shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, keep it in the shared checkpoint folder and forget its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared place, whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a lower setting of the session stays."""
+    """Keep Arrow batches of whole texts small (Spark bounds their bytes besides); a lower setting of the session stays.
+
+    Plans read the setting when they run, which is later than they are made, so it stays set for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key) or 0)
     if now <= 0 or now > TEXT_BATCH:

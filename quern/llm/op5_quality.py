@@ -110,8 +110,8 @@ def _feature_rows(dimensions: int):
     return run
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dimensions: int, c: float = 1.0, epochs: int = 15) -> tuple[np.ndarray, float]:
-    """min |w|^2 / 2 + c * sum of hinge losses, by coordinate descent in the dual; the bias is a feature of value 1."""
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dimensions: int, c: float = 1.0, epochs: int = 15, least: float = 1e-3) -> tuple[np.ndarray, float]:
+    """min |w|^2 / 2 + c * sum of hinge losses, by coordinate descent in the dual; the bias is a feature of value 1. Ends when no step of a round reaches `least`."""
     w, bias, alpha, rng = np.zeros(dimensions), 0.0, np.zeros(len(y)), np.random.default_rng(5)
     norm = np.array([float(v @ v) + 1 for v in values])
     for _ in range(epochs):
@@ -125,7 +125,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < least:
             break
     return w, bias
 

@@ -588,3 +588,191 @@ def test_licenses_of_nothing(spark):
 
     assert license_spans(docs(spark, [])).count() == 0
     assert license_spans(docs(spark, [(None, "Released under the MIT License.", "s"), (None, None, "s")], extra=True)).count() == 1
+
+
+def test_urls_against_brute_force(spark):
+    """Counts, smoothing, scores, threshold and verdicts stated anew, over all URLs."""
+    import math
+
+    import xxhash
+
+    from quern.llm.op1_urls import judged
+
+    rng = random.Random(77)
+    urls = [f"http://{rng.choice(['a', 'bb', 'shop'])}{rng.randrange(9)}.{rng.choice(['com', 'net', 'info'])}/{rng.choice(['en', 'de'])}/{rng.choice(['buy', 'read'])}{rng.randrange(40)}" for _ in range(500)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(900, None), (901, ""), (902, "no scheme"), (None, urls[3])]
+    texts = [u or "" for _, u in rows]
+
+    def label(u):
+        if "://" not in u:
+            return None
+        host, _, path = u.split("://", 1)[1].lower().partition("/")
+        return 0 if host.endswith(".com") and path.startswith("en/") else 1 if host.endswith(".net") and path.startswith("de/") else None
+
+    held = lambda u: np.uint64(xxhash.xxh64_intdigest(u.encode(), seed=42)).astype(np.int64).item() % 10 == 0
+    places = lambda u: [("\x02" * 4 + u.lower() + "\x03")[i : i + 5] for i in range(len(u) + 1)]
+    counts = {0: {}, 1: {}}  # by label: the times that each string of up to five characters ends a place
+    for u in texts:
+        y = label(u)
+        if y is not None and not held(u):
+            for g in places(u):
+                for k in range(1, 6):
+                    counts[y][g[-k:]] = counts[y].get(g[-k:], 0) + 1
+    follows = {y: {} for y in counts}
+    for y, c in counts.items():
+        for s, n in c.items():
+            total, kinds = follows[y].get(s[:-1], (0, 0)) if len(s) > 0 else (0, 0)
+            follows[y][len(s), s[:-1]] = (follows[y].get((len(s), s[:-1]), (0, 0))[0] + n, follows[y].get((len(s), s[:-1]), (0, 0))[1] + 1)
+
+    def chance(y, g):
+        p = 1 / 256
+        for k in range(1, 6):
+            total, kinds = follows[y].get((k, g[-k:][:-1]), (0, 0))
+            if total:
+                p = (counts[y].get(g[-k:], 0) + kinds * p) / (total + kinds)
+        return p
+
+    score = {u: round(sum(math.log(chance(1, g)) - math.log(chance(0, g)) for g in places(u)) / len(places(u)), 9) for u in set(texts)}
+    cut_at, best = 0.0, 1.0
+    judges = [(math.floor(min(max(score[u], -2), 1.999) * 100), label(u)) for u in texts if label(u) is not None and held(u)]
+    good, bad = sum(y for _, y in judges), sum(1 - y for _, y in judges)
+    assert good and bad
+    for b in sorted({b for b, _ in judges}):
+        rate = sum(y for x, y in judges if x > b) / good + sum(1 - y for x, y in judges if x <= b) / bad
+        if rate > best + 1e-12:
+            best, cut_at = rate, (b + 1) / 100
+    got = judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        u = text[r["page_id"]] or ""
+        assert abs(r["score"] - score[u]) < 1e-6
+        if label(u) is not None:
+            assert r["verdict"] == ("allow" if label(u) else "block")
+        elif abs(score[u] - cut_at) > 1e-6:
+            assert r["verdict"] == ("allow" if score[u] >= cut_at else "block"), u
+    # Chances of all that may follow a context add up to at most one.
+    seen = {g[-1] for u in texts for g in places(u)}
+    assert all(sum(chance(y, ctx + x) for x in seen) <= 1 + 1e-9 for y in (0, 1) for ctx in ("http", "://a", "zzzz", ".com"))
+
+
+def test_media_digests(spark, tmp_path):
+    """The query's rows by hashlib and zlib, from the texts."""
+    from quern.llm import op4_media as m
+
+    rows = [(1, "abc", "s"), (2, None, "s"), (3, "", "s"), (4, "é" * 96, "s"), (5, "x" * 193, "s"), (6, "🙂 long " * 30_000, "s"), (7, "abc", "t")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in m.op4_media(spark, str(tmp_path)).collect()}
+    stored = {r["id"]: bytes(r["media"]) for r in m.text_images(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for key, text, _ in rows:
+        data = (text or "").encode()
+        payload = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        r, media = got[key], stored[key]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        assert media.startswith(b"P6") and media.endswith(payload) and len(media) < len(payload) + 30
+        width, height = map(int, re.match(rb"P6\s+(\d+)\s+(\d+)\s+255\s", media).groups())
+        grey = np.frombuffer(payload, np.uint8).reshape(height, width, 3)
+        assert r["feature"] == m.difference_hash(grey) and r["tile_sha256"] == hashlib.sha256(m.npy(m.area_resize(grey, m.TILE, m.TILE))).hexdigest()
+    assert got[1]["feature"] == got[7]["feature"] and got[1]["media_sha256"] == got[7]["media_sha256"]
+
+
+def test_dual_descent():
+    """Against projected gradients on the dual, run long: the same objective and weights."""
+    from quern.llm.op5_quality import dual_descent
+
+    rng = np.random.default_rng(3)
+    for c in (0.3, 1.0):
+        n, dim = 40, 25
+        rows = [np.sort(rng.choice(dim, 6, replace=False)).astype(np.int32) for _ in range(n)]
+        values, y = [rng.normal(size=6) for _ in range(n)], np.sign(rng.normal(size=n))
+        x = np.zeros((n, dim + 1))
+        for i, (r, v) in enumerate(zip(rows, values)):
+            x[i, r], x[i, dim] = v, 1
+        q = (x * y[:, None]) @ (x * y[:, None]).T
+        a, step = np.zeros(n), 1 / np.linalg.eigvalsh(q)[-1]
+        for _ in range(50_000):
+            a = np.clip(a + step * (1 - q @ a), 0, c)
+        want = (a * y) @ x
+        w, bias = dual_descent(rows, values, y, dim, c, epochs=20_000, least=1e-9)
+        value = lambda u: u @ u / 2 + c * np.maximum(0, 1 - y * (x @ u)).sum()
+        assert abs(value(np.append(w, bias)) - value(want)) < 1e-4 and np.abs(np.append(w, bias) - want).max() < 1e-3
+        rough = value(np.append(*dual_descent(rows, values, y, dim, c)))
+        assert value(want) - 1e-6 <= rough <= 1.02 * value(want)
+
+
+def test_log_count_ratios(spark):
+    """Of all labelled rows outside the held-out fifth, by brute force."""
+    from quern.llm.op5_quality import Featurizer, fit
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" + ("!" if i % 3 else "") for _ in range(rng.randrange(1, 30))), "s") for i in range(200)]
+    labels = [(i, int(i % 3 > 0)) for i in range(150)] + [(3, 1), (160, None), (None, 1)]
+    model, f = fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")), Featurizer()
+    good, bad = np.ones(f.dimensions), np.ones(f.dimensions)
+    for i, text, _ in rows[:150]:
+        if i != 3 and zlib.crc32(str(i).encode()) % 5:
+            (good if i % 3 else bad)[f(text.encode())] += 1
+    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+    assert np.allclose(model.squares, ratio * ratio)
+
+
+def test_chat_layouts(spark):
+    """Conversations come in several layouts, and columns keep their names and values."""
+    from quern.llm.op9_chat import STEP, canonical_turns, formatted, gathered
+
+    kinds = {1: ["user", "assistant"], 2: ["system", "user", "assistant"], 3: ["user", "assistant", "user"], 4: ["tool", "assistant"], 5: ["assistant"], 6: ["user", "assistant"] * (STEP + 7)}
+    rows = [(c, i, r, f"t{i}" * (i % 5)) for c, rs in kinds.items() for i, r in enumerate(rs)]
+    out = canonical_turns(gathered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert {r["conv_id"]: r["layout"] for r in out.collect()} == {1: "prompt_response", 2: "system_prompt", 3: "dialogue", 4: "messages", 5: "dialogue", 6: "dialogue"}
+    for r in formatted(out).collect():
+        at, want = 1, []
+        for i, role in enumerate(kinds[r["conv_id"]]):
+            head, body = len("<|turn|>") + len(role) + len("<|text|>"), len(f"t{i}" * (i % 5))
+            want += [(at + head, body)] if role == "assistant" else []
+            at += head + body + len("<|end|>")
+        assert [tuple(s) for s in r["loss"]] == want and len(r["formatted"]) == at - 1
+    clash = spark.createDataFrame([(1, '{"prompt": "a", "response": "b"}')], "k long, record string").selectExpr("k", "record", "7 AS v", "8 AS c0", "9 AS row", "10 AS layout", "11 AS parts0", "12 AS `x.y`")
+    got = formatted(canonical_turns(clash)).collect()[0]
+    assert (got["v"], got["c0"], got["row"], got["parts0"], got["x.y"], got["layout"]) == (7, 8, 9, 11, 12, "prompt_response") and got["formatted"].startswith("<|turn|>user<|text|>a")
+    empty = gathered(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert empty.count() == 0 and formatted(canonical_turns(empty)).count() == 0
+    none = formatted(canonical_turns(spark.createDataFrame([(1, '{"messages": []}'), (2, "no")], "k long, record string"))).orderBy("k").collect()
+    assert none[0]["formatted"] == "" and none[0]["loss"] == [] and none[1]["formatted"] is None and none[1]["loss"] is None
+
+
+def test_shard_bounds(spark):
+    """By running sums over the sorted ids, however the table is split."""
+    from quern.llm.op8_warc import bounds
+
+    rng = random.Random(41)
+    rows = [(rng.randrange(-500, 500) * 10**15, b"x" * rng.randrange(60)) for _ in range(700)] + [(None, b"none")]
+    sizes = {}
+    for i, p in rows:
+        if i is not None:
+            sizes[i] = sizes.get(i, 0) + len(p)
+    want, total, held = [], 0, -1
+    for i in sorted(sizes):
+        if total // 400 != held:
+            want.append(i)
+            held = total // 400
+        total += sizes[i]
+    d = spark.createDataFrame(rows, "page_id long, payload binary")
+    assert bounds(d.repartition(7), 400) == bounds(d, 400) == want and bounds(d.limit(0), 400) == []
+
+
+def test_targets_of_many_sources(spark):
+    from quern.llm.op7_mix import targets
+
+    rng = random.Random(6)
+    sizes = {f"s{k:04d}": int(10 ** rng.uniform(0, 5)) for k in range(1500)}
+    got = {r["source"]: r["target"] for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    weight, total, full = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}, sum(sizes.values()), set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        over = {s for s in sizes if s not in full and 3 * sizes[s] < level * weight[s]}
+        if not over:
+            break
+        full |= over
+    assert full and all(abs(got[s] - min(3 * sizes[s], level * weight[s])) < 1e-6 for s in sizes)
