@@ -159,8 +159,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.groupBy("h").agg(F.count("*").alias("c"), first.alias("keep")).where("c > 1").select("h", "keep")
     goes = F.expr("NOT (id <=> keep.id) OR th <> keep.th OR a >= keep.a + b - a")
     spots = cut(found.join(again, "h").select("id", "th", "a", "b", "h", goes.alias("goes")))
-    at = spots.groupBy("th").agg(F.collect_set(F.struct("a", "b")).alias("at"))
-    texts = rows.join(at.hint("shuffle_hash"), "th").select("text", "at").mapInArrow(_span_texts, "h binary, part binary")
+    # By id and text: the copies of a text are dealt over all tasks.
+    at = spots.groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    texts = rows.join(at.hint("shuffle_hash"), F.expr("th = at_th AND id <=> at_id")).select("text", "at").mapInArrow(_span_texts, "h binary, part binary")
     same = texts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo = hi").select("h")
     return spots.where("goes").join(same, "h").select("id", "th", "a", "b").distinct()
 
