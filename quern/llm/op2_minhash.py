@@ -24,6 +24,8 @@ FAMILY = 0.4
 SLOTS = 1 << 19
 #: Rounds of new centres within a family before pairs are made; any number gives the same components.
 CENTRES = 2
+#: Bits of a bucket's map of tokens; any number gives the same pairs, with more or fewer tokens looked up.
+TOKEN_BITS = 4096
 #: Longs of a parity sketch.
 PARITIES = 8
 _BLOCK = 1024
@@ -230,7 +232,7 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     linked = of_family.unionByName(of_bucket).where("held").select(F.col("c").alias("a"), F.col("x").alias("b"))
     # What is joined already goes on as stars.
     second, far = _regrouped(of_family, components(_stars(first).unionByName(linked)), reps, sets, percent)
-    of_bucket = _rooted(of_bucket, second).withColumn("token", F.explode("tokens")).drop("tokens", "held", *_PARITIES)
+    of_bucket = _rooted(_foreign(of_bucket), second).withColumn("token", F.explode("tokens")).drop("tokens")
     # Rows of two families meet by the pair of families, so none meets those of its own.
     kinds = of_bucket.select("c", "token", "fam").distinct()
     two_kinds = kinds.withColumnRenamed("fam", "f").join(kinds.withColumnRenamed("fam", "g"), ["c", "token"]).where("f < g")
@@ -240,6 +242,23 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     return components(_stars(second).unionByName(more))
 
 
+def _foreign(rows: DataFrame) -> DataFrame:
+    """(c, x, fam, n, i, tokens): of each row of a bucket the tokens that rows of its other families may hold, rows with none left out.
+
+    All tokens of the families but the bucket's largest stay; of the largest family's those that a map of the others'
+    tokens shows, TOKEN_BITS bits a bucket. It shows each that is there, so no pair of two families is lost, and a
+    bucket of one large family with few others makes few rows.
+    """
+    tops = rows.groupBy("c", "fam").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("fam", F.struct("k", "fam")).alias("top"))
+    rows = rows.join(small_side(cut(tops), BROADCAST_ROWS), "c")
+    others = rows.where("fam <> top").select("c", F.explode("tokens").alias("t"))
+    word, bit = f"pmod(t, {TOKEN_BITS}) div 64", "shiftleft(1L, cast(pmod(t, 64) as int))"
+    maps = others.groupBy("c", F.expr(word).alias("w")).agg(F.expr(f"bit_or({bit})").alias("b")).groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("map"))
+    marked = rows.join(small_side(cut(maps), BROADCAST_ROWS * 64 // TOKEN_BITS), "c", "left")
+    shown = F.expr(f"if(fam <> top, tokens, filter(tokens, t -> coalesce(try_element_at(map, {word}), 0L) & {bit} <> 0))")
+    return cut(marked.select("c", "x", "fam", "n", "i", shown.alias("tokens")).where("size(tokens) > 0"))
+
+
 def _rooted(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
 
