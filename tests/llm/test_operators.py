@@ -99,6 +99,29 @@ def test_parity_sketches():
         assert unlike <= len(np.setxor1d(a, b)) and not (parities(a) ^ parities(a)).any()
 
 
+def test_tokens_that_families_share(spark, monkeypatch):
+    """Whatever two families of a bucket share stays, with maps that hold all bits as well."""
+    from quern.llm import op2_minhash as module
+
+    rng = random.Random(23)
+    rows = []
+    for c in range(6):
+        for x in range(40):
+            fam = 0 if x < 30 or c == 5 else rng.randrange(1, 4)
+            rows.append((c, 100 * c + x, fam, 9, 3, sorted({rng.randrange(-300, 300) for _ in range(rng.randrange(8))}), False))
+    rows.append((9, 1, 1, 9, 3, [], False))
+    table = spark.createDataFrame(rows, "c long, x long, fam long, n long, i long, tokens array<long>, held boolean")
+    shared = {(c, x, t) for c, x, f, _, _, ts, _ in rows for t in ts if any(d == c and g != f and t in us for d, _, g, _, _, us, _ in rows)}
+    sizes = []
+    for bits in (64, 4096):
+        monkeypatch.setattr(module, "TOKEN_BITS", bits)
+        got = {(r["c"], r["x"], t) for r in module._foreign(table).collect() for t in r["tokens"]}
+        assert shared <= got <= {(c, x, t) for c, x, _, _, _, ts, _ in rows for t in ts}
+        assert not any(c in (5, 9) for c, _, _ in got)
+        sizes.append(len(got))
+    assert sizes[1] < sizes[0]
+
+
 def test_near_duplicates_of_nothing(spark):
     from quern.llm.op2_minhash import near_duplicates
 
