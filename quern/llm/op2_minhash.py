@@ -212,9 +212,10 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     sizes = reps.select(F.col("node").alias("x"), "n", "copies")
     rooted = families.join(first.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
-    own = cut(rooted.join(split, "fam").select("x", "fam"))
+    # A family may hold a large part of all rows: what is one row a family goes to it while it is small enough.
+    own = cut(rooted.join(small_side(cut(split), BROADCAST_ROWS), "fam").select("x", "fam"))
     heads = own.join(sizes, "x").groupBy("fam").agg(F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))).alias("h")).select("fam", (-F.col("h.x")).alias("c"))
-    inside = cut(own.join(heads, "fam").where("x <> c").select("c", "x", "fam"))
+    inside = cut(own.join(small_side(cut(heads), BROADCAST_ROWS), "fam").where("x <> c").select("c", "x", "fam"))
     label = spokes.join(families, "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam"))
     mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
     between = cut(label.join(mixed, "c").select("c", "x", "fam"))
