@@ -47,19 +47,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Tasks contract what edges they hold before these are shuffled, as a partial aggregate does. Neither star
     gathers a node's neighbours: each takes their minimum with a partial aggregate and joins it back, so a hub is
     a skewed join that adaptive execution splits. Self links and null ends are ignored; no links give no rows.
-    Every round is cut to the shared folder; rounds grow with the logarithm of the nodes.
+    Every round is cut to the shared folder; rounds grow with the logarithm of the nodes. A round's tasks follow the
+    edges, CHUNK to a task, so a few edges don't pass through as many files as the session has shuffle partitions.
     """
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     tasks = 1 + ends.count() // CHUNK
     edges = cut(ends.coalesce(tasks).mapInArrow(contract, "u long, v long"))
     state = _state(edges)
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = cut(small.select("e.u", "e.v").where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         now = _state(edges)
         if now == state:
             break
