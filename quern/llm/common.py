@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of whole texts that go to a Python worker at once: bounds its memory even for very long texts.
 TEXT_BATCH = 512
+#: Bytes of a staged table that a task reads at least, where there are more tasks than cores.
+PACK = 8 << 20
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -20,6 +22,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df cut to the shared folder and read by as many tasks as the cores or its bytes (PACK a task) ask for, if that is fewer.
+
+    A small result of a shuffle has as many parts as the session has shuffle partitions; read so, each later step over it
+    would take a task and a file for a few rows. No order of rows is kept, as after any shuffle."""
+    out = cut(df)
+    spark, rdd = df.sparkSession, out._jdf.queryExecution().logical().rdd()
+    place = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    tasks = max(spark.sparkContext.defaultParallelism, size // PACK)
+    return out.coalesce(tasks) if tasks < rdd.getNumPartitions() else out
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small (Spark bounds their bytes besides); a lower setting of the session stays.
 

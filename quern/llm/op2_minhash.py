@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_side, text_batches
+from .common import packed, read, small_side, text_batches
 from .components import components
 from .shingles import Shingler, splitmix, stream
 
@@ -173,7 +173,7 @@ def outside_rows(percent: int, shared, smallest: bool):
 
 def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of these nodes (rid), from their texts; cut to the shared folder."""
-    return cut(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
+    return packed(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
 
 
 def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -185,13 +185,13 @@ def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "sa", "sb")
     )
-    return cut(sized.mapInArrow(alike_signatures(percent), "a long, b long, likely boolean"))
+    return packed(sized.mapInArrow(alike_signatures(percent), "a long, b long, likely boolean"))
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that hold by their whole sets."""
     both = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return cut(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
+    return packed(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
 
 
 def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -213,12 +213,12 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     rooted = families.join(first.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
     # A family may hold a large part of all rows: what is one row a family goes to it while it is small enough.
-    own = cut(rooted.join(small_side(cut(split), BROADCAST_ROWS), "fam").select("x", "fam"))
+    own = packed(rooted.join(small_side(packed(split), BROADCAST_ROWS), "fam").select("x", "fam"))
     heads = own.join(sizes, "x").groupBy("fam").agg(F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))).alias("h")).select("fam", (-F.col("h.x")).alias("c"))
-    inside = cut(own.join(small_side(cut(heads), BROADCAST_ROWS), "fam").where("x <> c").select("c", "x", "fam"))
+    inside = packed(own.join(small_side(packed(heads), BROADCAST_ROWS), "fam").where("x <> c").select("c", "x", "fam"))
     label = spokes.join(families, "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam"))
     mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
-    between = cut(label.join(mixed, "c").select("c", "x", "fam"))
+    between = packed(label.join(mixed, "c").select("c", "x", "fam"))
     sets = _sets(between.unionByName(inside).select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
     table = sets.mapInArrow(count_rows, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
@@ -227,7 +227,7 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
 
     def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
         both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
-        return cut(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
+        return packed(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
 
     of_family, of_bucket = outside(inside, False), outside(between, True)
     linked = of_family.unionByName(of_bucket).where("held").select(F.col("c").alias("a"), F.col("x").alias("b"))
@@ -251,13 +251,13 @@ def _foreign(rows: DataFrame) -> DataFrame:
     bucket of one large family with few others makes few rows.
     """
     tops = rows.groupBy("c", "fam").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("fam", F.struct("k", "fam")).alias("top"))
-    rows = rows.join(small_side(cut(tops), BROADCAST_ROWS), "c")
+    rows = rows.join(small_side(packed(tops), BROADCAST_ROWS), "c")
     others = rows.where("fam <> top").select("c", F.explode("tokens").alias("t"))
     word, bit = f"pmod(t, {TOKEN_BITS}) div 64", "shiftleft(1L, cast(pmod(t, 64) as int))"
     maps = others.groupBy("c", F.expr(word).alias("w")).agg(F.expr(f"bit_or({bit})").alias("b")).groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("map"))
-    marked = rows.join(small_side(cut(maps), BROADCAST_ROWS * 64 // TOKEN_BITS), "c", "left")
+    marked = rows.join(small_side(packed(maps), BROADCAST_ROWS * 64 // TOKEN_BITS), "c", "left")
     shown = F.expr(f"if(fam <> top, tokens, filter(tokens, t -> coalesce(try_element_at(map, {word}), 0L) & {bit} <> 0))")
-    return cut(marked.select("c", "x", "fam", "n", "i", shown.alias("tokens")).where("size(tokens) > 0"))
+    return packed(marked.select("c", "x", "fam", "n", "i", shown.alias("tokens")).where("size(tokens) > 0"))
 
 
 def _rooted(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -292,14 +292,14 @@ def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: D
     """
     held = of_family.select("c", "x", F.explode("tokens").alias("token"))
     lists = held.groupBy("c", "token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("x")).alias("h")).where("m > 1").select("c", "token", F.xxhash64("m", "h").alias("g"))
-    kinds = cut(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
+    kinds = packed(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
     members = of_family.select("c", "x", "n", "i", *_PARITIES)
 
     def mixed() -> DataFrame:
         """(c, g, x, ..) of the classes that hold several components."""
         rows = kinds.join(_rooted(members, groups), ["c", "x"])
         several = rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g")
-        return cut(rows.join(several, ["c", "g"], "left_semi"))
+        return packed(rows.join(several, ["c", "g"], "left_semi"))
 
     rows = mixed()
     for turn in range(CENTRES):
@@ -334,15 +334,15 @@ def _decided(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str)
     """(rid, id, n, component, kept) of each row."""
     text_batches(docs.sparkSession)
     texts = docs.select(_rid(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
-    feats = cut(texts.mapInArrow(feature_rows(percent, k), "rid long, id long, n long, fp binary, bands array<long>, sig binary"))
-    reps = cut(
+    feats = packed(texts.mapInArrow(feature_rows(percent, k), "rid long, id long, n long, fp binary, bands array<long>, sig binary"))
+    reps = packed(
         feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
     member = reps.select("node", "n", "copies", F.explode("bands").alias("band"))
     # A bucket's centre is its smallest set, of those the one with most copies.
     rank = F.col("n") * (1 << 20) - F.least("copies", F.lit((1 << 20) - 1))
     shared = member.groupBy("band").agg(F.count("*").alias("members"), F.min_by("node", rank).alias("c")).where("members > 1").select("band", "c")
-    spokes = cut(member.join(shared, "band").where("node <> c").select("c", F.col("node").alias("x")).distinct())
+    spokes = packed(member.join(shared, "band").where("node <> c").select("c", F.col("node").alias("x")).distinct())
     plain = texts.select("rid", "text")
     signed = _signed(spokes.toDF("a", "b"), reps, percent)
     likely = signed.where("likely").select("a", "b")
@@ -383,7 +383,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> Data
     Wordless and null texts stay. Rows without an id go where a row with one is like them; of a group without ids one
     text stays. Rows that share an id, or no id and a text, stay or go together. An empty table stays empty.
     """
-    gone = cut(_decided(docs, percent, k, "doc_id", "text").where("not kept").select("rid").distinct())
+    gone = packed(_decided(docs, percent, k, "doc_id", "text").where("not kept").select("rid").distinct())
     gone = small_side(gone, BROADCAST_ROWS)
     return docs.join(gone, _rid(docs["doc_id"], docs["text"]) == gone["rid"], "left_anti")
 
