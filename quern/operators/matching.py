@@ -170,14 +170,6 @@ def hybrid_topk(t) -> DataFrame:
     return linking.hybrid(sem, linking.bm25(d, q), k=3, digits=6).select("qid", "did", "score")
 
 
-@query("SELECT qid, name, rank FROM (SELECT q.vec_id AS qid, 'v' || c.vec_id AS name, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id < 20) WHERE rank <= 3")
-def ranked_catalog(t) -> DataFrame:
-    """Vector linking: every fiftieth vector asks a catalog of twenty."""
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    c = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("pos"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"))
-    return linking.ranked_vectors(q, c, 3, digits=6).select(F.col("id").alias("qid"), "name", F.col("rank").cast("long").alias("rank"))
-
-
 _WORDS = {"first": ["the", "and"], "second": ["ing", "tion"], "third": ["que", "der"]}
 _WORDS_SQL = ", ".join(f"('{k}', '{w}')" for k, ws in _WORDS.items() for w in ws)
 _TOKENS_SQL = r"unnest(list_distinct(list_filter(string_split(array_to_string(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_]+'), '_'), '_'), lambda x: len(x) > 1)))"
