@@ -154,3 +154,53 @@ def length_filter(t) -> DataFrame:
     """Rows of at most so many tokens whose text begins as asked."""
     d = t.documents.where((F.size(F.split("text", " ")) <= 100) & F.rlike("text", F.lit("^[A-Z]")))
     return d.select("doc_id", F.when(F.col("lang") == "en", F.concat(F.lit("q"), F.col("doc_id").cast("string"))).otherwise(F.coalesce("source", F.lit("?"))).alias("name"))
+
+
+#: Left intervals of a key and bin that one task compares.
+CROWD = 1 << 14
+
+
+def overlapping(left: DataFrame, right: DataFrame, width: int, keys: tuple = ()) -> DataFrame:
+    """(keys.., left_id, right_id) of each left and right interval (id, lo, hi; whole numbers, hi left out) with equal keys that share a point.
+
+    Intervals are laid in bins of `width`; a pair is made where the later of both starts, so it comes once however many bins it shares. A bin of over CROWD left
+    intervals is dealt over parts, each of which sees all of its right ones. Empty intervals and nulls overlap with nothing."""
+    on = [*keys, "bin"]
+
+    def laid(df: DataFrame, side: str) -> DataFrame:
+        bins = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))
+        return df.where("lo < hi").select(*keys, F.col("id").alias(f"{side}_id"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi"), F.explode(bins).alias("bin"))
+
+    a, b = laid(left, "left"), laid(right, "right")
+    crowds = a.groupBy(*on).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(crowds, on, "left").withColumn("part", F.pmod(F.xxhash64("left_id"), parts).cast("int")).drop("parts")
+    b = b.join(crowds, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    first = F.floor(F.greatest("left_lo", "right_lo") / width) == F.col("bin")
+    return a.join(b, [*on, "part"]).where((F.col("left_lo") < F.col("right_hi")) & (F.col("right_lo") < F.col("left_hi")) & first).select(*keys, "left_id", "right_id")
+
+
+@query("""SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'view'
+AND epoch_us(a.ts) < epoch_us(b.ts) + 12 * 3600000000 AND epoch_us(b.ts) < epoch_us(a.ts) + 24 * 3600000000""")
+def interval_overlap(t) -> DataFrame:
+    """Purchases of a user, open for a day, and views of the same user, open for half a day, that overlap."""
+    at = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
+    spans = lambda kind, hours: t.events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), at.alias("lo"), (at + hours * 3_600_000_000).alias("hi"))
+    return overlapping(spans("purchase", 24), spans("view", 12), 12 * 3_600_000_000, ("user_id",))
+
+
+def over_groups(df: DataFrame, by: list[str], order: list, before: int, after: int, **aggregates) -> DataFrame:
+    """df with aggregates over a frame of whole groups of peers: those of `before` groups back to `after` groups on, as GROUPS BETWEEN says.
+
+    Peers (rows that `order` can't tell apart) are numbered by a dense rank, and the frame is a range of these numbers; both windows share one exchange and sort."""
+    numbered = df.withColumn("_g", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
+    frame = Window.partitionBy(*by).orderBy("_g").rangeBetween(-before, after)
+    return numbered.withColumns({name: f.over(frame) for name, f in aggregates.items()}).drop("_g")
+
+
+@query("""SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) OVER w AS DOUBLE) AS near_total, count(*) OVER w AS near_orders
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority DESC GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def groups_frames(t) -> DataFrame:
+    """Orders of a customer with the priorities next to theirs; ties are one group."""
+    out = over_groups(t.orders, ["o_custkey"], [F.desc("o_orderpriority")], 1, 1, near_total=F.sum(F.col("o_totalprice").cast("decimal(15,2)")), near_orders=F.count("*"))
+    return out.select("o_orderkey", F.col("near_total").cast("double").alias("near_total"), "near_orders")

@@ -46,23 +46,24 @@ def invented_columns(questions: DataFrame, rules=warehouse.INVENTED) -> DataFram
     return questions.select("id", F.array_compact(F.array(*fired)).alias("warnings"))
 
 
-def channel(question: Column) -> Column:
-    """The sales channel that a question names: the first of the channels in order of precedence, null if none."""
-    found = F.lit(None).cast("string")
-    for name, words, _ in reversed(warehouse.CHANNELS):
-        found = F.when(_any(F.lower(question), words), name).otherwise(found)
-    return found
+def _fits(q: Column, words: list[str]) -> Column:
+    return _any(q, words) if words else F.lit(True)
 
 
-def column_warnings(questions: DataFrame, short: bool = False) -> DataFrame:
-    """(id, warnings): the channel and its tables, then owners of columns that are easily confused; or the short notes alone."""
-    q = F.lower("question")
-    if short:
-        return questions.select("id", F.array_compact(F.array(*(F.when(_any(q, words), F.lit(f"NOTE: {text}")) for words, text in warehouse.NOTES))).alias("warnings"))
-    tables = F.create_map(*(F.lit(x) for name, _, ts in warehouse.CHANNELS for x in (name, f"CHANNEL {name}: {', '.join(ts)}")))
-    first = F.try_element_at(tables, channel(F.col("question")))
-    rest = [F.when(_any(q, words) if words else F.lit(True), F.lit(f"{name}: {text}")) for name, words, text in warehouse.OWNERS]
-    return questions.select("id", F.array_compact(F.array(first, *rest)).alias("warnings"))
+def channel(question: Column, rules=warehouse.WARNINGS) -> Column:
+    """The sales channel that a question names: that of the first named rule that fits it, null if none."""
+    q = F.lower(question)
+    return F.coalesce(*(F.when(_fits(q, words), name) for name, words, _ in rules if name), F.lit(None).cast("string"))
+
+
+def column_warnings(questions: DataFrame, rules=warehouse.WARNINGS) -> DataFrame:
+    """(id, warnings): the lines of all rules (name, words, lines) that fit a question, in their order; of the named ones only the first.
+
+    A null question gets the lines of rules without words."""
+    q = F.lower(F.coalesce("question", F.lit("")))
+    named = channel(F.coalesce("question", F.lit("")), rules)
+    lines = [F.when((named == name) if name else _fits(q, words), F.array(*map(F.lit, text))) for name, words, text in rules]
+    return questions.select("id", F.flatten(F.array_compact(F.array(*lines))).alias("warnings"))
 
 
 def relevant_samples(questions: DataFrame, selected: DataFrame, samples: DataFrame, words: dict[str, list[str]] = warehouse.SAMPLED, most: int = 5) -> DataFrame:
@@ -206,21 +207,27 @@ def hallucination_warnings(t) -> DataFrame:
     return invented_columns(_questions(t)).select("id", F.array_join("warnings", "|").alias("warnings"))
 
 
-_CHANNEL_SQL = "CASE " + " ".join(f"WHEN {_when_any(ws)} THEN '{n}'" for n, ws, _ in warehouse.CHANNELS) + " END"
-_TABLES_SQL = "CASE " + " ".join(f"WHEN {_when_any(ws)} THEN 'CHANNEL {n}: {', '.join(ts)}'" for n, ws, ts in warehouse.CHANNELS) + " END"
-_OWNERS_SQL = ", ".join("CASE WHEN " + _when_any(ws) + " THEN '" + f"{n}: {x}".replace("'", "''") + "' END" for n, ws, x in warehouse.OWNERS)
-_NOTES_SQL = ", ".join("CASE WHEN " + _when_any(ws) + " THEN 'NOTE: " + x.replace("'", "''") + "' END" for ws, x in warehouse.NOTES)
+def _quoted(lines: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lines) + "]"
+
+
+def _lines_sql(rules) -> str:
+    """An expression for what column_warnings gives, with the named rule that fits first in `channel`."""
+    return "flatten([" + ", ".join(f"CASE WHEN {f'channel = {chr(39)}{n}{chr(39)}' if n else _when_any(ws)} THEN {_quoted(x)} ELSE CAST([] AS VARCHAR[]) END" for n, ws, x in rules) + "])"
+
+
+_CHANNEL_SQL = "CASE " + " ".join(f"WHEN {_when_any(ws)} THEN '{n}'" for n, ws, _ in warehouse.WARNINGS if n) + " END"
 
 
-@query(f"WITH {_Q_SQL} SELECT id, {_CHANNEL_SQL} AS channel, array_to_string(list_filter([{_TABLES_SQL}, {_OWNERS_SQL}], lambda x: x IS NOT NULL), '|') AS warnings FROM q")
+@query(f"WITH {_Q_SQL} SELECT id, channel, array_to_string({_lines_sql(warehouse.WARNINGS)}, '|') AS warnings FROM (SELECT *, {_CHANNEL_SQL} AS channel FROM q)")
 def channel_warning(t) -> DataFrame:
     q = _questions(t)
     return column_warnings(q).join(q.select("id", channel(F.col("question")).alias("channel")), "id").select("id", "channel", F.array_join("warnings", "|").alias("warnings"))
 
 
-@query(f"WITH {_Q_SQL} SELECT id, array_to_string(list_filter([{_NOTES_SQL}], lambda x: x IS NOT NULL), '|') AS warnings FROM q")
+@query(f"WITH {_Q_SQL} SELECT id, array_to_string({_lines_sql(warehouse.SHORT_WARNINGS)}, '|') AS warnings FROM q")
 def short_warnings(t) -> DataFrame:
-    return column_warnings(_questions(t), short=True).select("id", F.array_join("warnings", "|").alias("warnings"))
+    return column_warnings(_questions(t), warehouse.SHORT_WARNINGS).select("id", F.array_join("warnings", "|").alias("warnings"))
 
 
 _SAMPLES = [("date_dim", "d_year", ["1998", "1999", "2000", "2001", "2002", "2003"]), ("date_dim", "d_moy", ["1", "2"]), ("store", "s_state", ["TN", "CA"]), ("item", "i_category", ["Books", "Music"]), ("item", "i_brand", [])]

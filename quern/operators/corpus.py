@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from itertools import product
-from zlib import crc32
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_accents, word_error_rate, word_tokens
+from .profiling import hashed
 from .registry import query
 
 
@@ -67,95 +66,86 @@ STATES = ["CA", "TX", "NY", "FL", "IL", "GA", "NC", "VA", "MO", "KY", "IA", "KS"
 YEARS = ["1998", "1999", "2000", "2001", "2002"]
 QUARTERS = ["1", "2", "3", "4"]
 CATEGORIES = ["Books", "Children", "Electronics", "Home", "Jewelry", "Men", "Music", "Shoes", "Sports", "Women"]
-#: Patterns tried for a paraphrase; questions of a hundred that get slips of the pen, and slips for a letter.
-PATTERNS, TYPO_PERCENT, TYPO_RATE = 2, 30, 0.05
-
-
-class Draws:
-    """Numbers drawn from a hash of a seed, a question and a count: the same in every run and wherever a task runs."""
-
-    def __init__(self, *parts):
-        self.parts, self.n = parts, 0
-
-    def below(self, n: int) -> int:
-        self.n += 1
-        return crc32("\x1f".join(map(str, (*self.parts, self.n))).encode()) % n
-
-    def other(self, values: list[str], than: str) -> str:
-        rest = [v for v in values if v != than]
-        return rest[self.below(len(rest))]
-
-
-def paraphrased(question: str, draws: Draws, phrases=PHRASES, tries: int = PATTERNS) -> str:
-    """The question with the first hit of some drawn patterns put differently, whatever its case."""
-    left = list(phrases)
-    for _ in range(min(tries, len(left))):
-        pattern = left.pop(draws.below(len(left)))
-        if pattern in question.lower():
-            new = phrases[pattern][draws.below(len(phrases[pattern]))]
-            question = re.sub(re.escape(pattern), lambda _, new=new: new, question, count=1, flags=re.I)
-    return question
-
-
-def other_values(question: str, sql: str, draws: Draws) -> tuple[str, str]:
-    """The pair with another state, year and quarter wherever the question or the SQL names one."""
-    said = question
-    if state := next((s for s in STATES if f"'{s}'" in sql or f" {s}" in said), None):
-        new = draws.other(STATES, state)
-        question, sql = question.replace(state, new), sql.replace(f"'{state}'", f"'{new}'")
-    if year := re.search(rf"\b({'|'.join(YEARS)})\b", said):
-        new = draws.other(YEARS, year[1])
-        question, sql = question.replace(year[1], new), sql.replace(year[1], new)
-    if quarter := next((q for q in QUARTERS if f"quý {q}" in said.lower()), None):
-        new = draws.other(QUARTERS, quarter)
-        question, sql = re.sub(rf"quý\s*{quarter}", f"quý {new}", question, flags=re.I), re.sub(rf"\bd_qoy\s*=\s*{quarter}", f"d_qoy = {new}", sql)
+#: Phrases drawn for a paraphrase; questions of a hundred that get slips of the pen, and slips of a thousand letters.
+PATTERNS, TYPO_PERCENT, TYPO_PERMILLE = 2, 30, 50
+
+
+class Slot(NamedTuple):
+    """A kind of value that a question and its SQL name alike: what stands before and after it in either, as patterns."""
+
+    kind: str
+    name: str
+    values: list[str]
+    question: tuple[str, str]
+    sql: tuple[str, str]
+
+    def pattern(self, side: tuple[str, str], value: str) -> str:
+        return f"(?i)({side[0]}){value}({side[1]})"
+
+
+#: Slots by the kind of variant that changes them; those of a kind change together.
+SLOTS = [
+    Slot("values", "state", STATES, (r"\b", r"\b"), ("'", "'")),
+    Slot("values", "year", YEARS, (r"\b", r"\b"), (r"\b", r"\b")),
+    Slot("values", "quarter", QUARTERS, (r"quý\s*", r"\b"), (r"\bd_qoy\s*=\s*", r"\b")),
+    Slot("category", "category", CATEGORIES, (r"\b", r"\b"), ("'", "'")),
+]
+
+
+def _draw(seed: int, *of) -> Column:
+    """A number drawn from a hash of a seed and some columns, one that SQL can draw as well."""
+    return hashed(F.lit(seed), *of)
+
+
+def _choice(options: Column, draw: Column) -> Column:
+    return F.element_at(options, (F.pmod(draw, F.size(options)) + 1).cast("int"))
+
+
+def _put(text: Column, side: tuple[str, str], old: Column, new: Column) -> Column:
+    """text with `new` wherever `old` stands between the patterns of a side; as it is where old is null."""
+    pattern = F.concat(F.lit(f"(?i)(?<before>{side[0]})"), old, F.lit(f"(?<after>{side[1]})"))
+    return F.when(old.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.concat(F.lit("${before}"), new, F.lit("${after}"))))
+
+
+def with_slots(kind: str, seed: int, slots=SLOTS) -> tuple[Column, Column]:
+    """(question, sql) with another value in every slot of this kind that either names: the first of its values that is there gives way to a drawn one in both."""
+    question, sql = F.col("question"), F.col("sql")
+    for slot in (s for s in slots if s.kind == kind):
+        old = F.coalesce(*(F.when(F.rlike("question", F.lit(slot.pattern(slot.question, v))) | F.rlike("sql", F.lit(slot.pattern(slot.sql, v))), v) for v in slot.values))
+        new = _choice(F.array_remove(F.array(*map(F.lit, slot.values)), old), _draw(seed, F.lit(slot.name), "question"))
+        question, sql = _put(question, slot.question, old, new), _put(sql, slot.sql, old, new)
     return question, sql
 
 
-def other_category(question: str, sql: str, draws: Draws) -> tuple[str, str]:
-    """The pair with another category: in any case in the question, quoted in the SQL."""
-    old = next((c for c in CATEGORIES if f"'{c}'" in sql or c.lower() in question.lower()), None)
-    if old is None:
-        return question, sql
-    new = draws.other(CATEGORIES, old)
-    return re.sub(re.escape(old), new, question, flags=re.I), sql.replace(f"'{old}'", f"'{new}'")
-
-
-def mistyped(question: str, draws: Draws, rate: float = TYPO_RATE) -> str:
-    """Some questions with letters swapped, doubled or left out: a share of their length, one at least."""
-    if draws.below(100) >= TYPO_PERCENT:
-        return question
-    chars = list(question)
-    for _ in range(max(1, int(len(chars) * rate)) if chars else 0):
-        i, slip = draws.below(len(chars)), draws.below(3)
-        if chars[i].isalpha():
-            chars[i : i + 2] = [[*chars[i : i + 2][::-1]], [chars[i], *chars[i : i + 2]], [*chars[i + 1 : i + 2]]][slip]
-        if not chars:
-            break
-    return "".join(chars)
-
-
-def variants(question: str, sql: str, seed: int = 42) -> list[tuple[str, str, str]]:
-    """(kind, question, sql): the pair itself, then a paraphrase, other values, another category and a mistyped one, each only if it differs."""
-    draws = lambda kind: Draws(seed, kind, question)
-    made = [
-        ("paraphrase", paraphrased(question, draws("paraphrase")), sql),
-        ("values", *other_values(question, sql, draws("values"))),
-        ("category", *other_category(question, sql, draws("category"))),
-        ("typo", mistyped(question, draws("typo")), sql),
-    ]
-    return [("original", question, sql), *(v for v in made if v[1:] != (question, sql))]
+def paraphrase(seed: int, phrases=PHRASES) -> Column:
+    """The question with the first place of some drawn phrases put differently, whatever its case; phrases that it doesn't have change nothing."""
+    table = F.array(*(F.struct(_draw(seed, F.lit(old), "question").alias("draw"), F.lit(old).alias("old"), F.array(*map(F.lit, new)).alias("new")) for old, new in phrases.items()))
+    drawn = F.slice(F.array_sort(table), 1, PATTERNS)
+    return F.aggregate(drawn, F.col("question"), lambda text, x: F.regexp_replace(text, F.concat(F.lit("(?is)^(.*?)"), x["old"]), F.concat(F.lit("$1"), _choice(x["new"], x["draw"].bitwiseXOR(F.lit(seed))))))
 
 
-def augmented(pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, kind, question, sql): one to five rows for each pair; draws come from a hash of the question."""
+def slips(seed: int, percent: int = TYPO_PERCENT, permille: int = TYPO_PERMILLE) -> Column:
+    """Some questions with letters swapped with the next, doubled or left out: one at least, and a share of the others."""
+    chars, n, draw = F.split("question", ""), F.length("question"), _draw(seed, F.lit("slip"), "question")
+
+    def hit(i: Column) -> Column:
+        return ((i == F.pmod(draw, n)) | (F.pmod(F.xxhash64(draw, i), F.lit(1000)) < permille)) & F.rlike(F.get(chars, i), F.lit(r"\p{L}"))
+
+    kind = lambda i: F.pmod(F.xxhash64(draw, i, F.lit(1)), F.lit(3))
+    swaps = lambda i: (i >= 0) & (i < n - 1) & hit(i) & (kind(i) == 0)
+    letter = lambda c, i: F.when(swaps(i - 1), F.get(chars, i - 1)).when(swaps(i), F.get(chars, i + 1)).when(hit(i) & (kind(i) == 1), F.concat(c, c)).when(hit(i) & (kind(i) == 2), "").otherwise(c)
+    return F.when((F.pmod(F.shiftright(draw, 20), F.lit(100)) < percent) & (n > 0), F.array_join(F.transform(chars, letter), "")).otherwise(F.col("question"))
 
-    def run(frames):
-        for f in frames:
-            rows = [(i, *v) for i, q, s in zip(f["id"], f["question"], f["sql"]) for v in variants(q, s, seed)]
-            yield pd.DataFrame(rows, columns=["id", "kind", "question", "sql"])
 
-    return pairs.select("id", "question", "sql").na.drop().mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, kind string, question string, sql string")
+def augmented(pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, kind, question, sql): each pair itself, then a paraphrase, other values, another category and slips of the pen, each only if it differs.
+
+    Draws come from a hash of the question, so reruns agree; all is one projection in the JVM. Rows with a null go."""
+    variants = [("original", F.col("question"), F.col("sql")), ("paraphrase", paraphrase(seed), F.col("sql")), *((k, *with_slots(k, seed)) for k in dict.fromkeys(s.kind for s in SLOTS)), ("typo", slips(seed), F.col("sql"))]
+    made = F.array(*(F.struct(F.lit(k).alias("kind"), q.alias("question"), s.alias("sql")) for k, q, s in variants))
+    rows = pairs.select("id", "question", "sql").na.drop()
+    each = rows.select("id", F.col("question").alias("_q"), F.col("sql").alias("_s"), F.explode(made).alias("v")).select("id", "_q", "_s", "v.*")
+    return each.where((F.col("kind") == "original") | (F.col("question") != F.col("_q")) | (F.col("sql") != F.col("_s"))).drop("_q", "_s")
 
 
 @query("SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
@@ -179,17 +169,31 @@ def augment_fanout(t) -> DataFrame:
     return augmented(d)
 
 
-@query("SELECT item_id AS id, 5::BIGINT AS most, true AS original, true AS swapped FROM benchmark")
+def _slots_sql() -> str:
+    """What with_slots gives for every pair of d (id, question, sql), for each kind."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    steps, names = ["d AS (SELECT item_id AS id, " + text(_ASKED) + " || text AS question, " + text(_ASKED_SQL) + " AS sql FROM benchmark)"], []
+    for kind in dict.fromkeys(s.kind for s in SLOTS):
+        last = f"{kind}_0"
+        steps.append(f"{last} AS (SELECT id, question AS first, sql AS first_sql, question, sql FROM d)")
+        for n, slot in enumerate((s for s in SLOTS if s.kind == kind), 1):
+            old = "CASE " + " ".join(f"WHEN regexp_matches(first, {text(slot.pattern(slot.question, v))}) OR regexp_matches(first_sql, {text(slot.pattern(slot.sql, v))}) THEN '{v}'" for v in slot.values) + " END"
+            draw = f"CAST('0x' || substr(md5('42|{slot.name}|' || first), 1, 15) AS BIGINT)"
+            others = "list_filter([" + ", ".join(text(v) for v in slot.values) + "], lambda x: x <> old)"
+            steps.append(f"{kind}_{n}o AS (SELECT *, {old} AS old FROM {last})")
+            steps.append(f"{kind}_{n}n AS (SELECT *, ({others})[{draw} % {len(slot.values) - 1} + 1] AS new FROM {kind}_{n}o)")
+            put = lambda c, side: f"CASE WHEN old IS NULL THEN {c} ELSE regexp_replace({c}, {text(f'(?i)({side[0]})')} || old || {text(f'({side[1]})')}, '\\1' || new || '\\2', 'g') END"
+            steps.append(f"{kind}_{n} AS (SELECT id, first, first_sql, {put('question', slot.question)} AS question, {put('sql', slot.sql)} AS sql FROM {kind}_{n}n)")
+            last = f"{kind}_{n}"
+        names.append(f"SELECT id, '{kind}' AS kind, question, sql FROM {last} WHERE question <> first OR sql <> first_sql")
+    return "WITH " + ",\n".join(steps) + "\nSELECT id, 'original' AS kind, question, sql FROM d UNION ALL " + " UNION ALL ".join(names)
+
+
+@query(_slots_sql())
 def augment_rules(t) -> DataFrame:
-    """What holds for every augmented pair, whatever was drawn: at most five rows, the pair itself first, values swapped in question and SQL alike."""
+    """Every pair itself, with other values and with another category: what was drawn, in question and SQL alike."""
     d = t.benchmark.select(F.col("item_id").alias("id"), F.concat(F.lit(_ASKED), "text").alias("question"), F.lit(_ASKED_SQL).alias("sql"))
-    a = augmented(d).join(d.select("id", F.col("question").alias("q0"), F.col("sql").alias("s0")), "id")
-    state, year, quarter = F.regexp_extract("sql", "ca_state = '(\\w+)'", 1), F.regexp_extract("sql", "d_year = (\\d+)", 1), F.regexp_extract("sql", "d_qoy = (\\d)", 1)
-    both = F.contains("question", F.concat(F.lit("tại "), state, F.lit(" quý "), quarter, F.lit(" năm "), year)) & (state != "CA") & (year != "1999") & (quarter != "2")
-    category = F.regexp_extract("sql", "i_category = '(\\w+)'", 1)
-    swapped = F.when(F.col("kind") == "values", both).when(F.col("kind") == "category", (category != "Books") & F.contains("question", F.concat(category, F.lit(": ")))).otherwise(F.lit(True))
-    first = F.when(F.col("kind") == "original", (F.col("question") == F.col("q0")) & (F.col("sql") == F.col("s0"))).otherwise(F.lit(True))
-    return a.groupBy("id").agg(F.greatest(F.count("*"), F.lit(5)).alias("most"), F.every(first).alias("original"), F.every(swapped).alias("swapped"))
+    return augmented(d).where(F.col("kind").isin("original", *(s.kind for s in SLOTS)))
 
 
 def template_pairs(templates: list[tuple[str, str, dict[str, list[str]]]]) -> list[tuple[str, str]]:

@@ -31,78 +31,118 @@ def _parsed(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
-def _seq(scala) -> list:
-    return [scala.apply(i) for i in range(scala.size())]
-
-
-def _defined(node) -> list:
-    """(name, plan) of what a WITH defines, in order."""
-    return [(c._1().lower(), c._2()) for c in _seq(node.cteRelations())] if node.nodeName() == "UnresolvedWith" else []
-
-
-def _below(node) -> list:
-    """Plans under a node: its children, the subqueries in its expressions, and what a WITH defines."""
-    return _seq(node.children()) + _seq(node.subqueries()) + [plan for _, plan in _defined(node)]
-
-
-def _nodes(plan):
-    todo = [plan]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo += _below(node)
-
-
-def _functions(plan):
-    """Names of the functions that a plan's expressions call, lower-cased, without their schema."""
-    for node in _nodes(plan):
-        names = [node.name()] if node.nodeName() == "UnresolvedTableValuedFunction" else []
-        todo = _seq(node.expressions())
-        while todo:
-            e = todo.pop()
-            if e.getClass().getSimpleName() == "UnresolvedFunction":
-                names.append(e.nameParts())
-            todo += _seq(e.children())
-        yield from (_seq(n)[-1].lower() for n in names)
-
-
-def _relations(plan, known: frozenset = frozenset()):
-    """Name parts of the tables that a plan reads. A name that a WITH defines hides a table within that WITH, from its definition on."""
-    if plan.nodeName() == "UnresolvedRelation":
-        parts = [p.lower() for p in _seq(plan.multipartIdentifier())]
-        if len(parts) > 1 or parts[0] not in known:
-            yield parts
-    defined = _defined(plan)
-    for name, body in defined:
-        yield from _relations(body, known | {name} if plan.allowRecursion() else known)
-        known = known | {name}
-    for below in _seq(plan.children()) + _seq(plan.subqueries()):
-        yield from _relations(below, known)
-
-
-_WRITES = ("Insert", "Drop", "Create", "Delete", "Update", "Merge", "Set", "Show", "Explain", "Alter", "Truncate", "Describe", "Use", "Cache", "Refresh", "Load", "Add", "Command", "Replace", "ScriptTransformation")
-#: Set operations, whose names begin like a write's.
-_PLAIN = ("SetOperation",)
-#: Functions that run code of the caller's choice.
-DENIED = ("java_method", "reflect", "try_reflect")
+class _Parsed:
+    """Walks a parsed statement: every plan and expression in it, whichever member holds it."""
+
+    def __init__(self, jvm):
+        for own, name in (("tree", "org.apache.spark.sql.catalyst.trees.TreeNode"), ("plan", "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"), ("product", "scala.Product"), ("many", "scala.collection.Iterable")):
+            setattr(self, own, jvm.java.lang.Class.forName(name).isInstance)
+
+    def _elements(self, x):
+        """What a value holds: the members of a product, the elements of a collection, nothing for all else."""
+        members = x.productIterator() if self.product(x) else x.iterator() if self.many(x) else None
+        while members is not None and members.hasNext():
+            yield members.next()
+
+    def walk(self, x, known: frozenset = frozenset()):
+        """(is a plan, class, node, names); names are those that a WITH around the node defines.
+
+        A name that a WITH defines hides a table within that WITH, from its definition on; in a recursive one in its own definition too."""
+        if not hasattr(x, "getClass"):  # strings, numbers and null come as Python's
+            return
+        if self.tree(x):
+            name = x.getClass().getSimpleName()
+            yield self.plan(x), name, x, known
+            if name == "UnresolvedWith":
+                relations = x.cteRelations()
+                for i in range(relations.size()):
+                    own, body = relations.apply(i)._1().lower(), relations.apply(i)._2()
+                    yield from self.walk(body, known | {own} if x.allowRecursion() else known)
+                    known = known | {own}
+                yield from self.walk(x.child(), known)
+                return
+        for member in self._elements(x):
+            yield from self.walk(member, known)
+
+
+# What a query may be made of: plans of reading statements as the parser names them. All else is refused, commands and scripts among it.
+_QUERY = frozenset(
+    "Project Filter Aggregate Join AsOfJoin LateralJoin Sort GlobalLimit LocalLimit Offset Tail Distinct Union Intersect Except SetOperation SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedInlineTable "
+    "UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedHint UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedOrdinal OneRowRelation OneRowRelation$ WithWindowDefinition Generate Expand Pivot UnresolvedPivot Unpivot Sample Window LocalRelation Range UnionLoop".split()
+)
+# Groups of built-in functions that a query may call, as Spark documents them, and what it may call of the others.
+_FUNCTIONS = frozenset("agg array bitwise collection conditional conversion csv datetime generator hash json lambda map math predicate string struct table url variant window xml".split())
+_OTHERS = frozenset({"typeof", "raise_error", "assert_true", "uuid", "monotonically_increasing_id", "coalesce", "count", "current_catalog", "current_database", "current_schema"})
+#: Expressions whose meaning isn't in the statement's text.
+_OPAQUE = ("ExpressionWithUnresolvedIdentifier", "NamedParameter", "PosParameter", "UnresolvedPlanId")
 #: A relation of this schema is a file, not a table.
 FILES = ("parquet", "orc", "csv", "json", "text", "binaryfile", "avro", "xml", "jdbc")
 
 
-def guard_plan(spark: SparkSession, sql: str) -> bool:
-    """Read-only by its parsed plan: no command, write, script, call of other code or direct read of files in it. Words in literals don't matter."""
+def _call_names(name: str, node) -> list[str]:
+    """The name parts of the function that a node calls; none if it calls none."""
+    if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+        parts = node.nameParts() if name == "UnresolvedFunction" else node.name()
+        return [parts.apply(i).lower() for i in range(parts.size())]
+    return [node.name().funcName().lower()] if name == "UnresolvedGenerator" else []
+
+
+def _permitted(spark: SparkSession, parts: list[str], more: frozenset) -> bool:
+    """Whether a function is built in and of a permitted group, or one that the caller names."""
+    if parts[-1] in more or len(parts) == 1 and parts[0] in _OTHERS:
+        return True
+    if len(parts) > 1 and parts[:-1] not in (["builtin"], ["system", "builtin"]):
+        return False
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[-1])
+    state = spark._jsparkSession.sessionState()
+    for registry in (state.functionRegistry(), state.tableFunctionRegistry()):
+        info = registry.lookupFunction(identifier)
+        if info.isDefined():
+            return info.get().getSource() == "built-in" and info.get().getGroup().removesuffix("_funcs") in _FUNCTIONS
+    return False
+
+
+def _read_tables(walked) -> set[str]:
+    found = set()
+    for _, name, node, known in walked:
+        if name == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            parts = [parts.apply(i).lower() for i in range(parts.size())]
+            if len(parts) > 1 or parts[0] not in known:
+                found.add(tuple(parts))
+    return found
+
+
+def permitted_tables(spark: SparkSession, sql: str, functions=()) -> set[str] | None:
+    """The tables (lower-cased) that a statement reads, or None if it isn't a permitted query.
+
+    Permitted is what is made of the plans of _QUERY alone, reads no files by their path, and calls built-in functions of permitted groups or those
+    named. The statement is parsed, not run, and every member of its tree is looked at: subqueries, WITH, window definitions, hints. Words in literals don't matter."""
     try:
-        plan = _parsed(spark, sql.strip().rstrip(";"))
+        walked = list(_Parsed(spark._jvm).walk(_parsed(spark, sql.strip().rstrip(";"))))
     except Exception:
-        return False
-    if any(n.nodeName().startswith(_WRITES) and n.nodeName() not in _PLAIN or "Command" in n.nodeName() for n in _nodes(plan)):
-        return False
-    return not any(f in DENIED for f in _functions(plan)) and not any(len(r) > 1 and (r[0] in FILES or "/" in r[-1]) for r in _relations(plan))
+        return None
+    more = frozenset(f.lower() for f in functions)
+    for is_plan, name, node, _ in walked:
+        if is_plan and name not in _QUERY or name in _OPAQUE:
+            return None
+        parts = _call_names(name, node)
+        if parts and not _permitted(spark, parts, more):
+            return None
+    tables = _read_tables(walked)
+    if any(len(r) > 1 and (r[0] in FILES or "/" in r[-1]) for r in tables):
+        return None
+    return {".".join(r) for r in tables}
+
+
+def guard_plan(spark: SparkSession, sql: str, functions=()) -> bool:
+    """Read-only by its parsed plan, see permitted_tables."""
+    return permitted_tables(spark, sql, functions) is not None
 
 
 def tables_of(spark: SparkSession, sql: str) -> set[str]:
     """Tables that a statement reads (lower-cased), without the names that its own WITH clauses define where these apply."""
-    return {".".join(r) for r in _relations(_parsed(spark, sql.strip().rstrip(";")))}
+    return {".".join(r) for r in _read_tables(_Parsed(spark._jvm).walk(_parsed(spark, sql.strip().rstrip(";"))))}
 
 
 def named_tables(sql: str) -> set[str]:
@@ -111,7 +151,9 @@ def named_tables(sql: str) -> set[str]:
 
 
 def whitelisted(spark: SparkSession, sql: str, valid: set[str]) -> bool:
-    return tables_of(spark, sql) <= {v.lower() for v in valid}
+    """Whether a statement is a permitted query over these tables alone."""
+    tables = permitted_tables(spark, sql)
+    return tables is not None and tables <= {v.lower() for v in valid}
 
 
 def error_class(error: Exception | None) -> str:
@@ -164,7 +206,7 @@ def run(spark: SparkSession, sql: str, valid: set[str] | None = None, limit: int
     """Guard, limit and run a statement; it is cancelled after timeout_s. status: ok, INVALID_SQL, timeout or an error class."""
     began, key = time.time(), uuid.uuid4().hex
     clean = (sql or "").strip().rstrip(";")
-    if not clean or not guard_plan(spark, clean) or (valid is not None and not whitelisted(spark, clean, valid)):
+    if not clean or not (guard_plan(spark, clean) if valid is None else whitelisted(spark, clean, valid)):
         return Answer(key, clean, "INVALID_SQL", [], [], time.time() - began, "not a permitted read-only statement")
     late = threading.Event()
     sc = spark.sparkContext

@@ -163,25 +163,34 @@ def test_validation(spark):
     assert [tuple(r) for r in got.collect()] == [("1", "SELECT n_name FROM nation", True, "OK"), ("2", "SELECT * FROM region", False, "OK"), ("3", "SELECT nocol FROM nation", False, "ERROR")]
 
 
-def test_augmentation():
-    from quern.operators.corpus import CATEGORIES, PHRASES, STATES, Draws, mistyped, paraphrased, variants
+def test_augmentation(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators.corpus import CATEGORIES, STATES, augmented
 
     asked, sql = "Tìm khách hàng tại CA quý 2 năm 1999 Books", "SELECT 1 WHERE s = 'CA' AND d_year = 1999 AND d.d_qoy = 2 AND i = 'Books'"
-    kinds = {}
-    for seed in range(300):
-        found = variants(asked, sql, seed)
-        assert found == variants(asked, sql, seed) and found[0] == ("original", asked, sql) and len(found) <= 5
-        for kind, q, s in found[1:]:
-            kinds[kind] = kinds.get(kind, 0) + 1
-            if kind == "values":
-                state = next(x for x in STATES if f"'{x}'" in s)
-                assert state != "CA" and f"tại {state} " in q and "1999" not in q + s and "= 2 " not in s and "quý 2" not in q
-            if kind == "category":
-                assert next(x for x in CATEGORIES if f"'{x}'" in s) in q and "Books" not in q + s
-            if kind in ("paraphrase", "typo"):
-                assert s == sql and q != asked
-    assert kinds["values"] == kinds["category"] == 300 and 50 < kinds["typo"] < 130 and 100 < kinds["paraphrase"] <= 300
-    assert all(paraphrased("xyz", Draws(k)) == "xyz" and mistyped("", Draws(k)) == "" for k in range(50)) and len(PHRASES) == 13
+    pairs = spark.range(300).select("id", F.concat(F.lit(asked + " "), F.col("id").cast("string"), F.lit("x")).alias("question"), F.lit(sql).alias("sql"))
+    found = augmented(pairs)
+    rows, kinds = found.collect(), {}
+    assert sorted(rows) == sorted(augmented(pairs.repartition(3)).collect()) and "Python" not in found._jdf.queryExecution().toString()
+    for r in rows:
+        own, q, s = f"{asked} {r['id']}x", r["question"], r["sql"]
+        kinds[r["kind"]] = kinds.get(r["kind"], 0) + 1
+        if r["kind"] == "original":
+            assert (q, s) == (own, sql)
+        if r["kind"] == "values":
+            state = next(x for x in STATES if f"'{x}'" in s)
+            assert state != "CA" and f"tại {state} " in q and "1999" not in q + s and "= 2 " not in s and "quý 2" not in q and "Books" in q
+        if r["kind"] == "category":
+            assert next(x for x in CATEGORIES if f"'{x}'" in s) in q and "Books" not in q + s and "CA" in q
+        if r["kind"] in ("paraphrase", "typo"):
+            assert s == sql and q != own
+        if r["kind"] == "typo":
+            assert abs(len(q) - len(own)) < 12
+    assert kinds["original"] == kinds["values"] == kinds["category"] == 300 and 50 < kinds["typo"] < 130 and 100 < kinds["paraphrase"] <= 300
+    odd = spark.createDataFrame([(1, "xyz", "SELECT 1"), (2, "", "q"), (3, None, "q"), (4, "Women", "SELECT 'Women'")], "id long, question string, sql string")
+    got = {(r["id"], r["kind"]): (r["question"], r["sql"]) for r in augmented(odd).where("kind <> 'typo'").collect()}
+    assert set(got) == {(1, "original"), (2, "original"), (4, "original"), (4, "category")} and "Women" not in "".join(got[4, "category"])
 
 
 def test_more_files(spark, tmp_path):
