@@ -16,7 +16,7 @@ STEP, BITS = 12, 60
 
 
 def _least(k: int):
-    """All columns of a partition to (column, h, value): of each the k distinct values with the least MD5."""
+    """All columns of a partition to (at, h, value): of each the k distinct values with the least MD5."""
 
     def run(batches):
         kept: dict[str, dict[str, str]] = {}
@@ -26,7 +26,7 @@ def _least(k: int):
                 new = {v: hashlib.md5(v.encode()).hexdigest() for v in column.unique().to_pylist() if v is not None and v not in own}
                 kept[name] = {v: h for h, v in nsmallest(k, ((h, v) for v, h in (own | new).items()))}
         flat = [(c, h, v) for c, own in kept.items() for v, h in own.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], pa.string()) for i in range(3)], names=["column", "h", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], pa.string()) for i in range(3)], names=["at", "h", "value"])
 
     return run
 
@@ -38,8 +38,9 @@ def sampled_values(tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
     moves doesn't grow with the rows and the sample is the same however they are dealt. A column of nulls alone has no row."""
     found = None
     for name, df in tables.items():
-        strings = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
-        one = strings.mapInArrow(_least(k), "column string, h string, value string").select(F.lit(name).alias("table"), "column", "h", "value")
+        strings = df.toDF(*map(str, range(len(df.columns))))  # by place, for a name may hold a dot
+        found_here = strings.select(*(F.col(c).cast("string") for c in strings.columns)).mapInArrow(_least(k), "at string, h string, value string")
+        one = found_here.select(F.lit(name).alias("table"), F.get(F.array(*map(F.lit, df.columns)), F.col("at").cast("int")).alias("column"), "h", "value")
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("table", "column").orderBy("h", "value"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("table", "column", F.col("rank").cast("long").alias("rank"), "value")

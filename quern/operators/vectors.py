@@ -99,14 +99,27 @@ def load_vectors(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(rows, rows.groupBy("list").agg((F.max("part") + 1).alias("parts")), np.array(centres.column("centre").to_pylist(), np.float64))
 
 
+def tuned_probes(index: VectorIndex, k: int, recall: float = 0.95, sample: int = 64) -> int:
+    """The least number of lists that holds this share of the k true neighbours of a sample of the index's own rows, at most `sample` of them; all lists are asked to find these."""
+    if not len(index.centres):
+        return 1
+    q = index.rows.orderBy(F.xxhash64("did", F.lit(1)), "did").limit(sample).select(F.col("did").alias("qid"), "vec")
+    true = probe_vectors(index, q, k, probes=len(index.centres)).select("qid", "did").join(index.rows.select("did", "list"), "did").join(q, "qid").select("vec", "list").toArrow()  # k * sample rows
+    if not true.num_rows:
+        return 1
+    near = np.argsort(-(_matrix(true.column("vec")) @ index.centres.T), axis=1)
+    place = np.sort(np.argmax(near == true.column("list").to_numpy()[:, None], axis=1))
+    return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1
+
+
 def probe_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, digits: int = 6) -> DataFrame:
     """(qid, did, score, rank): of the `probes` lists nearest to each query (qid, vec) the k rows with the largest product; own ids left out, ties by did.
 
-    By default a quarter of the lists; with all of them the answer is exact. A part of a list and some QUERIES of those that ask it meet as two
+    By default as many lists as tuned_probes finds; with all of them the answer is exact. A part of a list and some QUERIES of those that ask it meet as two
     matrices in one task, which returns k rows a query, so lists and queries of any size are dealt out. Null vectors are near nothing."""
     centres = index.centres
     held = queries.sparkSession.sparkContext.broadcast(centres)
-    probes = min(len(centres), probes or max(1, -(-len(centres) // 4)))
+    probes = min(len(centres), probes or tuned_probes(index, k))
     kind, own = dict(queries.dtypes)["qid"], dict(index.rows.dtypes)["did"]
 
     def asks(batches):

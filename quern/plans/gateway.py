@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -200,11 +202,62 @@ class Answer:
     columns: list[str]
     seconds: float
     error: str = ""
+    bytes: int = 0
 
 
-def run(spark: SparkSession, sql: str, valid: set[str] | None = None, limit: int = 1000, timeout_s: float = 60.0) -> Answer:
-    """Guard, limit and run a statement; it is cancelled after timeout_s. status: ok, INVALID_SQL, timeout or an error class."""
-    began, key = time.time(), uuid.uuid4().hex
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes that a query is estimated to read: of each table what is left of its size by the columns (and, with statistics, the filters) that the optimizer has put on it."""
+
+    def of(node) -> int:
+        below = node.children()
+        chain = node
+        while chain.nodeName() in ("Project", "Filter") and chain.children().size() == 1:
+            chain = chain.children().head()
+        if chain.children().isEmpty():
+            return int(str(node.stats().sizeInBytes()))
+        return sum(of(below.apply(i)) for i in range(below.size()))
+
+    return of(df._jdf.queryExecution().optimizedPlan())
+
+
+@dataclass
+class Audit:
+    """Appends a row (at, user, sql_hash, query_id, elapsed_ms, bytes, rows, status) for each statement to a folder of JSON files; rows wait until `every` are there or flush()."""
+
+    spark: SparkSession
+    path: str
+    user: str
+    every: int = 1
+    kept: list = field(default_factory=list)
+
+    KIND = "at timestamp, user string, sql_hash string, query_id string, elapsed_ms long, bytes long, rows long, status string"
+
+    def add(self, answer: Answer) -> None:
+        self.kept.append((datetime.now(timezone.utc), self.user, hashlib.sha256(answer.sql.encode()).hexdigest(), answer.query_id, round(answer.seconds * 1000), answer.bytes, len(answer.rows), answer.status))
+        if len(self.kept) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.kept:
+            self.spark.createDataFrame(self.kept, self.KIND).coalesce(1).write.mode("append").json(self.path)
+            self.kept = []
+
+    def table(self) -> DataFrame:
+        return self.spark.read.json(self.path, schema=self.KIND)
+
+
+def run(spark: SparkSession, sql: str, valid: set[str] | None = None, limit: int = 1000, timeout_s: float = 60.0, max_bytes: int | None = None, audit: Audit | None = None) -> Answer:
+    """Guard, limit and run a statement; it is cancelled after timeout_s. status: ok, INVALID_SQL, TOO_LARGE, timeout or an error class.
+
+    TOO_LARGE is a statement that is estimated to read more than max_bytes; it isn't run. With an audit every call leaves a row, refused ones too."""
+    answer = _run(spark, sql, valid, limit, timeout_s, max_bytes)
+    if audit:
+        audit.add(answer)
+    return answer
+
+
+def _run(spark: SparkSession, sql: str, valid: set[str] | None, limit: int, timeout_s: float, max_bytes: int | None) -> Answer:
+    began, key, size = time.time(), uuid.uuid4().hex, 0
     clean = (sql or "").strip().rstrip(";")
     if not clean or not (guard_plan(spark, clean) if valid is None else whitelisted(spark, clean, valid)):
         return Answer(key, clean, "INVALID_SQL", [], [], time.time() - began, "not a permitted read-only statement")
@@ -219,10 +272,14 @@ def run(spark: SparkSession, sql: str, valid: set[str] | None = None, limit: int
     try:
         sc.setJobGroup(key, clean[:200], interruptOnCancel=True)
         timer.start()
-        df = spark.sql(clean).limit(limit)
-        return Answer(key, clean, "ok", df.collect(), df.columns, time.time() - began)  # limit rows at most
+        df = spark.sql(clean)
+        size = scanned_bytes(df)
+        if max_bytes is not None and size > max_bytes:
+            return Answer(key, clean, "TOO_LARGE", [], [], time.time() - began, f"it reads about {size} bytes, more than {max_bytes}", size)
+        df = df.limit(limit)
+        return Answer(key, clean, "ok", df.collect(), df.columns, time.time() - began, bytes=size)  # limit rows at most
     except Exception as e:
-        return Answer(key, clean, "timeout" if late.is_set() else error_class(e), [], [], time.time() - began, str(e)[:100])
+        return Answer(key, clean, "timeout" if late.is_set() else error_class(e), [], [], time.time() - began, str(e)[:100], size)
     finally:
         timer.cancel()
         sc.setLocalProperty("spark.jobGroup.id", None)
