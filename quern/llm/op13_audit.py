@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -15,48 +15,48 @@ from .common import cut, read, text_batches
 #: Documents that a kept term needs; scale of a share; terms a group returns; a term is heavy in more than one of so many groups of its language.
 DOCS, SCALE, FIRST, HEAVY = 3, 1_000_000_000, 200, 8
 #: Groups of a side of a tile; numbers of a tile; entries a task counts before it sends them; pair sums it holds.
-SIDE, CELLS, HELD, SUMS = 256, 1 << 20, 200_000, 500_000
+SIDE, CELLS, HELD, SUMS = 256, 1 << 20, 400_000, 500_000
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def _term_rows(batches):
-    """(lang, source, text) to (lang, source, term, c, d): occurrences and documents, added up within a task; '' stands for the group itself."""
-    count: dict[tuple, dict[bytes, list]] = defaultdict(dict)
-    held = 0
-
-    def rows():
-        flat = [(lang, source, term, c, d) for (lang, source), terms in count.items() for term, (c, d) in terms.items()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "c", "d"])
-
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            terms, own = count[lang, source], {b"": 0}
-            for x in _TERM.findall((text or b"").lower()):
-                own[x] = own.get(x, 0) + 1
-            held -= len(terms)
-            for x, c in own.items():
-                at = terms.get(x)
-                if at is None:
-                    terms[x] = [c, 1]
-                else:
-                    at[0] += c
-                    at[1] += 1
-            held += len(terms)
-            if held >= HELD:
-                yield rows()
-                count.clear()
-                held = 0
-    if count:
-        yield rows()
+def _term_rows(most: int):
+    """(lang, source, text) to (lang, source, term, c, d): occurrences and documents, added up within a task until it holds `most` terms; '' stands for the group itself."""
+
+    def rows(count):
+        parts = [(lang, source, [*c, b""], [*c.values(), 0], [*map(d.__getitem__, c), 0]) for (lang, source), (c, d) in count.items()]
+        text = lambda i: pa.concat_arrays([pa.repeat(pa.scalar(p[i], pa.string()), len(p[2])) for p in parts])
+        column = lambda i, kind: pa.concat_arrays([pa.array(p[i], kind) for p in parts])
+        return pa.RecordBatch.from_arrays([text(0), text(1), column(2, pa.binary()), column(3, pa.int64()), column(4, pa.int64())], names=["lang", "source", "term", "c", "d"])
+
+    def run(batches):
+        count: dict[tuple, tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                c, d = count.setdefault((lang, source), (Counter(), Counter()))
+                found = _TERM.findall((text or b"").lower())
+                held -= len(c)
+                c.update(found)
+                d.update(set(found))
+                held += len(c)
+                if held >= most:
+                    yield rows(count)
+                    count, held = {}, 0
+        if count:
+            yield rows(count)
+
+    return run
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, c, d): occurrences of a term in a group and documents of the group that hold it; a row with an empty term for every group."""
+    """(lang, source, term, c, d): occurrences of a term in a group and documents of the group that hold it; a row with an empty term for every group.
+
+    A term of a language is in one place afterwards: a row from each task for each source that has it there, however often it occurs."""
     text_batches(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = rows.mapInArrow(_term_rows, "lang string, source string, term binary, c long, d long")
-    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    found = rows.mapInArrow(_term_rows(HELD), "lang string, source string, term binary, c long, d long").select("lang", "source", F.col("term").cast("string").alias("term"), "c", "d")
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def share(count, total, kept):
@@ -85,12 +85,12 @@ def _sums(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["lang", "g", "h", "v"])
 
 
-def _dense_rows(groups: Groups):
-    """Sorted (lang, a, b, tile, term, side, g, p) to sums over heavy terms of each pair of a's and b's groups: a tile is a matrix of groups by terms, the sums of a pair of sides are held until it ends."""
+def _dense_rows(groups: Groups, size: int):
+    """Sorted (lang, a, b, tile, term, side, g, p) to what heavy terms change in each pair of a's and b's groups: a tile is a matrix of groups by terms, the sums of a pair of sides are held until it ends."""
 
     def blocks(lang, a, b):
         base = groups.base[lang]
-        return base[a * SIDE : (a + 1) * SIDE], base[b * SIDE : (b + 1) * SIDE]
+        return base[a * size : (a + 1) * size], base[b * size : (b + 1) * size]
 
     def added(key, total, terms, sides, g, p):
         lang, a, b, _ = key
@@ -100,12 +100,12 @@ def _dense_rows(groups: Groups):
         left, right = np.repeat(base_a[:, None], width, 1), np.repeat(base_b[:, None], width, 1)
         for side, m, at in ((0, left, a), (1, right, b)):
             own = (sides == side) | (a == b)
-            m[g[own] - at * SIDE, t[own]] = p[own]
+            m[g[own] - at * size, t[own]] = p[own]
         for i in range(len(left)):
-            total[i] += _f(left[i][None, :], right).sum(axis=1)
+            total[i] += _f(left[i][None, :], right).sum(axis=1) - width * _f(base_a[i], base_b)
 
     def out(lang, a, b, total):
-        return _sums((lang, a * SIDE + i, b * SIDE + j, int(total[i, j])) for i in range(total.shape[0]) for j in range(total.shape[1]) if a != b or i != j)
+        return _sums((lang, a * size + i, b * size + j, int(total[i, j])) for i in range(total.shape[0]) for j in range(total.shape[1]) if a != b or i != j)
 
     def run(batches):
         pair = total = tile = None
@@ -142,7 +142,7 @@ def _dense_rows(groups: Groups):
 
 
 def _rare_rows(groups: Groups):
-    """(lang, g, p, m) to what m rare terms of share p in group g change in each pair of g, against all pairs of lacking groups; p = 0 stands for these pairs themselves."""
+    """(lang, g, p, m) to what m rare terms of share p in group g change in each pair of g; p = 0 stands for the sum of m terms that all groups lack."""
 
     def run(batches):
         for batch in batches:
@@ -218,18 +218,18 @@ def audit(docs: DataFrame, least: int = DOCS, first: int = FIRST) -> DataFrame:
     group's share of a term and q the other's. Part `term`: the group's `first` terms that it uses more than its language does.
 
     Terms of more than one in HEAVY of a language's groups are laid in tiles, matrices of at most SIDE groups by so many terms that
-    CELLS numbers are reached, of which each task adds up those of a pair of sides. Any other term adds to what a language's groups
-    have where all lack it: a number for each share that a group has, and one for each pair of its few groups, added up
-    within tasks. All is 64-bit integers whose sums are exact as long as a language's kept terms are under two thousand million.
+    CELLS numbers are reached, of which each task adds up those of a pair of sides. Any other term is a number for each share that a
+    group has of it, and one for each pair of its few groups, added up within tasks. Both are what a term changes against the sum that a pair
+    has where all terms are lacking. All is 64-bit integers whose sums are exact as long as a language's kept terms are under two thousand million.
     The groups of a language (not its terms) are sent to all tasks: `pair` returns more rows than that.
 
     Null text, lang and source are ''. A group without terms is still compared; a language of one source has no `pair`, one without
     kept terms gives 0 for all. Repeated rows are documents of their own; an empty table gives no rows; extra columns are ignored.
     """
-    counts = cut(term_counts(docs))
-    held = counts.where("term != ''")
-    kept = held.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("c").alias("total"), F.count("*").alias("k")).where(F.col("d") >= least).drop("d")
-    postings = cut(held.select("lang", "source", "term", "c").join(kept, ["lang", "term"]))
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({"total": F.sum("c").over(of_term), "k": F.count("*").over(of_term), "d": F.sum("d").over(of_term)})
+    counts = cut(counts.where((F.col("d") >= least) | (F.col("term") == "")).drop("d"))
+    postings = counts.where("term != ''")
     sizes = postings.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     langs = postings.select("lang", "term", "total").groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
     groups = counts.where("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "v", "all"])
@@ -253,11 +253,10 @@ def audit(docs: DataFrame, least: int = DOCS, first: int = FIRST) -> DataFrame:
         F.array(F.struct(F.col("at").alias("a"), b.alias("b"), F.lit(0).alias("side")), F.struct(b.alias("a"), F.col("at").alias("b"), F.lit(1).alias("side")))))))
     tiled = wide.select("lang", "term", "g", "p", F.pmod("term", "tiles").cast("int").alias("tile"), of.alias("of")).select("lang", "of.a", "of.b", "tile", "term", "of.side", "g", "p")
     sums = "lang string, g int, h int, v long"
-    dense = tiled.repartition(parts, "lang", "a", "b", "tile").sortWithinPartitions("lang", "a", "b", "tile").mapInArrow(_dense_rows(sides), sums)
+    dense = tiled.repartition(parts, "lang", "a", "b", "tile").sortWithinPartitions("lang", "a", "b", "tile").mapInArrow(_dense_rows(sides, SIDE), sums)
 
     rare = several.where(~heavy)
-    lacking = rare.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("m"))
-    lacking = groups.where("v > 0 AND s > 1").join(lacking, "lang").select("lang", "g", F.lit(0).cast("long").alias("p"), "m")
+    lacking = groups.where("v > 0 AND s > 1").select("lang", "g", F.lit(0).cast("long").alias("p"), F.col("v").alias("m"))
     single = rare.groupBy("lang", "g", "p").agg(F.count("*").alias("m"))
     alone = single.unionByName(lacking).repartition(parts, "lang", "g", "p").mapInArrow(_rare_rows(sides), sums)
     together = rare.where("k > 1").select("lang", F.xxhash64("term").alias("h"), "term", "g", "p").repartition(parts, "lang", "term").sortWithinPartitions("lang", "term").select("lang", "h", "g", "p").mapInArrow(_pair_rows(sides), sums)
