@@ -23,6 +23,8 @@ MOST_WORDS, LEAST, INSIDE_PERCENT, FIRST, SCALE = 3, 10, 50, 2000, 1_000_000
 CHUNK, LONG_PIECE, HELD = 1 << 19, 4096, 16 << 20
 #: What a bucket's counting may take in memory before it goes to disk.
 COUNT_MEMORY = "300MB"
+#: Buckets of n-grams for each shuffle partition: a bucket of all n-grams of a partition of text is larger than such a partition.
+PARTS = 4
 #: Parts that a language's ranking is dealt over before its first phrases meet.
 SALTS = 32
 
@@ -30,10 +32,10 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS))
 
 
-def _piece_rows(most: int):
+def _piece_rows(most: int, long: int):
     """(lang, text) to (lang, piece, starts, m): the pieces of texts, words parted by one blank, m times each.
 
-    starts is the number of words at which an n-gram of the row begins. A piece of over LONG_PIECE words is parted
+    starts is the number of words at which an n-gram of the row begins. A piece of over `long` words is parted
     into rows that overlap by most - 1 words, so each n-gram begins in one row.
     """
 
@@ -48,15 +50,15 @@ def _piece_rows(most: int):
                 for part in (text or b"").translate(_FOLD).split(b"\n"):
                     found = part.split()
                     n = len(found)
-                    if n <= LONG_PIECE:
+                    if n <= long:
                         if n:
                             key = (lang, b" ".join(found), n)
                             if key not in count:
                                 held += len(key[1]) + 200
                             count[key] += 1
                         continue
-                    for a in range(0, n, LONG_PIECE):
-                        key = (lang, b" ".join(found[a : a + LONG_PIECE + most - 1]), min(LONG_PIECE, n - a))
+                    for a in range(0, n, long):
+                        key = (lang, b" ".join(found[a : a + long + most - 1]), min(long, n - a))
                         held += len(key[1]) + 200
                         count[key] += 1
                 if held > HELD:
@@ -72,24 +74,33 @@ def pieces(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """(lang, piece, starts, m): the distinct pieces of all texts with the number of times each occurs, see _piece_rows."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_piece_rows(most), "lang string, piece binary, starts long, m long").groupBy("lang", "piece", "starts").agg(F.sum("m").alias("m"))
+    return rows.mapInArrow(_piece_rows(most, LONG_PIECE), "lang string, piece binary, starts long, m long").groupBy("lang", "piece", "starts").agg(F.sum("m").alias("m"))
 
 
-def _blob(counts: np.ndarray, lens: np.ndarray, text: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(b"".join((len(counts).to_bytes(4, "little"), counts.astype("<i8").tobytes(), lens.astype("<u4").tobytes(), text)))
+def _section(lang: str, counts: np.ndarray, lens: np.ndarray, text: bytes) -> bytes:
+    """n-grams of a language: the sizes of what follows, the language, a count and a length each, all texts."""
+    name = lang.encode()
+    sizes = np.array([len(name), len(counts), len(text)], "<u4")
+    return b"".join((sizes.tobytes(), name, counts.astype("<i8").tobytes(), lens.astype("<u4").tobytes(), text))
 
 
-def _opened(blob: bytes) -> tuple[np.ndarray, pa.StringArray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(data[:4], "little")
-    counts, lens = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)
-    ends = np.zeros(n + 1, np.int32)
-    np.cumsum(lens, out=ends[1:])
-    return counts, pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data[4 + 12 * n :]))
+def _sections(blob: bytes):
+    """(language, counts, n-grams) of each section of a compressed bucket."""
+    data, at = zstandard.ZstdDecompressor().decompress(blob), 0
+    while at < len(data):
+        name, n, text = np.frombuffer(data, "<u4", 3, at).tolist()
+        at += 12
+        lang, at = data[at : at + name].decode(), at + name
+        counts, lens = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n)
+        at += 12 * n
+        ends = np.zeros(n + 1, np.int32)
+        np.cumsum(lens, out=ends[1:])
+        yield lang, counts, pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data[at : at + text]))
+        at += text
 
 
 def _chunk_rows(lang: str, texts: list[bytes], starts: np.ndarray, m: np.ndarray, most: int, buckets: int):
-    """One blob of (n-gram, count) for each bucket that a chunk of pieces has n-grams for; the n-gram of no words counts all words."""
+    """(bucket, section) of the n-grams of a chunk of pieces, with their counts; the n-gram of no words counts all words."""
     text = b" ".join(texts)
     found = text.split(b" ")
     n, buf = len(found), np.frombuffer(text, np.uint8)
@@ -106,7 +117,7 @@ def _chunk_rows(lang: str, texts: list[bytes], starts: np.ndarray, m: np.ndarray
     ids = place[words.indices.to_numpy()]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(distinct[i]) for i in order), _U, len(order))[ids]
     at = np.flatnonzero(np.arange(n) - first[piece] < starts[piece])
-    yield zlib.crc32(lang.encode()) % buckets, lang, _blob(np.array([m @ starts]), np.array([0]), b"")
+    yield zlib.crc32(lang.encode()) % buckets, _section(lang, np.array([m @ starts]), np.array([0]), b"")
     key, factors, h = np.zeros(n, np.int64), stream(11, most) | _U(1), np.zeros(n, _U)
     for k in range(1, most + 1):
         at = at[at + k <= last[piece[at]]]
@@ -134,35 +145,39 @@ def _chunk_rows(lang: str, texts: list[bytes], starts: np.ndarray, m: np.ndarray
         grams = buf[np.repeat(begins[one] - (stops - lens), lens) + np.arange(int(stops[-1]))]
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield int(bucket[a]), lang, _blob(counts[a:b], lens[a:b], grams[stops[a] - lens[a] : stops[b - 1]].tobytes())
+            yield int(bucket[a]), _section(lang, counts[a:b], lens[a:b], grams[stops[a] - lens[a] : stops[b - 1]].tobytes())
 
 
-def _gram_rows(most: int, buckets: int):
-    """Pieces to (bucket, lang, data), counted within chunks of CHUNK words of a language."""
+def _gram_rows(most: int, buckets: int, chunk: int):
+    """Pieces to (bucket, data), counted within chunks of so many words: a row for each bucket that a chunk has n-grams for."""
 
     def run(batches):
         held: dict[str, list] = {}
         total = 0
 
         def flushed():
+            parts: dict[int, list[bytes]] = {}
             for lang, rows in held.items():
-                out = list(zip(*_chunk_rows(lang, [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), most, buckets)))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["bucket", "lang", "data"])
+                for bucket, section in _chunk_rows(lang, [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), most, buckets):
+                    parts.setdefault(bucket, []).append(section)
+            pack = zstandard.ZstdCompressor(1).compress
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([pack(b"".join(x)) for x in parts.values()], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(row[0], []).append(row[1:])
                 total += row[2]
-                if total >= CHUNK:
-                    yield from flushed()
+                if total >= chunk:
+                    yield flushed()
                     held, total = {}, 0
-        yield from flushed()
+        if held:
+            yield flushed()
 
     return run
 
 
 def _counted_rows(least: int):
-    """(bucket, lang, data) to (lang, gram, f): one duckdb aggregation a task, which goes to a scratch folder of its own beyond COUNT_MEMORY."""
+    """(bucket, data) to (lang, gram, f): one duckdb aggregation a task, which goes to a scratch folder of its own beyond COUNT_MEMORY."""
     kind = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -170,8 +185,7 @@ def _counted_rows(least: int):
 
         def parts():
             for batch in batches:
-                for lang, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                    counts, grams = _opened(data.as_py())
+                for lang, counts, grams in (x for data in batch.column(1) for x in _sections(data.as_py())):
                     yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int8))), grams, pa.array(counts)], schema=kind)
 
         with tempfile.TemporaryDirectory(prefix="grams-") as scratch, duckdb.connect(config={"memory_limit": COUNT_MEMORY, "temp_directory": scratch, "threads": 1, "preserve_insertion_order": False}) as con:
@@ -188,8 +202,8 @@ def counted(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST) -> Data
     Equal pieces are one row with a multiplicity. Tasks count the n-grams of chunks of them, so a frequent n-gram is a
     few rows of each task, pack them by hash bucket and send them; a bucket's exact sums are made out-of-core.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces(docs, most).mapInArrow(_gram_rows(most, 4 * buckets), "bucket int, lang string, data binary")
+    buckets = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces(docs, most).mapInArrow(_gram_rows(most, buckets, CHUNK), "bucket int, data binary")
     return rows.repartition(buckets, "bucket").mapInArrow(_counted_rows(least), "lang string, gram string, f long")
 
 
