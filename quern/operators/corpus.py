@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,20 +208,20 @@ def template_pairs(templates: list[tuple[str, str, dict[str, list[str]]]]) -> li
     return found
 
 
-_TEMPLATES = [
-    ("How many orders had the status {s} in {y}?", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{s}' AND year(o_orderdate) = {y};", {"s": ["F", "O", "P"], "y": ["1996", "1997"]}),
-    ("List customers of the segment {m}", "SELECT c_custkey FROM customer WHERE c_mktsegment = '{m}';", {"m": ["BUILDING", "MACHINERY"]}),
-    ("How many parts are there?", "SELECT count(*) AS n FROM part;", {}),
-]
+def filled(question: str, sql: str, values: DataFrame) -> DataFrame:
+    """(question, sql) of a template for each row of values, whose columns are the template's {slots}."""
+    put = lambda text: reduce(lambda c, name: F.replace(c, F.lit("{" + name + "}"), F.col(name).cast("string")), values.columns, F.lit(text))
+    return values.select(put(question).alias("question"), put(sql).alias("sql"))
 
 
-@query("""WITH a AS (SELECT 'How many orders had the status ' || s || ' in ' || y || '?' AS question, 'SELECT count(*) AS n FROM orders WHERE o_orderstatus = ''' || s || ''' AND year(o_orderdate) = ' || y || ';' AS sql FROM (VALUES ('F'), ('O'), ('P')) AS x(s), (VALUES ('1996'), ('1997')) AS z(y)
-UNION ALL SELECT 'List customers of the segment ' || m, 'SELECT c_custkey FROM customer WHERE c_mktsegment = ''' || m || ''';' FROM (VALUES ('BUILDING'), ('MACHINERY')) AS x(m) UNION ALL SELECT 'How many parts are there?', 'SELECT count(*) AS n FROM part;')
+@query("""WITH a AS (SELECT 'How many orders had the status ' || s || ' in ' || y || '?' AS question, 'SELECT count(*) AS n FROM orders WHERE o_orderstatus = ' || chr(39) || s || chr(39) || ' AND year(o_orderdate) = ' || y || ';' AS sql FROM (SELECT DISTINCT o_orderstatus AS s, year(o_orderdate) AS y FROM orders)
+UNION ALL SELECT 'List customers of the segment ' || m, 'SELECT c_custkey FROM customer WHERE c_mktsegment = ' || chr(39) || m || chr(39) || ';' FROM (SELECT DISTINCT c_mktsegment AS m FROM customer))
 SELECT 'system=You write SQL.|user=' || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'SQL:|assistant=' || sql AS messages, question, 'template' AS source FROM a""")
 def template_corpus(t) -> DataFrame:
-    """Pairs from templates, as chat records; the question is found again in the prompt."""
-    pairs = t.spark.createDataFrame(template_pairs(_TEMPLATES), "question string, sql string").withColumn("context", F.lit(""))
-    rows = chat_rows(pairs, "You write SQL.", "template")
+    """Pairs from templates with values of the tables, as chat records; the question is found again in the prompt."""
+    orders = filled("How many orders had the status {s} in {y}?", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{s}' AND year(o_orderdate) = {y};", t.orders.select(F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y")).distinct())
+    segments = filled("List customers of the segment {m}", "SELECT c_custkey FROM customer WHERE c_mktsegment = '{m}';", t.customer.select(F.col("c_mktsegment").alias("m")).distinct())
+    rows = chat_rows(orders.unionByName(segments).withColumn("context", F.lit("")), "You write SQL.", "template")
     shown = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
     return rows.select(shown.alias("messages"), question_of(F.col("messages")[1]["content"]).alias("question"), F.col("metadata.source").alias("source"))
 
@@ -231,21 +233,22 @@ def cleaned_pairs(t) -> DataFrame:
     return cleaned(merged(d, d.withColumn("id", F.col("id") + 1_000_000)).drop("priority"))
 
 
-_PAIRS = [("a b c d", "a b c d"), ("a b c", "a x c"), ("a b c d e", "b c d"), ("a", "a b c"), ("q w e r t", "t r e w q")]
-
-
-@query("SELECT r AS ref, h AS hyp, round(levenshtein(replace(r, ' ', ''), replace(h, ' ', ''))::DOUBLE / length(replace(r, ' ', '')), 6) AS wer FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PAIRS) + ") AS p(r, h)")
+@query(r"""SELECT item_id AS id, CASE WHEN n = 0 THEN 1.0 ELSE round((n // 4)::DOUBLE / n, 6) END AS wer FROM (SELECT item_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM benchmark)""")
 def wer_rows(t) -> DataFrame:
-    d = t.spark.createDataFrame(_PAIRS, "ref string, hyp string")
-    return d.select("ref", "hyp", F.round(word_error_rate(F.col("ref"), F.col("hyp")), 6).alias("wer"))
+    """The word error rate of every item against itself without every fourth word: no alignment takes fewer edits than words are missing."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    heard = F.array_join(F.filter(words, lambda w, i: (i + 1) % 4 != 0), " ")
+    return t.benchmark.select(F.col("item_id").alias("id"), F.round(word_error_rate(F.col("text"), heard), 6).alias("wer"))
 
 
 @query()
 def keyword_fix(t) -> DataFrame:
+    """Transcripts that say an item's first words among misheard keywords."""
     from ..functions.keywords import sql_keywords
 
-    d = t.spark.createDataFrame([("sellect name form customer wher age > 3",), ("count orders groub bai region oder by total",), ("left join item on x",)], "heard string")
-    return d.select("heard", sql_keywords("heard").alias("said"))
+    few = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
+    d = t.benchmark.select(F.col("item_id").alias("id"), F.concat(F.lit("sellect "), few, F.lit(" form customer wher age > "), F.col("item_id").cast("string"), F.lit(" groub bai region")).alias("heard"))
+    return d.select("id", "heard", sql_keywords("heard").alias("said"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS n_tokens, length(strip_accents(text)) AS n_plain FROM documents")
@@ -282,14 +285,18 @@ def eval_summary(t) -> DataFrame:
     return rollup(r, ["condition"]).select("condition", "n", "accuracy", "mean_latency_ms")
 
 
-_SQL_TEXTS = ["SELECT * FROM a", "DROP TABLE a", "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT 'drop' AS w FROM a", "update a set b = 1", "-- note\nSELECT 1"]
+_SQL_TEXTS = ["SELECT * FROM a@", "DROP TABLE a@", "WITH x AS (SELECT @) SELECT * FROM x", "SELECT 'drop' AS w FROM a@", "update a set b = @", "-- note\nSELECT @", "SELECT created@ FROM a"]
 
 
-@query("SELECT s, regexp_matches(lower(trim(regexp_replace(s, '--[^\\n]*', ' ', 'g'), E' \\n\\t')), '^(select|with)\\b') AND NOT regexp_matches(lower(regexp_replace(s, '--[^\\n]*', ' ', 'g')), '\\b(insert|update|delete|drop|create|alter|truncate|merge|grant|revoke|attach|copy|pragma)\\b') AS ok FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + "')" for s in _SQL_TEXTS) + ") AS x(s)")
+@query(r"SELECT id, s, regexp_matches(lower(trim(regexp_replace(s, '--[^\n]*', ' ', 'g'), E' \n\t')), '^(select|with)\b') AND NOT regexp_matches(lower(regexp_replace(s, '--[^\n]*', ' ', 'g')), '\b(insert|update|delete|drop|create|alter|truncate|merge|grant|revoke|attach|copy|pragma)\b') AS ok FROM (SELECT item_id AS id, replace(["
+       + ", ".join("'" + s.replace("'", "''") + "'" for s in _SQL_TEXTS) + f"][item_id % {len(_SQL_TEXTS)} + 1], '@', CAST(item_id AS VARCHAR)) AS s FROM benchmark)")
 def guard_sql(t) -> DataFrame:
-    from ..plans.gateway import FORBIDDEN
+    """Statements by the guard that goes by words."""
+    from ..plans.gateway import guard_text
+
+    @F.pandas_udf("boolean")
+    def permitted(texts: pd.Series) -> pd.Series:
+        return texts.map(guard_text)
 
-    d = t.spark.createDataFrame([(s,) for s in _SQL_TEXTS], "s string")
-    bare = F.lower(F.trim(F.regexp_replace("s", r"--[^\n]*", " ")))
-    bare = F.regexp_replace(bare, r"^\s+", "")
-    return d.select("s", (F.rlike(bare, F.lit(r"^(select|with)\b")) & ~F.rlike(bare, F.lit(rf"\b({'|'.join(FORBIDDEN)})\b"))).alias("ok"))
+    made = F.replace(F.element_at(F.array(*map(F.lit, _SQL_TEXTS)), (F.col("item_id") % len(_SQL_TEXTS) + 1).cast("int")), F.lit("@"), F.col("item_id").cast("string"))
+    return t.benchmark.select(F.col("item_id").alias("id"), made.alias("s")).withColumn("ok", permitted("s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,26 +89,47 @@ def truth_revert(t) -> DataFrame:
     return one.unionAll(evaluate.revalidated(t.spark, [("2", "SELECT * FROM nation n")], {"nation": ["nocol"]}))
 
 
-_RAW = ["SELECT TOP 5 ss_ss_item_sk FROM x", "-- note\nSELECT d_quarter FROM d;", "SELECT inv_quantity, inv_quantity_on_hand FROM i", "SELECT 1", "SELECT top (3) a FROM t LIMIT 9", "SELECT YEAR(d) FROM t"]
+def _made(t, patterns: list[str], name: str) -> DataFrame:
+    """(id, name): a text of one of the patterns for each item of the benchmark, with the item's number for @."""
+    return t.benchmark.select(F.col("item_id").alias("id"), F.replace(F.element_at(F.array(*map(F.lit, patterns)), (F.col("item_id") % len(patterns) + 1).cast("int")), F.lit("@"), F.col("item_id").cast("string")).alias(name))
 
 
-@query("""WITH v(raw) AS (VALUES """ + ", ".join("('" + s.replace("'", "''") + "')" for s in _RAW) + r"""),
-a AS (SELECT raw, trim(regexp_replace(raw, '(^|\n)\s*(--|#)[^\n]*', '', 'g'), chr(10)) AS s FROM v), b AS (SELECT raw, regexp_replace(s, 'ss_ss_', 'ss_', 'g') AS s FROM a),
-c AS (SELECT raw, regexp_replace(replace(replace(regexp_replace(s, '\bd_quarter\b', 'd_qoy', 'g'), 'inv_quantity_on_hand', 'inv_quantity'), 'inv_quantity', 'inv_quantity_on_hand'), ';$', '') AS s FROM b)
-SELECT raw, CASE WHEN regexp_matches(s, '(?i)^select top') THEN regexp_replace(s, '(?i)^select top \(?\d+\)? ', 'SELECT ') || CASE WHEN regexp_matches(s, '(?i)\blimit\b') THEN '' ELSE ' LIMIT ' || regexp_extract(s, '(?i)top \(?(\d+)', 1) END ELSE s END || ';' AS sql FROM c""")
+def _made_sql(patterns: list[str], name: str) -> str:
+    return "SELECT item_id AS id, replace([" + ", ".join("'" + x.replace("'", "''") + "'" for x in patterns) + f"][item_id % {len(patterns)} + 1], '@', CAST(item_id AS VARCHAR)) AS {name} FROM benchmark"
+
+
+def _text_udf(f):
+    """A function of one text as a column function, Arrow batches at a time."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f)
+
+    return run
+
+
+_RAW = ["SELECT TOP 5 ss_ss_item_sk FROM x@", "-- note\nSELECT d_quarter FROM d@;", "SELECT inv_quantity, inv_quantity_on_hand FROM i WHERE a = @", "SELECT @", "SELECT top (3) a@ FROM t LIMIT 9", "SELECT YEAR(d) FROM t@"]
+
+
+@query("WITH v AS (" + _made_sql(_RAW, "raw") + r"""),
+a AS (SELECT *, trim(regexp_replace(raw, '(^|\n)\s*(--|#)[^\n]*', '', 'g'), chr(10)) AS s FROM v), b AS (SELECT id, raw, regexp_replace(s, 'ss_ss_', 'ss_', 'g') AS s FROM a),
+c AS (SELECT id, raw, regexp_replace(replace(replace(regexp_replace(s, '\bd_quarter\b', 'd_qoy', 'g'), 'inv_quantity_on_hand', 'inv_quantity'), 'inv_quantity', 'inv_quantity_on_hand'), ';$', '') AS s FROM b)
+SELECT id, raw, CASE WHEN regexp_matches(s, '(?i)^select top') THEN regexp_replace(s, '(?i)^select top \(?\d+\)? ', 'SELECT ') || CASE WHEN regexp_matches(s, '(?i)\blimit\b') THEN '' ELSE ' LIMIT ' || regexp_extract(s, '(?i)top \(?(\d+)', 1) END ELSE s END || ';' AS sql FROM c""")
 def rewrite_sql(t) -> DataFrame:
-    return t.spark.createDataFrame([(s, rewrite.repaired(s)[0]) for s in _RAW], "raw string, sql string")
+    return _made(t, _RAW, "raw").withColumn("sql", _text_udf(lambda s: rewrite.repaired(s)[0])("raw"))
 
 
-_ANSWERS = ["```sql\nSELECT 1;\n```", "SQL: select 2; more", "Sure. WITH a AS (SELECT 3) SELECT * FROM a;", "no statement", "text ```\nselect 4\n``` tail", ""]
+_ANSWERS = ["```sql\nSELECT @;\n```", "SQL: select @; more", "Sure. WITH a AS (SELECT @) SELECT * FROM a;", "no statement @", "text ```\nselect @\n``` tail", ""]
 
 
-@query("""WITH v(answer) AS (VALUES """ + ", ".join(f"('{s}')" for s in _ANSWERS) + r"""), b AS (SELECT answer, trim(CASE WHEN regexp_matches(answer, '(?s)```(?:sql)?\s*(.*?)```') THEN regexp_extract(answer, '(?s)```(?:sql)?\s*(.*?)```', 1) ELSE answer END, chr(10) || ' ') AS body FROM v)
-SELECT answer, trim(split_part(body, ';', 1)) AS fenced, trim(split_part(regexp_replace(body, '(?i)^sql\s*:\s*', ''), ';', 1)) AS labelled,
-trim(split_part(regexp_extract(body, '(?is)\bselect\b.*'), ';', 1)) AS from_select FROM b""")
+@query("WITH v AS (" + _made_sql(_ANSWERS, "answer") + r"""), b AS (SELECT id, answer, trim(CASE WHEN regexp_matches(answer, '(?s)```(?:sql)?\s*(.*?)```') THEN regexp_extract(answer, '(?s)```(?:sql)?\s*(.*?)```', 1) ELSE answer END, chr(10) || ' ') AS body FROM v),
+f AS (SELECT *, CASE WHEN regexp_matches(body, '(?i)\b(select|with)\b') THEN regexp_extract(body, '(?is)\b(?:select|with)\b.*') ELSE body END AS rest FROM b)
+SELECT id, trim(split_part(body, ';', 1)) AS fenced, trim(split_part(regexp_replace(body, '(?i)^sql\s*:\s*', ''), ';', 1)) AS labelled,
+trim(split_part(regexp_extract(body, '(?is)\bselect\b.*'), ';', 1)) AS from_select, CASE WHEN contains(rest, ';') THEN split_part(rest, ';', 1) || ';' ELSE rest END AS from_first FROM f""")
 def extract_sql(t) -> DataFrame:
-    """Three of the five ways to find the statement in an answer."""
-    return t.spark.createDataFrame([(s, rewrite.extract(s), rewrite.extract(s, "labelled"), rewrite.extract(s, "select")) for s in _ANSWERS], "answer string, fenced string, labelled string, from_select string")
+    """Four ways to find the statement in an answer."""
+    ways = {"fenced": "fenced", "labelled": "labelled", "from_select": "select", "from_first": "first"}
+    return _made(t, _ANSWERS, "answer").select("id", *(_text_udf(lambda s, way=way: rewrite.extract(s, way))("answer").alias(name) for name, way in ways.items()))
 
 
 #: Statements (a name of the nation's stands for @), what binding them says and whether the guard lets them through.
@@ -127,16 +149,14 @@ def error_class(t) -> DataFrame:
     return t.spark.createDataFrame(rows, "name string, n int, kind string, permitted boolean")
 
 
-_VALID = ["nation", "region", "orders"]
+_VALID, _TRAINING = ["nation", "region", "orders"], ["SELECT * FROM nation", "SELECT @ FROM Nation JOIN other ON 1 = 1", "SELECT @", "select @ from orders o join region r on true"]
 
 
-@query(r"""WITH v(sql) AS (VALUES ('SELECT * FROM nation'), ('SELECT * FROM Nation JOIN other ON 1 = 1'), ('SELECT 1'), ('select * from orders o join region r on true')),
-n AS (SELECT sql, list_transform(regexp_extract_all(lower(sql), '\b(?:from|join)\s+([a-z_]+)', 1), lambda x: x) AS names FROM v)
+@query("WITH v AS (" + _made_sql(_TRAINING, "sql") + r"""), n AS (SELECT sql, regexp_extract_all(lower(sql), '\b(?:from|join)\s+([a-z_]+)', 1) AS names FROM v)
 SELECT sql, len(list_filter(names, lambda x: x NOT IN ('nation', 'region', 'orders'))) = 0 AS valid, len(string_split(sql, ' ')) <= 4 AS short FROM n""")
 def valid_statements(t) -> DataFrame:
     """Statements that name known tables alone, and are short enough for training."""
-    d = t.spark.createDataFrame([(s,) for s in ("SELECT * FROM nation", "SELECT * FROM Nation JOIN other ON 1 = 1", "SELECT 1", "select * from orders o join region r on true")], "sql string")
-    return rewrite.training_filter(d, _VALID, 4)
+    return rewrite.training_filter(_made(t, _TRAINING, "sql"), _VALID, 4)
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 3")
@@ -160,22 +180,6 @@ def golden_cache(t) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("id")).join(cache, "id", "left").select("id", F.coalesce("golden", F.lit(-1).cast("long")).alias("golden"))
 
 
-_SEM = "sem AS (SELECT q.item_id AS qid, d.doc_id AS did, 1.0 / (1 + abs(length(q.text) - length(d.text))) AS semantic FROM benchmark q JOIN documents d ON length(d.text) // 100 = length(q.text) // 100)"
-
-
-@query(_BM25_SQL.rstrip().removesuffix(")").rstrip() + f"""), {_SEM}, x AS (SELECT sem.qid, sem.did, semantic, coalesce(bm25, 0) AS b FROM sem LEFT JOIN s ON sem.qid = s.qid AND sem.did = s.did),
-y AS (SELECT qid, did, semantic, b, min(b) OVER (PARTITION BY qid) AS lo, max(b) OVER (PARTITION BY qid) AS hi FROM x),
-z AS (SELECT qid, did, round(0.7 * semantic + 0.3 * CASE WHEN hi > lo THEN (b - lo) / (hi - lo) ELSE 0 END, 6) AS score FROM y)
-SELECT qid, did, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS r FROM z) WHERE r <= 3""")
-def hybrid_topk(t) -> DataFrame:
-    """A mix of a likeness (here of lengths, among texts of about the same length) and scaled BM25."""
-    q, d = t.benchmark.select(F.col("item_id").alias("qid"), "text"), t.documents.select(F.col("doc_id").alias("did"), "text")
-    cell = lambda c: F.floor(F.length(c) / 100)
-    near = q.select("qid", F.length("text").alias("a"), cell("text").alias("c")).join(d.select("did", F.length("text").alias("b"), cell("text").alias("c")), "c")
-    sem = near.select("qid", "did", (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("semantic"))
-    return linking.hybrid(sem, linking.bm25(d, q), k=3, digits=6).select("qid", "did", "score")
-
-
 _WORDS = {"first": ["the", "and"], "second": ["ing", "tion"], "third": ["que", "der"]}
 _WORDS_SQL = ", ".join(f"('{k}', '{w}')" for k, ws in _WORDS.items() for w in ws)
 _TOKENS_SQL = r"unnest(list_distinct(list_filter(string_split(array_to_string(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_]+'), '_'), '_'), lambda x: len(x) > 1)))"
@@ -212,10 +216,10 @@ def fewshot_pick(t) -> DataFrame:
     return picked.select("id", F.array_join(F.transform("examples", lambda e: F.concat(e["question"], F.lit("="), e["sql"])), ";").alias("examples"))
 
 
-@query(f"SELECT question, sql FROM (VALUES {', '.join(str(x) for x in _LIBRARY)}) AS l(cat, pos, question, sql) WHERE cat = 'first' AND pos < 1")
+@query("SELECT lang AS category, pos, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos < 3")
 def fewshot_static(t) -> DataFrame:
-    """The first n of a keyed list."""
-    return t.spark.createDataFrame(_LIBRARY, "category string, pos int, question string, sql string").where("category = 'first' AND pos < 1").select("question", "sql")
+    """The first n of a keyed list: three documents of each language."""
+    return linking.first_examples(t.documents.select(F.col("lang").alias("category"), "doc_id"), "doc_id", 3)
 
 
 _COLS = {"part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "nation": ["n_nationkey", "n_name"]}
@@ -269,11 +273,14 @@ def stamped_names(t) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.date_format(F.max("ts"), "yyyyMMdd_HHmmss").alias("stamp"), F.substring(F.max("props"), 1, 4).alias("cut"))
 
 
-@query("SELECT model, count(*) AS n, round(avg(wer), 6) AS mean_wer, round(stddev_samp(wer), 6) AS std_wer FROM (VALUES ('a', 0.0), ('a', 1 / 3.0), ('a', 1.0), ('b', 0.5), ('b', 1.0), ('b', 0.5)) AS v(model, wer) GROUP BY model")
+@query(r"""WITH w AS (SELECT 'm' || item_id % 3 AS model, 3 + item_id % 3 AS k, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM benchmark),
+r AS (SELECT model, CASE WHEN n = 0 THEN 1.0 ELSE (n // k)::DOUBLE / n END AS wer FROM w) SELECT model, count(*) AS n, round(avg(wer), 6) AS mean_wer, round(stddev_samp(wer), 6) AS std_wer FROM r GROUP BY model""")
 def asr_benchmark(t) -> DataFrame:
-    """Error rates by model; a failed transcript (null) counts as no words."""
+    """Error rates by model; each leaves out every third, fourth or fifth word of what is said."""
     from ..functions.text import asr_report
 
-    rows = [("a", 1, "một hai ba", "một hai ba"), ("a", 2, "A b c", "a x C"), ("a", 3, "a b", None), ("b", 1, "a b", "A c"), ("b", 2, "x", ""), ("b", 3, "q 5", "q năm")]
-    d = t.spark.createDataFrame(rows, "model string, id int, reference string, hypothesis string")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    heard = F.array_join(F.filter(words, lambda w, i: (i + 1) % F.col("k") != 0), " ")
+    said = t.benchmark.select("text", (F.col("item_id") % 3 + 3).cast("int").alias("k"), F.concat(F.lit("m"), (F.col("item_id") % 3).cast("string")).alias("model"))
+    d = said.select("model", F.col("text").alias("reference"), heard.alias("hypothesis"))
     return asr_report(d).select("model", "n", F.round("mean_wer", 6).alias("mean_wer"), F.round("std_wer", 6).alias("std_wer"))

@@ -110,8 +110,8 @@ def training_filter(statements: DataFrame, valid: list[str], most: int) -> DataF
 def without_unneeded_join(left: DataFrame, right: DataFrame, on: Column, wanted: list[str], unique: list[str], where: Column | None = None) -> DataFrame:
     """The wanted columns of left LEFT JOIN right: without the join, if right's key is unique and nothing wanted is right's.
 
-    unique: right's columns that the condition compares and that are known to be its key."""
+    unique: right's columns that the condition compares; that they are a key is looked up in right, by counts that are partial aggregates."""
     rows = left if where is None else left.where(where)
-    if unique and all(c in left.columns for c in wanted):
+    if unique and all(c in left.columns for c in wanted) and right.na.drop(subset=unique).groupBy(*unique).count().where("count > 1").isEmpty():
         return rows.select(*wanted)
     return rows.join(right, on, "left").select(*wanted)
