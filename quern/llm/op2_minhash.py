@@ -23,7 +23,11 @@ FAMILY = 0.4
 #: Counters of the sketch of shingle frequencies.
 SLOTS = 1 << 19
 #: Rounds of new centres within a family before pairs are made; any number gives the same components.
-CENTRES = 2
+CENTRES = 3
+#: Bands, and minima of each, of what a member has apart from its family's consensus; they bring likely links together, any number gives the same components.
+KEYS, KEY_ROWS = 16, 3
+#: Members of a family that meet its consensus in one place.
+FAMILY_ROWS = 1 << 12
 #: Bits of a bucket's map of tokens; any number gives the same pairs, with more or fewer tokens looked up.
 TOKEN_BITS = 4096
 #: Longs of a parity sketch.
@@ -171,6 +175,55 @@ def outside_rows(percent: int, shared, smallest: bool):
     return run
 
 
+def shingle_counts(batches):
+    """(fam, shingles) to (fam, t, c): in how many sets of a family a shingle is, added up within a batch."""
+    for batch in batches:
+        sets = batch.column(1).to_pylist()
+        owner = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in sets])
+        t = np.frombuffer(b"".join(sets), np.uint64).view(np.int64)
+        order = np.lexsort((t, owner))
+        owner, t = owner[order], t[order]
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (t[1:] != t[:-1])))) if len(t) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(t[first]), pa.array(np.diff(np.append(first, len(t))))], names=["fam", "t", "c"])
+
+
+_APART = ", ".join(["c long, x long, n long, slack long, tokens array<long>, keys array<long>", *(f"{p} long" for p in _PARITIES)])
+
+
+def apart_rows(percent: int, shared):
+    """(fam, x, members, consensus, set of x) to (c, x, n, slack, tokens, keys, sketch): c is the family; tokens are the shingles that x or the consensus lacks, the rarest of the family first; keys are bands of their minima.
+
+    slack is what x may differ from the consensus and still be linked with a set that differs from it as little: of two sets whose slacks add up to 0 or more
+    the differences can't be too many, so they are linked.
+    """
+
+    def run(batches):
+        often, held, consensus = shared.value, None, None
+        factor, shift, mixers, salt = (stream(21, KEYS * KEY_ROWS) | np.uint64(1))[:, None], stream(22, KEYS * KEY_ROWS)[:, None], stream(23, KEY_ROWS) | np.uint64(1), stream(24, KEYS)
+        for batch in batches:
+            tokens, keys, sketches, n, slack = [], [], [], [], []
+            fams, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, x in enumerate(batch.column(4).to_pylist()):
+                if fams[i] != held:
+                    held, consensus = fams[i], np.sort(np.array(batch.column(3)[i].as_py(), np.int64).view(np.uint64))
+                x = np.frombuffer(x, np.uint64)
+                more, less = np.setdiff1d(x, consensus, assume_unique=True), np.setdiff1d(consensus, x, assume_unique=True)
+                seen = lambda t: often[(t % np.uint64(SLOTS)).astype(np.int64)]
+                differ = np.concatenate((more, less))
+                rank = np.concatenate((seen(more), np.maximum(members[i] - seen(less), 0)))
+                tokens.append(differ[np.lexsort((differ, rank))].view(np.int64))
+                low = ((differ >> np.uint64(32)) * factor + shift).min(axis=1) if len(differ) else np.empty(0, np.uint64)
+                keys.append(splitmix((low.reshape(KEYS, KEY_ROWS) * mixers).sum(axis=1, dtype=np.uint64) + salt).view(np.int64) if len(differ) else np.empty(0, np.int64))
+                n.append(len(x)), slack.append((100 - percent) * len(x) - (100 + percent) * len(differ)), sketches.append(parities(x))
+            if tokens:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(slack, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), *(pa.array(p) for p in np.array(sketches).T)],
+                    names=["c", "x", "n", "slack", "tokens", "keys", *_PARITIES],
+                )
+
+    return run
+
+
 def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of these nodes (rid), from their texts; cut to the shared folder."""
     return packed(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
@@ -197,11 +250,9 @@ def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """(node, root): the components of first, joined by all links within families and buckets that it lacks.
 
-    No pair is made of sets that merely share what their whole group shares. For any set c, x and y can only
-    share more shingles than min(|x & c|, |y & c|) if they share some outside c.
-    - Families are the components of pairs with signatures somewhat alike; a family's reference is the set with most copies.
-      What is linked with its reference or its bucket's centre joins first. The rest meets by what it shares outside the
-      reference, see _regrouped, or where its overlaps with it would do by themselves.
+    No pair is made of sets that merely share what their whole group shares.
+    - Families are the components of pairs with signatures somewhat alike. What is linked by the distances to the family's consensus
+      joins without being compared; the rest meets by the shingles in which it differs from the consensus, see _families and _regrouped.
     - Of different families, pairs are made within a bucket. Its centre c is its smallest set, so x that isn't
       linked with c has |x & c| below what a link of x with any set of at least c's size needs: x and y must
       share as many shingles outside c as that falls short, hence (by the prefix filter) one of the rarest of
@@ -209,28 +260,24 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     """
     spark = spokes.sparkSession
     families = components(signed).toDF("x", "fam")
-    sizes = reps.select(F.col("node").alias("x"), "n", "copies")
     rooted = families.join(first.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
     # A family may hold a large part of all rows: what is one row a family goes to it while it is small enough.
     own = packed(rooted.join(small_side(packed(split), BROADCAST_ROWS), "fam").select("x", "fam"))
-    heads = own.join(sizes, "x").groupBy("fam").agg(F.max(F.struct("copies", (-F.col("n")).alias("n"), (-F.col("x")).alias("x"))).alias("h")).select("fam", (-F.col("h.x")).alias("c"))
-    inside = packed(own.join(small_side(packed(heads), BROADCAST_ROWS), "fam").where("x <> c").select("c", "x", "fam"))
     label = spokes.join(families, "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam"))
     mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
     between = packed(label.join(mixed, "c").select("c", "x", "fam"))
-    sets = _sets(between.unionByName(inside).select(F.explode(F.array("c", "x")).alias("rid")), texts, k)
+    if own.isEmpty() and between.isEmpty():
+        return first
+    sets = _sets(between.select(F.explode(F.array("c", "x")).alias("rid")).unionByName(own.select(F.col("x").alias("rid"))), texts, k)
     table = sets.mapInArrow(count_rows, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
     often[table.column("slot").to_numpy()] = table.column("c").to_numpy()
     shared = spark.sparkContext.broadcast(often)
-
-    def outside(pairs: DataFrame, smallest: bool) -> DataFrame:
-        both = pairs.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
-        return packed(both.mapInArrow(outside_rows(percent, shared, smallest), _OUTSIDE))
-
-    of_family, of_bucket = outside(inside, False), outside(between, True)
-    linked = of_family.unionByName(of_bucket).where("held").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    of_family, joined = _families(own, sets, percent, shared)
+    both = between.join(sets.toDF("c", "sc"), "c").join(sets.toDF("x", "sx"), "x").select("c", "x", "fam", "sc", "sx")
+    of_bucket = packed(both.mapInArrow(outside_rows(percent, shared, True), _OUTSIDE))
+    linked = joined.unionByName(of_bucket.where("held").select(F.col("c").alias("a"), F.col("x").alias("b")))
     # What is joined already goes on as stars.
     second, far = _regrouped(of_family, components(_stars(first).unionByName(linked)), reps, sets, percent)
     of_bucket = _rooted(_foreign(of_bucket), second).withColumn("token", F.explode("tokens")).drop("tokens")
@@ -243,6 +290,36 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     return components(_stars(second).unionByName(more))
 
 
+def _families(own: DataFrame, sets: DataFrame, percent: int, shared) -> tuple[DataFrame, DataFrame]:
+    """(members (c, x, n, slack, tokens, keys, sketch) of families c, links (a, b) that follow from their slacks).
+
+    A family's consensus holds the shingles of more than half of its members, so no shingle in which members differ from it is common to most.
+    Let d(x) be their number for x. Sets x and y differ in d(x) + d(y) shingles, less two for each that they differ in alike; they are linked where that is
+    (100 - percent) of 100 + percent of both sizes at most, hence always if their slacks add up to 0 or more. The member with the largest slack, the star, is so linked
+    with whatever anything is linked with in that way. Any other link needs as many shingles in common as both slacks fall short, halved: of each member
+    only the rarest tokens stay that such a link must share one of.
+    """
+    sized = own.groupBy("fam").agg(F.count("*").alias("members"))
+    counts = own.join(sets.toDF("x", "s"), "x").select("fam", "s").mapInArrow(shingle_counts, "fam long, t long, c long").groupBy("fam", "t").agg(F.sum("c").alias("c"))
+    heads = counts.join(sized, "fam").where(2 * F.col("c") > F.col("members")).groupBy("fam", "members").agg(F.collect_list("t").alias("consensus"))
+    heads = packed(sized.join(heads.drop("members"), "fam", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>"))))
+    # A family's consensus is sent to as many places as it has FAMILY_ROWS members.
+    parts = F.ceil(F.col("members") / FAMILY_ROWS)
+    dealt = own.join(small_side(packed(sized), BROADCAST_ROWS), "fam").select("fam", "x", F.pmod(F.xxhash64("x"), parts).alias("part"))
+    placed = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = dealt.join(placed, ["fam", "part"]).join(sets.toDF("x", "s"), "x").select("fam", "x", "members", "consensus", "s")
+    apart = packed(rows.mapInArrow(apart_rows(percent, shared), _APART))
+    best = packed(apart.groupBy("c").agg(F.max(F.struct("slack", (-F.col("x")).alias("x"))).alias("h")).select("c", F.col("h.slack").alias("most"), (-F.col("h.x")).alias("star")))
+    apart = apart.join(small_side(best, BROADCAST_ROWS), "c")
+    near = F.col("slack") + F.col("most") >= 0
+    links = apart.where(near & (F.col("x") != F.col("star"))).select(F.col("star").alias("a"), F.col("x").alias("b"))
+    # One of two members that are still to be linked falls short even with the star.
+    short = F.when(near, F.col("most") - F.col("slack")).otherwise(-F.col("most") - F.col("slack"))
+    need = F.greatest(F.lit(1), F.ceil(short / (2 * (100 + percent)))).cast("int")
+    members = apart.where(F.size("tokens") >= need).select("c", "x", "n", "slack", F.slice("tokens", F.lit(1), F.size("tokens") - need + 1).alias("tokens"), "keys", *_PARITIES)
+    return members, links
+
+
 def _foreign(rows: DataFrame) -> DataFrame:
     """(c, x, fam, n, i, tokens): of each row of a bucket the tokens that rows of its other families may hold, rows with none left out.
 
@@ -284,27 +361,29 @@ def _met(one: DataFrame, two: DataFrame, on: list[str], percent: int, more: str)
 def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(groups after CENTRES rounds of new centres, pairs (a, b) of a family that are still to be compared).
 
-    Members of a family with reference c meet by shingles outside c. Shingles that just the same members hold
-    (an edit gives up to five) are one: their class is a hash over who holds them, and were two classes to share a
+    Members of a family c meet by shingles in which they differ from its consensus. Shingles that just the same members hold
+    (an edit gives up to ten) are one: their class is a hash over who holds them, and were two classes to share a
     hash, more would be compared. Each round gives every class a centre, compares its members of other
     components with that alone, and contracts: rows in proportion to the members. Only what is in different components
-    even then is compared in pairs, where parity sketches allow a link.
+    even then is compared in pairs, where parity sketches allow a link. Bands of minima of these shingles are classes as well in the rounds: what shares one is
+    mostly linked, so the rounds contract a dense family before pairs are made.
     """
     held = of_family.select("c", "x", F.explode("tokens").alias("token"))
     lists = held.groupBy("c", "token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("x")).alias("h")).where("m > 1").select("c", "token", F.xxhash64("m", "h").alias("g"))
-    kinds = packed(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
-    members = of_family.select("c", "x", "n", "i", *_PARITIES)
+    classes = packed(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
+    members = of_family.select("c", "x", "n", "slack", *_PARITIES)
+    bands = of_family.select("c", "x", F.explode("keys").alias("g"))
 
-    def mixed() -> DataFrame:
+    def mixed(kinds: DataFrame) -> DataFrame:
         """(c, g, x, ..) of the classes that hold several components."""
         rows = kinds.join(_rooted(members, groups), ["c", "x"])
         several = rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g")
         return packed(rows.join(several, ["c", "g"], "left_semi"))
 
-    rows = mixed()
     for turn in range(CENTRES):
-        # First what is nearest to the reference, then any.
-        rank = F.col("i") / F.col("n") if turn == 0 else F.xxhash64("x", F.lit(turn))
+        rows = mixed(bands.unionByName(classes))
+        # First what is nearest to the consensus, then any.
+        rank = F.col("slack") if turn == 0 else F.xxhash64("x", F.lit(turn))
         centres = rows.groupBy("c", "g").agg(F.max_by(F.struct("x", "root", "n", *_PARITIES), F.struct(rank.alias("r"), F.col("x").alias("x"))).alias("h"))
         spokes = rows.join(centres, ["c", "g"]).where(f"{_unlike('{}', 'h.{}', percent)} and {_near('{}', 'h.{}', percent)}")
         pairs = spokes.select(F.least("x", "h.x").alias("a"), F.greatest("x", "h.x").alias("b")).distinct()
@@ -312,13 +391,9 @@ def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: D
         if found.isEmpty():
             break
         groups = components(_stars(groups).unionByName(found))
-        rows = mixed()
-    slim = rows.drop("i")
-    # What is too small in its overlap with the reference for any partner of its size class needs no look at bare overlaps.
-    bare = _rooted(members, groups).where(f"{100 + percent} * i - {percent} * n >= {percent} * n * {percent} / 100")
-    near = f"xa < xb and {_near('{}a', '{}b', percent)}"
-    alone = f"{percent} * (na + nb) <= {100 + percent} * least(ia, ib)"
-    return groups, _met(slim, slim, ["c", "g"], percent, near).unionByName(_met(bare, bare, ["c"], percent, f"{alone} and {near}"))
+    rows = mixed(classes)
+    slim = rows.drop("slack")
+    return groups, _met(slim, slim, ["c", "g"], percent, f"xa < xb and {_near('{}a', '{}b', percent)}")
 
 
 def _stars(groups: DataFrame) -> DataFrame:

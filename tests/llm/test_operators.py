@@ -86,6 +86,33 @@ def test_near_duplicates_of_a_family(spark, percent):
     assert 1 < len(set(got.values())) < len(got)
 
 
+def test_pairs_of_a_family_grow_as_its_rows(spark, monkeypatch):
+    """Near copies by edits from a small pool: the pairs that are left after the rounds of centres."""
+    from quern.llm import op2_minhash as module
+
+    made, met = [], module._met
+
+    def counted(one, two, on, percent, more):
+        pairs = met(one, two, on, percent, more)
+        if on == ["c", "g"]:
+            made[-1] += pairs.count()
+        return pairs
+
+    monkeypatch.setattr(module, "_met", counted)
+    for size in (150, 600):
+        rng = random.Random(17)
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        pool, rows = [(4 * k + 2, f"e{k}") for k in range(36)], [(0, " ".join(base), "s")]
+        for k in range(1, size):
+            ws = list(base)
+            for at, word in rng.sample(pool, rng.randrange(2, 7)):
+                ws[at] = word
+            rows.append((k, " ".join(ws), "s"))
+        made.append(0)
+        module.near_duplicates(docs(spark, rows), 80).count()
+    assert made[1] <= 4 * max(made[0], size), made
+
+
 def test_parity_sketches():
     """Sketches never differ in more places than the sets."""
     from quern.llm.op2_minhash import parities
