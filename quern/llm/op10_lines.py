@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -15,6 +16,8 @@ from .common import cut, read, text_batches
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 16
 #: A single line of so many words is a passage by itself: it is cut out before and after.
 LONG_LINE = 50
+#: Spans that a task sends on at once.
+SPANS = 1 << 16
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: base ** WINDOW, to take the oldest line out of the rolling hash
 _LEAVES = pow(_BASE, WINDOW, 1 << 64)
@@ -77,8 +80,8 @@ def _runs(lines: list[bytes]) -> set[tuple[int, int]]:
     return {*_shortest(words), *((len(words) - b, len(words) - a) for a, b in _shortest(words[::-1]))}
 
 
-def _spans(text: bytes, runs: bool) -> list[tuple[int, int, bytes]]:
-    """(start, end, bytes) of the spans of lines that go where they repeat: chunks that may be removed and, if asked for, runs."""
+def _spans(text: bytes, runs: bool) -> Iterator[tuple[int, int, memoryview]]:
+    """(start, end, bytes) of the spans of lines that go where they repeat: chunks that may be removed and, if asked for, runs; bytes are views of the text, for spans overlap."""
     lines = text.split(b"\n")
     at, i = [0], 0
     for x in lines:
@@ -89,21 +92,28 @@ def _spans(text: bytes, runs: bool) -> list[tuple[int, int, bytes]]:
         if may:
             spans.add((i, i + n))
         i += n
-    return [(a, b, text[at[a] : at[b] - 1]) for a, b in sorted(spans)]
+    whole = memoryview(text)
+    for a, b in sorted(spans):
+        yield a, b, whole[at[a] : at[b] - 1]
 
 
 def _span_rows(runs):
     """(id, th, text) to one row of (id, th, a, b, h) for each span that goes where it repeats; h: 128 bits of hash."""
 
+    def rows(found) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["id", "th", "a", "b", "h"])
+
     def run(batches):
         for batch in batches:
-            ids, hashes, a, b, h = [], [], [], [], []
+            found = []
             for key, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 for x, y, part in _spans(text or b"", runs):
-                    ids.append(key), hashes.append(th), a.append(x), b.append(y), h.append(xxhash.xxh3_128_digest(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.binary())], names=["id", "th", "a", "b", "h"]
-            )
+                    found.append((key, th, x, y, xxhash.xxh3_128_digest(part)))
+                    if len(found) == SPANS:
+                        yield rows(found)
+                        found = []
+            yield rows(found)
 
     return run
 

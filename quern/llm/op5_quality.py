@@ -229,11 +229,12 @@ def _accept_rows(shared, dimensions: int, text_at: int):
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects; it learns from the labelled rows of docs."""
+    """docs without the rows that the classifier rejects; it learns from the labelled rows of docs. Columns go by their places, so a name may hold a dot."""
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels))
-    return docs.mapInArrow(_accept_rows(shared, DIMENSIONS, docs.columns.index("text")), docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(_accept_rows(shared, DIMENSIONS, docs.columns.index("text")), plain.schema).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,8 +103,9 @@ STEP = 256
 def formatted(chats: DataFrame) -> DataFrame:
     """chats with formatted (text) and loss (spans of code points, from 1, that hold an assistant's text) from turns.
 
-    A conversation is one training text: what it holds is gathered in one row, which Spark limits to 2 GB and which needs
-    several times its size in memory. Null turns give null; columns called formatted or loss are replaced.
+    A conversation is one training text: what it holds is gathered in one row, which needs several times its size in
+    memory. A record is a variant, of which Spark takes 128 MiB at most: a longer conversation fails the job with
+    VARIANT_SIZE_LIMIT, it is never cut. Null turns give null; columns called formatted or loss are replaced.
     """
     own = next(n for k in range(len(chats.columns) + 1) if (n := f"parts{k}") not in chats.columns)
     parts = F.transform("turns", lambda t: F.struct(
