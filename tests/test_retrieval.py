@@ -284,3 +284,24 @@ def test_limits_and_audit(spark, tmp_path):
     rows = audit.table().collect()
     assert Counter(r["status"] for r in rows) == {"ok": 1, "TOO_LARGE": 1, "INVALID_SQL": 1, "binder": 1}
     assert {r["user"] for r in rows} == {"someone"} and all(re.fullmatch("[0-9a-f]{64}", r["sql_hash"]) and r["at"] and r["elapsed_ms"] >= 0 for r in rows) and len({r["query_id"] for r in rows}) == 4
+
+
+def test_layouts(spark, tmp_path, monkeypatch):
+    """Partitions are pruned by the other side of a join, buckets join without an exchange, nulls and hot values come back."""
+    from quern.operators import QUERIES
+    from quern.sources import layouts
+
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    pruned = plan(QUERIES["partition_pruning"](spark, DIR))
+    assert "dynamicpruning" in pruned and "PartitionFilters: [isnotnull(year" in pruned
+    joined = QUERIES["bucketed_join"](spark, DIR)
+    assert "Exchange" not in plan(joined) and "SelectedBucketsCount: 8 out of 8" in plan(joined)
+    monkeypatch.setattr(layouts, "FILE_ROWS", 20)
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else "é/x") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    for kind in ("parquet", "orc"):
+        layouts.write_partitioned(df, str(tmp_path / kind), ["k"], kind)
+        back = layouts.read_partitioned(spark, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, back.select("id", "k").collect()), key=str) == sorted(rows, key=str)
+    assert back.inputFiles() and len([f for f in back.inputFiles() if "k=hot" in f]) > 2
+    layouts.write_partitioned(df.limit(0), str(tmp_path / "none"), ["k"])
