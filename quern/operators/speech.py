@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sound import sounds, wav
 from .registry import query
 
 _MATCH, _DROP, _ADD = 0, 1, 2
@@ -109,3 +110,16 @@ def _heard(t) -> DataFrame:
 def word_error_kinds(t) -> DataFrame:
     """Errors of every text against an altered form of itself."""
     return _heard(t).select("id", "words", "substitutions", "insertions", "deletions", F.size("confusions").cast("long").alias("confused"))
+
+
+def _wav_rows(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else wav(np.array(x)) for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "content"])
+
+
+@query("""SELECT vec_id, 16000 AS rate, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: power(round(CAST(x AS DOUBLE) * 32767) / 32768, 2))), 4) AS energy FROM embeddings""")
+def sound_energy(t) -> DataFrame:
+    """Each vector as sound: written as WAV bytes, read back as samples, with their energy."""
+    files = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")).mapInArrow(_wav_rows, "id long, content binary")
+    energy = F.aggregate("samples", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    return sounds(files).select(F.col("id").alias("vec_id"), "rate", F.size("samples").cast("long").alias("n"), F.round(energy, 4).alias("energy"))

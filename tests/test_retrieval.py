@@ -305,3 +305,30 @@ def test_layouts(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, back.select("id", "k").collect()), key=str) == sorted(rows, key=str)
     assert back.inputFiles() and len([f for f in back.inputFiles() if "k=hot" in f]) > 2
     layouts.write_partitioned(df.limit(0), str(tmp_path / "none"), ["k"])
+
+
+def test_sound(spark):
+    """Tones keep their pitch and energy at another rate, tones that the new rate can't hold go, broken files are null."""
+    import struct
+
+    from quern.functions import sound
+
+    def tone(hz, rate, seconds=0.5):
+        return 0.5 * np.sin(2 * np.pi * hz * np.arange(int(rate * seconds)) / rate)
+
+    for rate in (8000, 11025, 22050, 44100, 48000, 16000):
+        out = sound.resampled(tone(1000, rate), rate)
+        middle = out[2000:6000]
+        assert abs(len(out) - 8000) <= 1 and abs(np.sqrt(np.mean(middle**2)) - 0.5 / np.sqrt(2)) < 2e-3
+        assert abs(np.argmax(np.abs(np.fft.rfft(middle * np.hanning(len(middle))))) * 16000 / len(middle) - 1000) <= 4
+        if rate > 32000:
+            assert np.abs(sound.resampled(tone(11_000, rate), rate)[500:-500]).max() < 0.01
+    x = tone(440, 16000, 0.05)
+    stereo = np.stack((x, -x), axis=1).ravel()
+    pcm24 = np.round(x * (2**23 - 1)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    form = lambda code, bits, data: b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, code, 1, 16000, 16000 * bits // 8, bits // 8, bits) + b"LIST\x03\x00\x00\x00abc\x00data" + struct.pack("<I", len(data)) + data
+    files = {"mono": sound.wav(x), "stereo": sound.wav(stereo, channels=2), "float": form(3, 32, x.astype("<f4").tobytes()), "24": form(1, 24, pcm24), "8": form(1, 8, np.round(x * 127 + 128).astype(np.uint8).tobytes()),
+             "none": None, "text": b"not a sound", "short": sound.wav(x)[:20], "empty": sound.wav(x[:0]), "odd": form(7, 8, b"abc"), "cut": sound.wav(x)[:-301]}
+    got = {r["id"]: r for r in sound.sounds(spark.createDataFrame(list(files.items()), "id string, content binary")).collect()}
+    assert all(got[k]["samples"] is None and got[k]["rate"] is None for k in ("none", "text", "short", "odd")) and got["empty"]["samples"] == []
+    assert all(np.allclose(got[k]["samples"], x, atol=at) for k, at in (("mono", 1e-4), ("float", 1e-6), ("24", 1e-6), ("8", 0.01))) and not np.any(got["stereo"]["samples"]) and len(got["cut"]["samples"]) == len(x) - 151
