@@ -26,6 +26,8 @@ SLOTS = 1 << 19
 CENTRES = 3
 #: Bands, and minima of each, of what a member has apart from its family's consensus; they bring likely links together, any number gives the same components.
 KEYS, KEY_ROWS = 16, 3
+#: Rows of a round of centres to a task.
+PART_ROWS = 1 << 17
 #: Members of a family that meet its consensus in one place.
 FAMILY_ROWS = 1 << 12
 #: Bits of a bucket's map of tokens; any number gives the same pairs, with more or fewer tokens looked up.
@@ -224,27 +226,31 @@ def apart_rows(percent: int, shared):
     return run
 
 
+def _few(df: DataFrame, tasks: int | None) -> DataFrame:
+    """df in so many parts at most: what follows a shuffle of few rows takes few tasks."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
 def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of these nodes (rid), from their texts; cut to the shared folder."""
     return packed(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
 
 
-def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _signed(pairs: DataFrame, reps: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """Pairs (a, b, likely) of sizes that may hold: likely by their signatures, or of one family."""
     near = reps.select("node", "n", "sig")
     sized = (
-        pairs.join(near.toDF("a", "na", "sa"), "a")
-        .join(near.toDF("b", "nb", "sb"), "b")
+        _few(_few(pairs.join(near.toDF("a", "na", "sa"), "a"), tasks).join(near.toDF("b", "nb", "sb"), "b"), tasks)
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "sa", "sb")
     )
     return packed(sized.mapInArrow(alike_signatures(percent), "a long, b long, likely boolean"))
 
 
-def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(likely: DataFrame, sets: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """The pairs that hold by their whole sets."""
-    both = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return packed(both.mapInArrow(alike_sets(percent), "a long, b long").distinct())
+    both = _few(_few(likely.join(sets.toDF("a", "xa"), "a"), tasks).join(sets.toDF("b", "xb"), "b"), tasks).select("a", "b", "xa", "xb")
+    return packed(_few(both.mapInArrow(alike_sets(percent), "a long, b long").distinct(), tasks))
 
 
 def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -299,15 +305,18 @@ def _families(own: DataFrame, sets: DataFrame, percent: int, shared) -> tuple[Da
     with whatever anything is linked with in that way. Any other link needs as many shingles in common as both slacks fall short, halved: of each member
     only the rarest tokens stay that such a link must share one of.
     """
-    sized = own.groupBy("fam").agg(F.count("*").alias("members"))
-    counts = own.join(sets.toDF("x", "s"), "x").select("fam", "s").mapInArrow(shingle_counts, "fam long, t long, c long").groupBy("fam", "t").agg(F.sum("c").alias("c"))
-    heads = counts.join(sized, "fam").where(2 * F.col("c") > F.col("members")).groupBy("fam", "members").agg(F.collect_list("t").alias("consensus"))
-    heads = packed(sized.join(heads.drop("members"), "fam", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>"))))
+    tasks = max(own.sparkSession.sparkContext.defaultParallelism, own.count() // FAMILY_ROWS)
+    sized = packed(_few(own.groupBy("fam").agg(F.count("*").alias("members")), tasks))
+    held = _few(own.join(sets.toDF("x", "s"), "x"), tasks)
+    counts = _few(held.select("fam", "s").mapInArrow(shingle_counts, "fam long, t long, c long").groupBy("fam", "t").agg(F.sum("c").alias("c")), tasks)
+    common = _few(counts.join(small_side(sized, BROADCAST_ROWS), "fam"), tasks).where(2 * F.col("c") > F.col("members"))
+    heads = _few(common.groupBy("fam").agg(F.collect_list("t").alias("consensus")), tasks)
+    heads = packed(_few(sized.join(heads, "fam", "left"), tasks).withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>"))))
     # A family's consensus is sent to as many places as it has FAMILY_ROWS members.
     parts = F.ceil(F.col("members") / FAMILY_ROWS)
-    dealt = own.join(small_side(packed(sized), BROADCAST_ROWS), "fam").select("fam", "x", F.pmod(F.xxhash64("x"), parts).alias("part"))
+    dealt = held.join(small_side(sized, BROADCAST_ROWS), "fam").select("fam", "x", "s", F.pmod(F.xxhash64("x"), parts).alias("part"))
     placed = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = dealt.join(placed, ["fam", "part"]).join(sets.toDF("x", "s"), "x").select("fam", "x", "members", "consensus", "s")
+    rows = _few(dealt.join(placed, ["fam", "part"]), tasks).select("fam", "x", "members", "consensus", "s")
     apart = packed(rows.mapInArrow(apart_rows(percent, shared), _APART))
     best = packed(apart.groupBy("c").agg(F.max(F.struct("slack", (-F.col("x")).alias("x"))).alias("h")).select("c", F.col("h.slack").alias("most"), (-F.col("h.x")).alias("star")))
     apart = apart.join(small_side(best, BROADCAST_ROWS), "c")
@@ -368,26 +377,30 @@ def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: D
     even then is compared in pairs, where parity sketches allow a link. Bands of minima of these shingles are classes as well in the rounds: what shares one is
     mostly linked, so the rounds contract a dense family before pairs are made.
     """
+    # Rows of a round are in proportion to the members' shingles; a small family is not dealt over all of the session's partitions.
+    tasks = max(of_family.sparkSession.sparkContext.defaultParallelism, of_family.select(F.sum(F.size("tokens") + KEYS)).first()[0] // PART_ROWS if not of_family.isEmpty() else 0)
     held = of_family.select("c", "x", F.explode("tokens").alias("token"))
-    lists = held.groupBy("c", "token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("x")).alias("h")).where("m > 1").select("c", "token", F.xxhash64("m", "h").alias("g"))
-    classes = packed(held.join(lists, ["c", "token"]).select("c", "x", "g").distinct())
+    lists = _few(held.groupBy("c", "token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("x")).alias("h")).where("m > 1").select("c", "token", F.xxhash64("m", "h").alias("g")), tasks)
+    classes = packed(_few(_few(held.join(lists, ["c", "token"]), tasks).select("c", "x", "g").distinct(), tasks))
     members = of_family.select("c", "x", "n", "slack", *_PARITIES)
     bands = of_family.select("c", "x", F.explode("keys").alias("g"))
 
     def mixed(kinds: DataFrame) -> DataFrame:
         """(c, g, x, ..) of the classes that hold several components."""
-        rows = kinds.join(_rooted(members, groups), ["c", "x"])
-        several = rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g")
-        return packed(rows.join(several, ["c", "g"], "left_semi"))
+        rows = _few(kinds.join(_few(_rooted(members, groups), tasks), ["c", "x"]), tasks)
+        several = _few(rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g"), tasks)
+        return packed(_few(rows.join(several, ["c", "g"], "left_semi"), tasks))
 
     for turn in range(CENTRES):
         rows = mixed(bands.unionByName(classes))
+        if rows.isEmpty():
+            break
         # First what is nearest to the consensus, then any.
         rank = F.col("slack") if turn == 0 else F.xxhash64("x", F.lit(turn))
-        centres = rows.groupBy("c", "g").agg(F.max_by(F.struct("x", "root", "n", *_PARITIES), F.struct(rank.alias("r"), F.col("x").alias("x"))).alias("h"))
-        spokes = rows.join(centres, ["c", "g"]).where(f"{_unlike('{}', 'h.{}', percent)} and {_near('{}', 'h.{}', percent)}")
-        pairs = spokes.select(F.least("x", "h.x").alias("a"), F.greatest("x", "h.x").alias("b")).distinct()
-        found = _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
+        centres = _few(rows.groupBy("c", "g").agg(F.max_by(F.struct("x", "root", "n", *_PARITIES), F.struct(rank.alias("r"), F.col("x").alias("x"))).alias("h")), tasks)
+        spokes = _few(rows.join(centres, ["c", "g"]), tasks).where(f"{_unlike('{}', 'h.{}', percent)} and {_near('{}', 'h.{}', percent)}")
+        pairs = _few(spokes.select(F.least("x", "h.x").alias("a"), F.greatest("x", "h.x").alias("b")).distinct(), tasks)
+        found = _links(_signed(pairs, reps, percent, tasks).where("likely").select("a", "b"), sets, percent, tasks)
         if found.isEmpty():
             break
         groups = components(_stars(groups).unionByName(found))
