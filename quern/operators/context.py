@@ -281,7 +281,8 @@ def join_inference(t) -> DataFrame:
     return inferred_joins(chosen, _edges(t.spark)).select("id", "join")
 
 
-@query(f"""WITH {_Q_SQL} SELECT id, question LIKE '%giới tính%' AS gender, 2 AS tables, 5 AS parts, {_CHANNEL_SQL} AS channel FROM q""")
+@query(f"""WITH {_Q_SQL} SELECT id, question LIKE '%giới tính%' AS gender, 2 AS tables, 5 AS parts, channel, array_to_string(list_transform({_lines_sql(warehouse.WARNINGS)}, lambda x: '  - ' || x), chr(10)) AS important
+FROM (SELECT *, {_CHANNEL_SQL} AS channel FROM q)""")
 def training_prompt(t) -> DataFrame:
     """Facts of the whole context text: which parts it has is read back from it."""
     q = _questions(t)
@@ -291,5 +292,6 @@ def training_prompt(t) -> DataFrame:
     has = lambda s: F.contains("context", F.lit(s))
     parts = sum((has(h).cast("int") for h in ("TABLE ALIASES (USE EXACTLY):\n  store_sales = ss\n  inventory = inv", "TABLE store_sales (alias: ss)", "JOIN HINTS:\n  JOIN inventory ON ss_item_sk = inv_item_sk", "COLUMN MEANINGS:\n  ss_item_sk: what was sold\n  inv_quantity: pieces at hand", "IMPORTANT:")), F.lit(0))
     tables = F.size(F.split("context", "TABLE (?!ALIASES)")) - 1
-    named = F.nullif(F.regexp_extract("context", "CHANNEL (\\w+):", 1), F.lit(""))
-    return c.select("id", has("c_gender → dùng cd_gender").alias("gender"), tables.alias("tables"), parts.alias("parts"), named.alias("channel"))
+    named = F.nullif(F.regexp_extract("context", "CHANNEL: '(\\w+)", 1), F.lit(""))
+    important = F.element_at(F.split("context", "IMPORTANT:\n"), -1)
+    return c.select("id", has("c_gender → dùng cd_gender").alias("gender"), tables.alias("tables"), parts.alias("parts"), named.alias("channel"), important.alias("important"))

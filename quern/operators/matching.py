@@ -133,18 +133,18 @@ def extract_sql(t) -> DataFrame:
 
 
 #: Statements (a name of the nation's stands for @), what binding them says and whether the guard lets them through.
-_STATEMENTS = [
+_CLASSED = [
     ("SELECT '@' AS name FROM nation", "none", True), ("SELECT nocol FROM nation WHERE n_name = '@'", "binder", True), ("SELECT '@' FROM nothere", "catalog", True),
     ("SELEC '@'", "parser", False), ("SELECT '@', no_such_function(1)", "catalog", False), ("SELECT '@' FROM nation WINDOW w AS (ORDER BY java_method('a', 'b'))", "none", False),
 ]
 
 
-@query("SELECT n_name AS name, v.n AS n, v.kind AS kind, v.permitted AS permitted FROM nation, (VALUES " + ", ".join(f"({n}, '{k}', {str(p).lower()})" for n, (_, k, p) in enumerate(_STATEMENTS)) + ") AS v(n, kind, permitted)")
+@query("SELECT n_name AS name, v.n AS n, v.kind AS kind, v.permitted AS permitted FROM nation, (VALUES " + ", ".join(f"({n}, '{k}', {str(p).lower()})" for n, (_, k, p) in enumerate(_CLASSED)) + ") AS v(n, kind, permitted)")
 def error_class(t) -> DataFrame:
     """What the gateway says of statements over the names of a table: the class of what binding raises, and whether it is a permitted query."""
     files.attach(t.spark, t.sf_dir, ["nation"])
     names = [r[0] for r in t.nation.select("n_name").collect()]  # as many as there are nations
-    said = [(name, n, sql.replace("@", name)) for name in names for n, (sql, _, _) in enumerate(_STATEMENTS)]
+    said = [(name, n, sql.replace("@", name)) for name in names for n, (sql, _, _) in enumerate(_CLASSED)]
     rows = [(name, n, gateway.error_class(gateway.analysed(t.spark, sql)), gateway.guard_plan(t.spark, sql)) for name, n, sql in said]
     return t.spark.createDataFrame(rows, "name string, n int, kind string, permitted boolean")
 
