@@ -10,60 +10,66 @@ from pyspark.sql import functions as F
 from ..functions.sound import sounds, wav
 from .registry import query
 
-_MATCH, _DROP, _ADD = 0, 1, 2
-
-
-def _banded(ref: np.ndarray, hyp: np.ndarray, band: int) -> tuple[int, np.ndarray] | None:
-    """(cost, moves) of a least alignment within so many places of the diagonal; None if it may lie outside. moves[i, j - i + band] is how cell (i, j) is reached."""
-    n, m = len(ref), len(hyp)
-    far, width = n + m + 1, 2 * band + 1
-    offsets = np.arange(width) - band
-    now = np.where((offsets >= 0) & (offsets <= m), offsets, far)
-    moves = np.full((n + 1, width), _ADD, np.int8)
-    for i in range(1, n + 1):
-        j = i + offsets
-        inside = (j >= 1) & (j <= m)
-        same = np.zeros(width, bool)
-        same[inside] = hyp[j[inside] - 1] == ref[i - 1]
-        diagonal = np.where(inside, now + ~same, far)
-        above = np.append(now[1:], far) + 1
-        best = np.where((j >= 0) & (j <= m), np.minimum(diagonal, above), far)
-        moves[i] = np.where(diagonal <= above, _MATCH, _DROP)
-        # an insertion costs one a place: the least so far, carried on
-        carried = np.minimum.accumulate(best - np.arange(width)) + np.arange(width)
-        moves[i][carried < best] = _ADD
-        now = np.where((j >= 0) & (j <= m), carried, far)
-    cost = int(now[m - n + band]) if abs(m - n) <= band else far
-    return (cost, moves) if cost <= band or band >= max(n, m) else None
+#: Words of a hypothesis whose columns are kept at once; for a longer one, columns are made again a block at a time.
+BLOCK = 4096
+#: Rows of an Arrow batch whose texts a task holds as Python strings at once.
+SLICE = 512
+
+
+def _column(masks: list[int], word: int, up: int, down: int, full: int) -> tuple[int, int, int]:
+    """The next column of the edit table as bits over the reference's words: where costs rise from the word before, where they fall, and where a cell costs what its diagonal neighbour does."""
+    same = masks[word]
+    level = (((same & up) + up) ^ up) | same | down
+    level &= full
+    rises, falls = down | (full & ~(level | up)), up & level
+    rises = rises << 1 | 1
+    return (falls << 1 | ~(level | rises)) & full, rises & level, level
 
 
 def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[tuple[str, str]]]:
     """(substitutions, insertions, deletions, [(word, heard)]) of a least alignment; of equals it keeps a pair before it drops, and drops before it adds, seen from the end.
 
-    The band is widened until the cost lies within it, so texts that are alike take time by their length times their errors."""
+    The edit table goes by columns of whole numbers, a bit for each word of the reference, so a word of the hypothesis takes a few operations on them."""
     index: dict[str, int] = {}
-    a, b = (np.array([index.setdefault(w, len(index)) for w in x], np.int64) for x in (ref, hyp))
-    band = max(8, abs(len(a) - len(b)))
-    while (found := _banded(a, b, band)) is None:
-        band *= 2
-    _, moves = found
+    a, b = ([index.setdefault(w, len(index)) for w in x] for x in (ref, hyp))
     i, j, subs, adds, drops, heard = len(a), len(b), 0, 0, 0, []
-    while i or j:
-        move = _ADD if i == 0 else moves[i, j - i + band]
-        if move == _MATCH:
-            i, j = i - 1, j - 1
-            if a[i] != b[j]:
-                subs += 1
+    full, own, masks = (1 << i) - 1, {}, [0] * len(index)
+    for at, w in enumerate(a):
+        own.setdefault(w, []).append(at)
+    for w, ats in own.items():
+        bits = bytearray(ats[-1] // 8 + 1)
+        for at in ats:
+            bits[at >> 3] |= 1 << (at & 7)
+        masks[w] = int.from_bytes(bits, "little")
+    up, down, starts = full, 0, []
+    for at in range(0, j, BLOCK):
+        starts.append((up, down))
+        if at + BLOCK < j:
+            for w in b[at : at + BLOCK]:
+                up, down, _ = _column(masks, w, up, down, full)
+    while j and i:
+        first = (j - 1) // BLOCK * BLOCK
+        (up, down), columns = starts[first // BLOCK], []
+        for w in b[first:j]:
+            up, down, level = _column(masks, w, up, down, full)
+            columns.append((up, level))
+        while i and j > first:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                continue
+            up, level = columns[j - 1 - first]
+            if not level >> (i - 1) & 1:
+                i, j, subs = i - 1, j - 1, subs + 1
                 heard.append((ref[i], hyp[j]))
-        elif move == _DROP:
-            i, drops = i - 1, drops + 1
-        else:
-            j, adds = j - 1, adds + 1
-    return subs, adds, drops, heard[::-1]
+            elif up >> (i - 1) & 1:
+                i, drops = i - 1, drops + 1
+            else:
+                j, adds = j - 1, adds + 1
+    return subs, adds + j, drops + i, heard[::-1]
 
 
 def _error_rows(batches):
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, max(1, b.num_rows), SLICE)):
         found = []
         for ref, hyp in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = (ref or "").split()
@@ -76,8 +82,8 @@ def _error_rows(batches):
 def word_errors(pairs: DataFrame) -> DataFrame:
     """(id, words, substitutions, insertions, deletions, confusions) of (id, reference, hypothesis), a row for each row; words are parted by white space.
 
-    A null text has no words. Repeated rows are rated each; an empty table gives no rows; other columns are ignored. A task holds one byte for each word
-    and place of the band, which is about the errors of a text."""
+    A null text has no words. Repeated rows are rated each; an empty table gives no rows; other columns are ignored. A task holds two bits for each word of the
+    reference and of a BLOCK of the hypothesis."""
     kind = dict(pairs.dtypes)["id"]
     return pairs.select("id", "reference", "hypothesis").mapInArrow(_error_rows, f"id {kind}, words long, substitutions long, insertions long, deletions long, confusions array<struct<word: string, heard: string>>")
 

@@ -179,6 +179,26 @@ def test_word_errors_by_brute_force(spark):
     assert confusions(rows).agg(F.sum("n")).first()[0] == total["substitutions"]
 
 
+def test_long_alignments(spark, monkeypatch):
+    """A text of 12,000 words with an edit in every twelfth takes a second or so; blocks of columns change nothing."""
+    import time
+
+    from quern.operators import speech
+
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(12_000)]
+    heard = [x for i, w in enumerate(words) for x in ([] if i % 41 == 40 else ["#"] if i % 29 == 28 else [w, w] if i % 53 == 52 else [w])]
+    began = time.process_time()
+    subs, adds, drops, pairs = speech.aligned(words, heard)
+    assert time.process_time() - began < 4
+    assert len(words) - drops + adds == len(heard) and subs == len(pairs) and 0 < subs + adds + drops <= 12_000 / 41 + 12_000 / 29 + 12_000 / 53
+    few = words[:300], heard[:310]
+    want = speech.aligned(*few)
+    for block in (1, 7):
+        monkeypatch.setattr(speech, "BLOCK", block)
+        assert speech.aligned(*few) == want
+
+
 def test_overlaps_in_crowded_bins(spark, monkeypatch):
     from quern.operators import analytics
 
