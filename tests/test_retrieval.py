@@ -88,6 +88,46 @@ def test_hybrid_by_brute_force(spark, tmp_path):
         assert [d for _, d in found[q]] == [d for _, d in want] and np.allclose([s for s, _ in found[q]], [s for s, _ in want], atol=2e-6)
 
 
+def against_sql(spark, name, folder):
+    import os
+
+    import duckdb
+
+    from quern.operators import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{folder}/{f}'")
+    got = QUERIES[name](spark, folder)
+    want = con.execute(ORACLES[name])
+    at = [[c[0] for c in want.description].index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_hybrid_of_a_thousand_documents(spark):
+    """What the rounds of growing lists did not end within two minutes."""
+    against_sql(spark, "hybrid_topk", "/root/testdata/sf0.01")
+
+
+def test_hybrid_passes_and_gaps(spark, tmp_path):
+    """Passes of few queries, documents without vector or text, an index without postings, negative weights and no documents: all documents count."""
+    from quern.operators import retrieval
+
+    rows = [(i, None if i % 9 == 0 else f"the of w{i % 7} w{i % 5} w{i}", None if i % 4 == 0 else [float(i % 3), float(i % 11)]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "did long, text string, vec array<double>")
+    queries = docs.where("did % 10 = 0").withColumnRenamed("did", "qid")
+    key = lambda d: sorted((r["qid"], r["rank"], r["did"], r["score"]) for r in d.collect())
+    found = []
+    for n, postings in enumerate((True, False)):
+        retrieval.build_index(docs.repartition(5 - 3 * n), str(tmp_path / str(n)), postings=postings)
+        index = retrieval.load_index(spark, str(tmp_path / str(n)))
+        assert (index.blocks.count() > 0) == postings and index.terms.count() > 80
+        found += [key(retrieval.hybrid_search(index, queries, 4, reach=reach)) for reach in (1, 4, 100)]
+    assert len(found[0]) == 9 * 4 and all(x == found[0] for x in found)
+    retrieval.build_index(docs.limit(0), str(tmp_path / "none"), postings=False)
+    assert retrieval.hybrid_search(retrieval.load_index(spark, str(tmp_path / "none")), queries, 4).count() == 0
+
+
 def test_vector_index(spark, tmp_path, monkeypatch):
     """Recall of the probed lists against the exact answer; with all lists it is the exact answer; parts and slices change nothing."""
     from quern.operators import vectors
