@@ -128,6 +128,22 @@ def test_hybrid_passes_and_gaps(spark, tmp_path):
     assert retrieval.hybrid_search(retrieval.load_index(spark, str(tmp_path / "none")), queries, 4).count() == 0
 
 
+def test_wide_searches_move_no_documents(spark, tmp_path):
+    """Queries of common words go over the documents where they lie, with the answer of the candidates; narrow ones still go by candidates."""
+    from quern.operators import retrieval
+
+    docs = spark.createDataFrame(texts(300, 8), "did long, text string")
+    retrieval.build_index(docs, str(tmp_path / "i"))
+    index = retrieval.load_index(spark, str(tmp_path / "i"))
+    queries = docs.where("did % 20 = 0").withColumnRenamed("did", "qid")
+    key = lambda d: sorted((r["qid"], r["rank"], r["did"], r["bm25"]) for r in d.collect())
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    wide = retrieval.search(index, queries, 5)
+    assert "Join" not in plan(wide) and key(wide) == key(retrieval.search(index, queries, 5, scan=False))
+    narrow = spark.createDataFrame([(1, "w3")], "qid long, text string")
+    assert "Join" in plan(retrieval.search(index, narrow, 5)) and key(retrieval.search(index, narrow, 5)) == key(retrieval.search(index, narrow, 5, scan=True))
+
+
 def test_vector_index(spark, tmp_path, monkeypatch):
     """Recall of the probed lists against the exact answer; with all lists it is the exact answer; parts and slices change nothing."""
     from quern.operators import vectors
