@@ -144,6 +144,26 @@ def test_wide_searches_move_no_documents(spark, tmp_path):
     assert "Join" in plan(retrieval.search(index, narrow, 5)) and key(retrieval.search(index, narrow, 5)) == key(retrieval.search(index, narrow, 5, scan=True))
 
 
+def test_accents_without_python(spark, monkeypatch):
+    """Every letter is folded as Python does it, alone and among others; only what no table of letters says goes to Python."""
+    import sys
+
+    from quern.functions import text as x
+
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1)) if c < 0x3000 or c % 97 == 0 or x._fold(chr(c), True) != chr(c)]
+    rows = [(i, "".join(every[i : i + 50])) for i in range(0, len(every), 50)] + [(-1, None), (-2, "")]
+    got = spark.createDataFrame(rows, "i long, s string").select("s", x.strip_accents("s"), x.strip_accents_d(F.col("s"))).collect()
+    assert all(r[1] == x._fold(r[0], False) and r[2] == x._fold(r[0], True) for r in got)
+
+    @F.pandas_udf("string")
+    def never(s):
+        assert s.isna().all()
+        return s
+
+    monkeypatch.setattr(x, "_stripped", never)
+    assert spark.createDataFrame([("Été à la fin", "x"), (None, "y")], "s string, t string").select(x.strip_accents("s")).collect()[0][0] == "Ete a la fin"
+
+
 def test_vector_index(spark, tmp_path, monkeypatch):
     """Recall of the probed lists against the exact answer; with all lists it is the exact answer; parts and slices change nothing."""
     from quern.operators import vectors
