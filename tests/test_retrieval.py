@@ -144,6 +144,24 @@ def test_wide_searches_move_no_documents(spark, tmp_path):
     assert "Join" in plan(retrieval.search(index, narrow, 5)) and key(retrieval.search(index, narrow, 5)) == key(retrieval.search(index, narrow, 5, scan=True))
 
 
+def test_bm25_top_by_all_scores(spark, monkeypatch):
+    """Small blocks and slices, repeated ids of queries' words, null texts and weights of 0 or less: the best of all scores, and no token is joined."""
+    from quern.operators import linking, scoring
+
+    docs = spark.createDataFrame([*texts(150, 6), (900, ""), (901, "w1 w1 w2")], "did long, text string")
+    queries = spark.createDataFrame([(i, t) for i, t in texts(40, 7)] + [(500, "the the of zzz"), (501, "zzz")], "qid long, text string")
+    for epsilon in (0.25, -0.5, 0.0):
+        want = {}
+        for r in linking.bm25(docs, queries, epsilon=epsilon).collect():
+            want.setdefault(r["qid"], []).append((-round(r["bm25"], 6) + 0.0, r["did"]))
+        found, got = linking.bm25_top(docs, queries, 4, epsilon=epsilon), {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((-r["bm25"] + 0.0, r["did"]))
+        assert got == {q: sorted(x)[:4] for q, x in want.items()}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert linking.bm25_top(docs.limit(0), queries, 4).count() == 0
+
+
 def test_accents_without_python(spark, monkeypatch):
     """Every letter is folded as Python does it, alone and among others; only what no table of letters says goes to Python."""
     import sys
