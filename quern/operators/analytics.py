@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .registry import query
 
 
@@ -66,10 +67,22 @@ def as_of_join(t) -> DataFrame:
     return as_of(bought, seen, "user_id", "ts", "last_view", "last_view").select("event_id", "last_view")
 
 
+#: Rows of a cell that meet as many of the other side in one place; pairs that a task compares, about.
+CELL_ROWS, CELL_PAIRS = 512, 1 << 22
+
+
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:
-    """Pairs of rows whose whole numbers a and b differ by at most width: an equi-join on cells of that width, of which a row of right stands in three."""
-    cells = right.withColumn("_cell", F.explode(F.array(*(F.floor(F.col(b) / width) + d for d in (-1, 0, 1)))))
-    return left.withColumn("_cell", F.floor(F.col(a) / width)).join(cells, "_cell").where(F.abs(F.col(a) - F.col(b)) <= width).drop("_cell")
+    """Pairs of rows whose whole numbers a and b differ by at most width: an equi-join on cells of that width, of which a row of right stands in three.
+
+    A first pass counts both sides of each cell. A crowded cell is laid out as a grid of CELL_ROWS by as many rows, and the grids go to as many tasks as the pairs
+    ask for, so more pairs make more tasks and no longer ones."""
+    sides = left.withColumn("_cell", F.floor(F.col(a) / width)), right.withColumn("_cell", F.explode(F.array(*(F.floor(F.col(b) / width) + d for d in (-1, 0, 1)))))
+    counts = sides[0].groupBy("_cell").agg(F.count("*").alias("_m")).join(sides[1].groupBy("_cell").agg(F.count("*").alias("_n")), "_cell")
+    shape = cut(counts.select("_cell", *(F.ceil(F.col(n) / CELL_ROWS).cast("int").alias(n) for n in ("_m", "_n")), (F.col("_m") * F.col("_n")).alias("_pairs")))
+    tasks = (shape.agg(F.sum("_pairs")).first()[0] or 0) // CELL_PAIRS + 1
+    l, r = (d.join(shape.drop("_pairs"), "_cell").withColumn(f"_{own}", F.pmod(F.xxhash64(*d.columns), F.col(mine)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(its) - 1)))
+            .drop("_m", "_n").repartition(int(tasks), "_cell", "_i", "_j") for d, own, mine, other, its in ((sides[0], "i", "_m", "j", "_n"), (sides[1], "j", "_n", "i", "_m")))
+    return l.join(r.hint("shuffle_hash"), ["_cell", "_i", "_j"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_cell", "_i", "_j")
 
 
 @query("""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS c FROM customer) JOIN (SELECT s_suppkey, CAST(floor(s_acctbal) AS BIGINT) AS s FROM supplier) ON abs(c - s) <= 20""")

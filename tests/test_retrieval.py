@@ -182,6 +182,21 @@ def test_accents_without_python(spark, monkeypatch):
     assert spark.createDataFrame([("Été à la fin", "x"), (None, "y")], "s string, t string").select(x.strip_accents("s")).collect()[0][0] == "Ete a la fin"
 
 
+def test_band_join_of_crowded_cells(spark, monkeypatch):
+    """Pairs of one cell are dealt to many tasks, each pair once; null and far values meet nothing."""
+    from quern.operators import analytics
+
+    monkeypatch.setattr(analytics, "CELL_ROWS", 8)
+    monkeypatch.setattr(analytics, "CELL_PAIRS", 500)
+    r = random.Random(3)
+    a = [(i, r.choice([5, 6, r.randrange(-50, 50)])) for i in range(200)] + [(900, None), (901, 10**9)]
+    b = [(i, r.choice([6, r.randrange(-50, 50)])) for i in range(150)] + [(900, None)]
+    found = analytics.band_join(spark.createDataFrame(a, "i long, x long"), spark.createDataFrame(b, "j long, y long"), "x", "y", 3).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((i, j) for i, x in a for j, y in b if x is not None and y is not None and abs(x - y) <= 3)
+    assert sorted((t["i"], t["j"]) for t in found) == want
+    assert max(Counter(t["task"] for t in found).values()) < len(want) / 5
+
+
 def test_vector_index(spark, tmp_path, monkeypatch):
     """Recall of the probed lists against the exact answer; with all lists it is the exact answer; parts and slices change nothing."""
     from quern.operators import vectors
