@@ -162,6 +162,28 @@ def test_bm25_top_by_all_scores(spark, monkeypatch):
     assert linking.bm25_top(docs.limit(0), queries, 4).count() == 0
 
 
+def test_best_of_slices():
+    """A batch of any length is scored some hundred rows at a time; ties go by did."""
+    import pyarrow as pa
+
+    from quern.operators import scoring
+
+    batch = pa.record_batch([pa.array(range(10_000))], names=["x"])
+    cuts = [b.num_rows for b in scoring.slices([batch, batch.slice(0, 0)])]
+    assert sum(cuts) == 10_000 and max(cuts) <= scoring.ROWS
+    r = np.random.default_rng(1)
+    scores, dids = r.integers(0, 9, (2000, 7)).astype(float), r.permutation(2000)
+    scores[:, 6] = -np.inf
+    scores[3:, 5] = -np.inf
+    top = scoring.Best(7, 5)
+    for at in range(0, 2000, 3):
+        top.add(scores[at : at + 3], dids[at : at + 3])
+    got = {}
+    for q, d, s in zip(*top.rows):
+        got.setdefault(int(q), []).append((-s, int(d)))
+    assert got == {q: sorted((-s, int(d)) for s, d in zip(scores[:, q], dids) if s > -np.inf)[:5] for q in range(6)}
+
+
 def test_accents_without_python(spark, monkeypatch):
     """Every letter is folded as Python does it, alone and among others; only what no table of letters says goes to Python."""
     import sys
