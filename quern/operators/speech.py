@@ -16,14 +16,18 @@ BLOCK = 4096
 SLICE = 512
 
 
-def _column(masks: list[int], word: int, up: int, down: int, full: int) -> tuple[int, int, int]:
-    """The next column of the edit table as bits over the reference's words: where costs rise from the word before, where they fall, and where a cell costs what its diagonal neighbour does."""
-    same = masks[word]
-    level = (((same & up) + up) ^ up) | same | down
-    level &= full
-    rises, falls = down | (full & ~(level | up)), up & level
-    rises = rises << 1 | 1
-    return (falls << 1 | ~(level | rises)) & full, rises & level, level
+def _columns(masks: list[int], words: list[int], up: int, down: int, full: int, kept: list | None = None) -> tuple[int, int]:
+    """The edit table's columns of some words, from the column before them: bits over the reference's words, where costs rise from the word before and where they fall.
+
+    kept gets for each column where costs rise, and where a cell costs what its diagonal neighbour does."""
+    for w in words:
+        same = masks[w]
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        rises = (down | full ^ (level | up)) << 1 | 1
+        up, down = ((up & level) << 1 | full & ~(level | rises)) & full, rises & level
+        if kept is not None:
+            kept.append((up, level))
+    return up, down
 
 
 def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[tuple[str, str]]]:
@@ -33,10 +37,13 @@ def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[tuple[s
     index: dict[str, int] = {}
     a, b = ([index.setdefault(w, len(index)) for w in x] for x in (ref, hyp))
     i, j, subs, adds, drops, heard = len(a), len(b), 0, 0, 0, []
-    full, own, masks = (1 << i) - 1, {}, [0] * len(index)
+    full, own, masks = (1 << i) - 1, [[] for _ in index], [0] * len(index)
     for at, w in enumerate(a):
-        own.setdefault(w, []).append(at)
-    for w, ats in own.items():
+        own[w].append(at)
+    for w, ats in enumerate(own):
+        if len(ats) < 2:  # most words: no buffer for a single bit
+            masks[w] = 1 << ats[0] if ats else 0
+            continue
         bits = bytearray(ats[-1] // 8 + 1)
         for at in ats:
             bits[at >> 3] |= 1 << (at & 7)
@@ -45,14 +52,11 @@ def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[tuple[s
     for at in range(0, j, BLOCK):
         starts.append((up, down))
         if at + BLOCK < j:
-            for w in b[at : at + BLOCK]:
-                up, down, _ = _column(masks, w, up, down, full)
+            up, down = _columns(masks, b[at : at + BLOCK], up, down, full)
     while j and i:
         first = (j - 1) // BLOCK * BLOCK
         (up, down), columns = starts[first // BLOCK], []
-        for w in b[first:j]:
-            up, down, level = _column(masks, w, up, down, full)
-            columns.append((up, level))
+        _columns(masks, b[first:j], up, down, full, columns)
         while i and j > first:
             if a[i - 1] == b[j - 1]:
                 i, j = i - 1, j - 1
