@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT_BATCH = 512
 #: Bytes of a staged table that a task reads at least, where there are more tasks than cores.
 PACK = 8 << 20
+#: Bytes of a staged table that one task reads: joins and groups of such tables alone need no exchange.
+ONE = 1 << 18
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -23,7 +25,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """df cut to the shared folder and read by as many tasks as the cores or its bytes (PACK a task) ask for, if that is fewer.
+    """df cut to the shared folder and read by as many tasks as the cores or its bytes (PACK a task) ask for, if that is fewer; up to ONE bytes by one.
 
     A small result of a shuffle has as many parts as the session has shuffle partitions; read so, each later step over it
     would take a task and a file for a few rows. No order of rows is kept, as after any shuffle."""
@@ -31,8 +33,9 @@ def packed(df: DataFrame) -> DataFrame:
     spark, rdd = df.sparkSession, out._jdf.queryExecution().logical().rdd()
     place = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
     size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
-    tasks = max(spark.sparkContext.defaultParallelism, size // PACK)
-    return out.coalesce(tasks) if tasks < rdd.getNumPartitions() else out
+    tasks = 1 if size <= ONE else max(spark.sparkContext.defaultParallelism, size // PACK)
+    # A single part is said to be one, else the next join or group would deal it out.
+    return out.coalesce(tasks) if tasks == 1 or tasks < rdd.getNumPartitions() else out
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, read, small_side, text_batches
+from .common import at_most, packed, read, small_side, text_batches
 from .components import components
 from .shingles import Shingler, splitmix, stream
 
@@ -18,6 +18,8 @@ from .shingles import Shingler, splitmix, stream
 MISS = 3e-7
 #: Node ids that may be broadcast: 16 MB of longs.
 BROADCAST_ROWS = 1_000_000
+#: Rows of pairs or components that may be broadcast to what they are joined to: a few MB of the driver.
+KNOWN_ROWS = 1 << 16
 #: Agreement of signatures that makes two sets one family; any value gives the same links, with more or fewer pairs looked at.
 FAMILY = 0.4
 #: Counters of the sketch of shingle frequencies.
@@ -231,6 +233,11 @@ def _few(df: DataFrame, tasks: int | None) -> DataFrame:
     return df if tasks is None else df.coalesce(tasks)
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    """Staged rows are broadcast where they are few, so that what they are joined to stays where it lies."""
+    return F.broadcast(rows) if at_most(rows, KNOWN_ROWS) else rows
+
+
 def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of these nodes (rid), from their texts; cut to the shared folder."""
     return packed(texts.join(small_side(nodes.distinct(), BROADCAST_ROWS), "rid", "left_semi").mapInArrow(set_rows(k), "node long, shingles binary"))
@@ -249,7 +256,7 @@ def _signed(pairs: DataFrame, reps: DataFrame, percent: int, tasks: int | None =
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """The pairs that hold by their whole sets."""
-    both = _few(_few(likely.join(sets.toDF("a", "xa"), "a"), tasks).join(sets.toDF("b", "xb"), "b"), tasks).select("a", "b", "xa", "xb")
+    both = _few(_few(_known(likely).join(sets.toDF("a", "xa"), "a"), tasks).join(sets.toDF("b", "xb"), "b"), tasks).select("a", "b", "xa", "xb")
     return packed(_few(both.mapInArrow(alike_sets(percent), "a long, b long").distinct(), tasks))
 
 
@@ -266,11 +273,11 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     """
     spark = spokes.sparkSession
     families = components(signed).toDF("x", "fam")
-    rooted = families.join(first.toDF("x", "root"), "x", "left").select("x", "fam", F.coalesce("root", "x").alias("root"))
+    rooted = packed(_rooted(families, first))
     split = rooted.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("fam")
     # A family may hold a large part of all rows: what is one row a family goes to it while it is small enough.
     own = packed(rooted.join(small_side(packed(split), BROADCAST_ROWS), "fam").select("x", "fam"))
-    label = spokes.join(families, "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam"))
+    label = packed(spokes.join(_known(families), "x", "left").select("c", "x", F.coalesce("fam", "x").alias("fam")))
     mixed = label.groupBy("c").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("c")
     between = packed(label.join(mixed, "c").select("c", "x", "fam"))
     if own.isEmpty() and between.isEmpty():
@@ -288,11 +295,15 @@ def _across(spokes: DataFrame, signed: DataFrame, first: DataFrame, reps: DataFr
     second, far = _regrouped(of_family, components(_stars(first).unionByName(linked)), reps, sets, percent)
     of_bucket = _rooted(_foreign(of_bucket), second).withColumn("token", F.explode("tokens")).drop("tokens")
     # Rows of two families meet by the pair of families, so none meets those of its own.
-    kinds = of_bucket.select("c", "token", "fam").distinct()
+    kinds = packed(of_bucket.select("c", "token", "fam").distinct())
     two_kinds = kinds.withColumnRenamed("fam", "f").join(kinds.withColumnRenamed("fam", "g"), ["c", "token"]).where("f < g")
     lower = of_bucket.withColumnRenamed("fam", "f").join(two_kinds, ["c", "token", "f"]).drop("f").withColumnRenamed("g", "fam")
-    pairs = far.unionByName(_met(lower, of_bucket, ["c", "token", "fam"], percent, "true")).distinct()
+    pairs = packed(packed(far).unionByName(_met(lower, of_bucket, ["c", "token", "fam"], percent, "true")).distinct())
+    if pairs.isEmpty():
+        return second
     more = _links(_signed(pairs, reps, percent).where("likely").select("a", "b"), sets, percent)
+    if more.isEmpty():
+        return second
     return components(_stars(second).unionByName(more))
 
 
@@ -347,7 +358,7 @@ def _foreign(rows: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    return rows.join(_known(groups.toDF("x", "root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
 
 
 def _unlike(a: str, b: str, percent: int) -> str:
@@ -387,9 +398,11 @@ def _regrouped(of_family: DataFrame, groups: DataFrame, reps: DataFrame, sets: D
 
     def mixed(kinds: DataFrame) -> DataFrame:
         """(c, g, x, ..) of the classes that hold several components."""
-        rows = _few(kinds.join(_few(_rooted(members, groups), tasks), ["c", "x"]), tasks)
+        rows = _rooted(kinds, groups)
         several = _few(rows.groupBy("c", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c", "g"), tasks)
-        return packed(_few(rows.join(several, ["c", "g"], "left_semi"), tasks))
+        # What members have besides is joined to these rows alone.
+        held = packed(_few(rows.join(several, ["c", "g"], "left_semi"), tasks))
+        return packed(_few(held.join(members, ["c", "x"]), tasks))
 
     for turn in range(CENTRES):
         rows = mixed(bands.unionByName(classes))
@@ -438,7 +451,7 @@ def _decided(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str)
     groups = _across(spokes, signed, components(links), reps, plain, percent, k)
     # Classes (equal sets) to components, then components to their smallest real id.
     classes = feats.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
-    classes = classes.join(groups, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
+    classes = classes.join(_known(groups), "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     names = classes.groupBy("root").agg(F.min("low").alias("component"))
     by_set = classes.join(names, "root").select("fp", "component", "root")
     found = feats.select("rid", "id", "n", "fp").join(by_set, "fp", "left")

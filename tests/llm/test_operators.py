@@ -174,6 +174,24 @@ def test_components(spark, monkeypatch, chunk):
     assert got == {x: find(x) for x in root}
 
 
+def test_few_edges_and_small_tables_need_no_exchange(spark, monkeypatch):
+    """Each exchange costs the driver a thread and a plan: near_dedup went over its memory by them."""
+    from quern.llm import components as module
+    from quern.llm.common import packed
+
+    def no_round(edges):
+        raise AssertionError("a round over edges that one task holds")
+
+    monkeypatch.setattr(module, "_state", no_round)
+    links = spark.createDataFrame([(5, 4), (4, 9), (9, 5), (2, 7), (3, 3), (None, 1)], "a long, b long").repartition(4)
+    assert sorted(map(tuple, module.components(links).collect())) == [(2, 2), (4, 4), (5, 4), (7, 2), (9, 4)]
+    assert module.components(links.limit(0)).collect() == []
+    small = packed(spark.range(100).selectExpr("id % 7 AS k", "id AS v").repartition(4))
+    both = small.join(packed(small.groupBy("k").count()), "k")
+    assert "hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.count() == 100
+
+
 def overlaps(rows, items):
     """Brute force over all alignments: {(id, item): (best window, equal words, -offset)} and the texts that overlap."""
     from quern.llm.op6_seeds import MASKS, SHORT
