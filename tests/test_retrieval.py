@@ -162,6 +162,21 @@ def test_hybrid_looks_at_words_once_and_scores_in_full_what_may_count(spark, tmp
     found = key(retrieval.hybrid_search(index, queries, 4))
     assert len(found) == 300 * 4 and calls == [1]
     assert key(retrieval.hybrid_search(index, queries, 4, reach=80)) == found and calls == [1, 1]
+    again = docs.unionByName(docs.select((F.col("did") + 2000).alias("did"), "text", F.lit(None).cast("array<double>").alias("vec")))
+    queries = queries.where("vec IS NULL")
+    retrieval.build_index(again, str(tmp_path / "again"), postings=False)
+    assert len(retrieval._copies(spark.createDataFrame([(1, b"a"), (2, b"a"), (3, b"b"), (4, b"a"), (5, b"a")], "did long, digest binary"), 2)[0]) == 3
+    twice, sized = queries.unionByName(queries.withColumn("qid", F.col("qid") + 2000)), []
+    monkeypatch.setattr(retrieval, "Pass", lambda n, *a: sized.append(n) or scoring.Pass(n, *a))
+    for most in (1 << 22, 500, 0):
+        monkeypatch.setattr(retrieval, "COPIES", most)
+        got = {}
+        for x in retrieval.hybrid_search(retrieval.load_index(spark, str(tmp_path / "again")), twice, 4).orderBy("qid", "rank").collect():
+            got.setdefault(x["qid"], []).append((x["did"], x["score"]))
+        assert sized[-1] == len(got) // 2 == queries.count() and all(got[q][0] == ((q + 2000) % 4000, 0.3) for q in got) and all(got[q][1:3] == got[q + 2000][1:3] for q in got if q < 2000)
+        assert most == 1 << 22 or got == last
+        last = got
+    queries = docs.where("did % 10 IN (0, 3)").withColumnRenamed("did", "qid")
     terms, weights, own = (queries.select("qid", F.explode(F.split("text", " ")).alias("term")).distinct().toPandas(), None, sorted(x["qid"] for x in queries.select("qid").collect()))
     words = {w: i for i, w in enumerate(terms["term"].value_counts().index)}
     owners = np.searchsorted(own, terms["qid"])
@@ -179,7 +194,7 @@ def test_hybrid_looks_at_words_once_and_scores_in_full_what_may_count(spark, tmp
     assert all((n > 30) == alike for alike, n in columns) and {x for x, _ in columns} == {True, False}
     exact = scoring._exact
     monkeypatch.setattr(scoring, "_exact", lambda *a: (lambda f: lambda at, q: pairs.append(len(at)) or f(at, q))(exact(*a)))
-    Held.value = (asked, pa.array(own), np.zeros((0, 0)), np.full(300, 1e-6))
+    Held.value = (asked, pa.array(own), np.zeros((0, 0)), np.full(300, 1e-6), pa.array([], pa.int64()))
     assert sum(b.num_rows for b in scoring.ends_and_best(Held, 4, 12, pa.int64())(batches * 3)) >= 300 * 5 and sum(pairs) < 3 * 1500 * 300 / 20
 
 
